@@ -1,4 +1,7 @@
 """Queries by name, and the SQL they are checked against."""
 
-QUERIES = {}
-ORACLES = {}
+from papyrion.plans import text_queries
+
+MODULES = (text_queries,)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
