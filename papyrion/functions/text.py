@@ -170,8 +170,8 @@ def missing_entities(source: Column, target: Column) -> Column:
     found = lambda x, p: F.regexp_extract_all(x, F.lit(p), F.lit(0))
     there = F.transform(found(target, NUMBER), digits_only)
     numbers = F.filter(found(source, NUMBER), lambda m: ~F.array_contains(there, digits_only(m)))
-    rest = [F.filter(found(source, p), lambda m, p=p: ~F.array_contains(found(target, p), m)) for p in (URL, EMAIL)]
-    return F.concat(numbers, *rest)
+    verbatim = lambda p: F.filter(found(source, p), lambda m: ~F.array_contains(found(target, p), m))
+    return F.concat(numbers, verbatim(URL), verbatim(EMAIL))
 
 
 # Bounds of target length over source length, by target language; else GENERIC_BAND.

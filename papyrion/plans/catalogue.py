@@ -1,7 +1,7 @@
 """Queries by name, and the SQL they are checked against."""
 
-from papyrion.plans import text_queries
+from papyrion.plans import memory_queries, text_queries
 
-MODULES = (text_queries,)
+MODULES = (text_queries, memory_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
