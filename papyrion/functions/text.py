@@ -40,7 +40,7 @@ def memory_key(x: Column) -> Column:
 
 def consistency_key(x: Column) -> Column:
     """case folded through upper case, so ß meets ss."""
-    return F.lower(F.upper(collapsed(x)))
+    return F.replace(F.lower(F.upper(collapsed(x))), F.lit("ß"), F.lit("ss"))
 
 
 def repetition_key(x: Column) -> Column:

@@ -143,6 +143,7 @@ def _gap(low: np.ndarray, high: np.ndarray) -> tuple[float, float]:
 
 def xy_cut(boxes: np.ndarray, width: float, height: float) -> list[int]:
     """Order of boxes (x0, y0, x1, y1) by cutting at gutters: a vertical one of max(15, 2 % of the width) first, then a horizontal one of max(8, 1 % of the height), else top to bottom."""
+    boxes = boxes.reshape(-1, 4)
     order: list[int] = []
     parts = [np.arange(len(boxes))]
     while parts:

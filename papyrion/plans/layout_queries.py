@@ -100,7 +100,7 @@ pb AS (SELECT *, CASE WHEN ord = 0 THEN 20 WHEN ord = n - 1 THEN 760 ELSE 100 +
 
 @query(rf"""WITH {_SOURCES}, k AS (SELECT *, CASE WHEN y0 + 5 < 79.2 THEN 'header' WHEN y0 + 5 > 712.8 THEN 'footer' END AS band, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}_]+|_+', ' ', 'g')) AS key FROM pb),
 c AS (SELECT doc, count(DISTINCT page) AS pages FROM pb GROUP BY doc), o AS (SELECT k.doc, band, key FROM k JOIN c ON c.doc = k.doc WHERE band IS NOT NULL AND key <> '' GROUP BY k.doc, band, key, pages HAVING count(DISTINCT page) >= greatest(2, round_even(pages * 0.5, 0)))
-SELECT k.doc, k.page, k.ord, CASE WHEN band IS NOT NULL AND length(trim(text)) BETWEEN 1 AND 12 AND regexp_matches(trim(text), '(?i)^(page\s+)?\p{{Nd}}+(\s*[/of-]+\s*\p{{Nd}}+)?\.?$') THEN 'page_number' WHEN o.key IS NOT NULL THEN k.band ELSE 'paragraph' END AS type
+SELECT k.doc, k.page, k.ord, CASE WHEN k.band IS NOT NULL AND length(trim(text)) BETWEEN 1 AND 12 AND regexp_matches(trim(text), '(?i)^(page\s+)?\p{{Nd}}+(\s*[/of-]+\s*\p{{Nd}}+)?\.?$') THEN 'page_number' WHEN o.key IS NOT NULL THEN k.band ELSE 'paragraph' END AS type
 FROM k LEFT JOIN o ON o.doc = k.doc AND o.band = k.band AND o.key = k.key""")
 def running_heads(spark, sf_dir):
     return L.running_heads(pages_of_sources(spark, sf_dir)).select("doc", "page", "ord", "type")
@@ -172,11 +172,11 @@ def body_font(spark, sf_dir):
     return L.body_font(rows)
 
 
-@query("""WITH s AS (SELECT l_orderkey AS doc, l_linenumber, l_returnflag AS style, l_linestatus AS text, CASE WHEN l_returnflag = lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) THEN 0 ELSE 1 END AS b FROM lineitem),
-r AS (SELECT *, sum(b) OVER (PARTITION BY doc ORDER BY l_linenumber) - 1 AS run FROM s) SELECT doc, run::BIGINT AS run, style, string_agg(text, '' ORDER BY l_linenumber) AS text FROM r GROUP BY doc, run, style""")
+@query("""WITH s AS (SELECT l_orderkey AS doc, l_linenumber * 100000000 + l_partkey AS pos, l_returnflag AS style, l_linestatus AS text, CASE WHEN l_returnflag = lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 100000000 + l_partkey) THEN 0 ELSE 1 END AS b FROM lineitem),
+r AS (SELECT *, sum(b) OVER (PARTITION BY doc ORDER BY pos) - 1 AS run FROM s) SELECT doc, run::BIGINT AS run, style, string_agg(text, '' ORDER BY pos) AS text FROM r GROUP BY doc, run, style""")
 def style_runs(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), "l_linenumber", F.col("l_linestatus").alias("text"), "l_returnflag")
-    return L.runs(rows, ["doc"], "l_linenumber", F.col("l_returnflag")).select("doc", "run", "style", "text")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") * 100000000 + F.col("l_partkey")).alias("at"), F.col("l_linestatus").alias("text"), "l_returnflag")
+    return L.runs(rows, ["doc"], "at", F.col("l_returnflag")).select("doc", "run", "style", "text")
 
 
 @query("""WITH p AS (SELECT o_custkey AS doc, (o_orderkey % 40) AS chars, (o_totalprice % 100) / 100 AS cover FROM orders), u AS (SELECT doc, count(*) AS pages, count(*) FILTER (chars > 20 AND NOT ((cover > 0.6 AND chars < 200) OR (cover > 0.35 AND chars < 120))) AS usable FROM p GROUP BY doc)
