@@ -6,8 +6,10 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words remembered by a worker before its memo is emptied; bounds the memory, not the words.
 MEMO_WORDS = 300_000
@@ -86,6 +88,133 @@ def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(rolled(hashes, min(width, len(hashes))))
 
 
+_MULTIPLIER = 0x9FB21C651E98DF25
+_BLOCK = 2**18
+_WORD = np.ones(256, bool)
+_WORD[list(b" \t\n\x0b\x0c\r")] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    out = np.full(count, np.uint64(base))
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class _Powers:
+    """Powers of the multiplier and of its inverse, as many as the longest block has needed."""
+
+    up = _powers(_MULTIPLIER, 2 * _BLOCK)
+    down = _powers(pow(_MULTIPLIER, -1, 2**64), 2 * _BLOCK)
+
+    @classmethod
+    def of(cls, count: int) -> tuple[np.ndarray, np.ndarray]:
+        if count > len(cls.up):
+            cls.up, cls.down = _powers(_MULTIPLIER, 2 * count), _powers(pow(_MULTIPLIER, -1, 2**64), 2 * count)
+        return cls.up[:count], cls.down[:count]
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts of an Arrow column, where each text starts, and the end); null counts as empty."""
+    column = column.cast(pa.binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word ``[^\\x20\\x09-\\x0D]+`` of some texts starts, and its 64-bit hash with A-Z lower-cased.
+
+    A word's hash is a polynomial over its bytes, taken from running sums over a block of texts, so no word becomes a
+    Python object. Blocks end between words; a word ends where its text does.
+    """
+    starts, hashes, begin = [], [], 0
+    firsts = np.unique(offsets)
+    while begin < len(data):
+        end = min(begin + _BLOCK, len(data))
+        while end < len(data):  # on to the next place between words
+            more = _WORD[data[end : end + 4096]]
+            stop = end + int(more.argmin()) if not more.all() else end + len(more)
+            text = firsts[np.searchsorted(firsts, end)]
+            end = min(stop, int(text))
+            if end == text or stop < end + len(more) or end == len(data):
+                break
+        part = data[begin:end]
+        word = _WORD[part]
+        edge = np.zeros(len(part) + 1, bool)
+        inside = firsts[np.searchsorted(firsts, begin) : np.searchsorted(firsts, end, side="right")] - begin
+        edge[inside] = True
+        edge[0] = edge[-1] = True
+        low = np.flatnonzero(word & (edge[:-1] | np.concatenate(([True], ~word[:-1]))))
+        high = np.flatnonzero(word & (edge[1:] | np.concatenate((~word[1:], [True])))) + 1
+        up, down = _Powers.of(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((_LOWER[part].astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        hashes.append(mixed((sums[high] - sums[low]) * down[low] + (high - low).astype(np.uint64)))
+        starts.append(low + begin)
+        begin = end
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
+def words_by_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of a column of texts, where each text's words start, and the end)."""
+    data, offsets = bytes_of(column)
+    starts, hashes = hashed_words(data, offsets)
+    return hashes, np.searchsorted(starts, offsets)
+
+
+#: Bits of a bitmap for each of its hashes, and at most; beyond, more passes it to the join that decides.
+BITS, MOST_BITS = 64, 2**27
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """Which values, modulo its size, occur in a table's only column of longs; made on the executors by OR, of a size fixed by MOST_BITS.
+
+    A filter that passes all the table's values and few others, small enough for every worker.
+    """
+    (name,) = hashes.columns
+    count, bits = hashes.count(), 2**13
+    while bits < min(BITS * count, MOST_BITS):
+        bits *= 2
+    low = hashes.select(F.col(name).bitwiseAND(F.lit(bits - 1)).alias("bit"))
+    words = low.groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("mask"))
+    out = np.zeros(bits // 64, np.int64)
+    found = words.toArrow()  # 32 MB at most
+    out[found.column("word").to_numpy()] = found.column("mask").to_numpy()
+    return out.view(np.uint8)
+
+
+def passes(filter_bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of some uint64 hashes a :func:`bitmap` lets through."""
+    bit = hashes & np.uint64(len(filter_bits) * 8 - 1)
+    return (filter_bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+#: Rows, and list elements, that one call of a grouped function is to get about.
+CALL_ROWS, CALL_ELEMENTS = 8192, 2**22
+
+
+def in_units(rows: DataFrame, elements: str, *unit: str) -> DataFrame:
+    """rows with columns unit, a hash of the named columns, and call, of which each has many whole units.
+
+    Grouping by call spares a call of a Python function for each small unit. The number of calls follows the rows and
+    the sum of column elements, so a call stays about as large at any size; rows must be a table that is cheap to read.
+    """
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(elements), F.lit(0))).first()
+    calls = max(1, -(-n // CALL_ROWS), -(-total // CALL_ELEMENTS))
+    return rows.withColumn("unit", F.xxhash64(*unit)).withColumn("call", F.pmod(F.col("unit"), F.lit(calls)))
+
+
+def runs_of(unit: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal values."""
+    starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1]))) if len(unit) else np.zeros(0, np.int64)
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(unit)], strict=True))
+
+
 def words_of(text: bytes | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. bytes.split() parts at just these six characters."""
+    """Words of one text, with A-Z lower-cased."""
     return text.lower().split() if text else []

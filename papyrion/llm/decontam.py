@@ -11,12 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.llm.common import bitmap, passes
+
 #: Words of a window; an item with fewer words is one window. A window needs so many plain words, or its slots stay as they are.
 WINDOW, PLAIN = 8, 4
 #: An item is found where windows at one alignment cover so much of it, or so many words in all.
 COVERAGE, LONG_MATCH = 0.5, 13
-#: Bits of the prefilter for each window of the benchmark, and at most; beyond, more windows pass to the join, which decides.
-BITS, MOST_BITS = 64, 2**27
 MEMO_WORDS = 300_000
 #: Words that are units after a number.
 UNITS = frozenset("mm cm m km in ft mi mg g kg t lb oz ml l s sec min h hr hrs day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres mile miles inch inches foot feet gram grams kilogram kilograms pound pounds liter liters litre litres percent % degree degrees dollar dollars euro euros cent cents usd eur gbp $ € £".split())
@@ -113,8 +113,7 @@ def _emit(wanted_of, widths_of, item: bool):
                     if wanted is None:
                         hits = np.arange(len(hashes))
                     else:
-                        bit = hashes & np.uint64(len(wanted) * 8 - 1)
-                        hits = np.flatnonzero((wanted[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+                        hits = np.flatnonzero(passes(wanted, hashes))
                     for at in hits.tolist():
                         where = np.flatnonzero(slot[at : at + width])
                         for column, value in zip(out, (key, int(hashes[at].view(np.int64)), at, len(plain), [memo.low[ids[at + k]] for k in where.tolist()]), strict=True):
@@ -134,20 +133,6 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return source.mapInArrow(_emit(None, None, True), _WINDOWS)
 
 
-def _prefilter(windows: DataFrame) -> np.ndarray:
-    """A bitmap of the benchmark's windows, made on the executors and joined by OR; its size is fixed by MOST_BITS."""
-    count = windows.count()
-    bits = 2**13
-    while bits < min(BITS * count, MOST_BITS):
-        bits *= 2
-    low = windows.select(F.col("window").bitwiseAND(F.lit(bits - 1)).alias("bit"))
-    words = low.groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("mask"))
-    bitmap = np.zeros(bits // 64, np.int64)
-    for r in words.toLocalIterator():
-        bitmap[r["word"]] = r["mask"]
-    return bitmap.view(np.uint8)
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, coverage): items found in a document, possibly with other numbers, names or units.
 
@@ -159,7 +144,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     items = benchmark_windows(benchmark, text_col="text").cache()
     widths = [r["w"] for r in items.groupBy(F.least("words", F.lit(WINDOW)).alias("w")).count().orderBy("w").collect()]
-    wanted = spark.sparkContext.broadcast(_prefilter(items))
+    wanted = spark.sparkContext.broadcast(bitmap(items.select("window")))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     found = source.mapInArrow(_emit(wanted, widths, False), _WINDOWS).alias("d")
     at = found.join(items.alias("b"), F.col("d.window") == F.col("b.window")).select(

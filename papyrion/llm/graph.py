@@ -11,7 +11,7 @@ from papyrion.llm.common import dropped, written
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -25,16 +25,16 @@ def components(links: DataFrame) -> DataFrame:
     """links: two long columns (a, b). Returns (node, label) for every node that has a link and isn't its component's smallest.
 
     Each round is two group-minimum joins and is written to the shared folder, so a lost executor costs a
-    round at most; the number of rounds grows with the logarithm of the longest chain. Nothing is collected but a
-    count and a checksum. Links from a node to itself and null ends are ignored; an empty table gives an empty one.
+    round at most; the number of rounds grows with the logarithm of the longest chain. It ends when the edges are
+    stars: every node has one parent, and no parent has one itself. Nothing is collected but a count. Links from a
+    node to itself and null ends are ignored; an empty table gives an empty one.
     """
     edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u != v").distinct(), "edges")
-    before = None
     while True:
         after = written(_small_star(_large_star(edges)), "edges")
         dropped(edges)
         edges = after
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if state == before or not state["n"]:
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        open_nodes = ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 or child = 1 and parent = 1").count()
+        if not open_nodes:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        before = state

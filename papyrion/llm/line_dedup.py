@@ -11,63 +11,72 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm.common import WordHashes, dropped, mixed, partitions, rolled, shingle_set, words_of, written
+from papyrion.llm.common import bitmap, bytes_of, in_units, runs_of, hashed_words, mixed, partitions, passes, rolled, written
+from papyrion.llm.graph import components
 
 WIDTH, PERCENT = 5, 80
 #: Counters by hash that rank tokens by rarity: so many for any input, counting every token. Which tokens share one is a matter of cost only.
 COUNTERS, SLICE = 2**20, 2**16
-#: Lines handled at once by a worker.
-LINES = 2**16
-
-
-def line_tokens(texts: list[bytes | None], memo: WordHashes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of some texts' lines with words: text number, line number in its text, and, by line in order, all tokens with the line they are of."""
-    of_text, of_line, counts, words = [], [], [], []
-    for i, text in enumerate(texts):
-        for j, line in enumerate(text.lower().split(b"\n") if text else ()):
-            if own := line.split():
-                of_text.append(i)
-                of_line.append(j)
-                counts.append(len(own))
-                words += own
-    hashes, n = memo.of(words), np.array(counts, np.int64)
-    starts = np.cumsum(n) - n
+#: Bytes of text handled at once by a worker, but for a single text that is longer.
+BYTES = 2**22
+
+
+def line_tokens(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column's lines with words: text number, line number in its text, and all their tokens with the line that each is of."""
+    data, offsets = bytes_of(column)
+    starts, hashes = hashed_words(data, offsets)
+    ends = np.flatnonzero(data == 10) + 1
+    text_of_end = np.searchsorted(offsets, ends - 1, side="right") - 1
+    place = np.concatenate((offsets[:-1], ends))
+    text = np.concatenate((np.arange(len(column)), text_of_end))
+    order = np.lexsort((np.concatenate((np.zeros(len(column), np.int8), np.ones(len(ends), np.int8))), text))
+    # a text's first line, then its others, in order; a line end that is the text's last byte opens an empty line
+    place, text = place[order], text[order]
+    number = np.arange(len(text)) - np.searchsorted(text, text)
+    bounds = np.searchsorted(starts, place)
+    # words before the next line's place; that of a text's last line is where the next text starts
+    n = np.diff(np.concatenate((bounds, [len(starts)])))
+    keep = np.flatnonzero(n)
+    text, number, n, first = text[keep], number[keep], n[keep], bounds[keep]
     tokens, lines = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(hashes) >= width:
         every = rolled(hashes, width)
         line = np.repeat(np.arange(len(n)), n)[: len(every)]
-        inside = np.arange(len(every)) + width <= (starts + n)[line]
+        inside = np.arange(len(every)) + width <= (first + n)[line]
         tokens, lines = every[inside], line[inside]
-    few = np.flatnonzero(n < width)
-    if len(few):
-        whole = np.array([rolled(hashes[starts[k] : starts[k] + n[k]], int(n[k]))[0] for k in few.tolist()], np.uint64)
-        tokens, lines = np.concatenate((tokens, whole)), np.concatenate((lines, few))
-    return np.array(of_text, np.int64), np.array(of_line, np.int64), tokens, lines
-
-
-def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list]]:
-    """Texts of a batch in runs of about LINES lines, with the number of the first."""
-    texts, first, lines = [], 0, 0
-    for i, text in enumerate(batch.column(column).cast(pa.binary()).to_pylist()):
-        texts.append(text)
-        lines += text.count(b"\n") + 1 if text else 1
-        if lines >= LINES // 2:
-            yield first, texts
-            texts, first, lines = [], i + 1, 0
-    if texts:
-        yield first, texts
+    for short in range(1, width):
+        few = np.flatnonzero(n == short)
+        if len(few):
+            whole = rolled(hashes, short)[first[few]]
+            tokens, lines = np.concatenate((tokens, whole)), np.concatenate((lines, few))
+    return text, number, tokens, lines
+
+
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.Array]]:
+    """A batch's texts in runs of about BYTES bytes, with the number of the first."""
+    texts = batch.column(column)
+    sizes = np.diff(bytes_of(texts)[1])
+    at, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if total and total + size > BYTES:
+            yield at, texts.slice(at, i - at)
+            at, total = i, 0
+        total += size
+    if at < len(texts):
+        yield at, texts.slice(at)
 
 
 def _count(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counts = WordHashes(), np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for _, texts in _parts(batch, 1):
-                tokens = line_tokens(texts, memo, width)[2]
+                tokens = line_tokens(texts, width)[2]
                 counts += np.bincount((tokens & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         at = [k for k in range(COUNTERS // SLICE) if counts[k * SLICE : (k + 1) * SLICE].any()]
         yield pa.RecordBatch.from_pydict({"slice": pa.array(at, pa.int32()), "counts": pa.array([zlib.compress(counts[k * SLICE : (k + 1) * SLICE].tobytes(), 1) for k in at], pa.binary())})
@@ -95,34 +104,40 @@ def rarity(docs: DataFrame, width: int) -> np.ndarray:
 _CLASS = np.dtype([("key", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("line", "<i8"), ("n", "<i8")])
 
 
+def _sets(tokens: np.ndarray, lines: np.ndarray, ranks: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Tokens by line in rarity order without repeats, their lines, where each line starts, its size, and two hashes of its set."""
+    rank = np.zeros(len(tokens), np.uint64) if ranks is None else ranks[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
+    # one sort brings each line's tokens into order and equal ones together: 17 bits of line, 6 of rarity, 41 of hash
+    if int(lines.max()) < 2**17:
+        order = np.argsort((lines.astype(np.uint64) << np.uint64(47)) | (rank << np.uint64(41)) | (tokens >> np.uint64(23)))
+    else:  # a text of very many lines
+        order = np.lexsort((tokens >> np.uint64(23), rank, lines))
+    tokens, lines = tokens[order], lines[order]
+    new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (lines[1:] != lines[:-1])))
+    tokens, lines = tokens[new], lines[new]
+    starts = np.flatnonzero(np.concatenate(([True], lines[1:] != lines[:-1])))
+    n = np.diff(np.concatenate((starts, [len(lines)])))
+    key = mixed(np.add.reduceat(mixed(tokens), starts) + n.astype(np.uint64))
+    check = np.add.reduceat(mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)), starts)
+    return tokens, lines, starts, n, key, check
+
+
 def _deal(ranks_of, width: int, percent: int, parts: int):
     """Rows of packed arrays for each part: a batch's classes with their first line, the prefix tokens of each class, and the lines of a batch that come later than an equal one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, ranks = WordHashes(), ranks_of.value
+        ranks = ranks_of.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, texts in _parts(batch, 1):
-                of_text, of_line, tokens, lines = line_tokens(texts, memo, width)
+                of_text, of_line, tokens, lines = line_tokens(texts, width)
                 if not len(tokens):
                     continue
                 yield _packed(ids[first + of_text], of_line, tokens, lines, ranks)
 
     def _packed(docs, of_line, tokens, lines, ranks):
-        # one sort brings each line's tokens into rarity order and equal ones together: 17 bits of line, 6 of rarity, 41 of hash
-        rank = ranks[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
-        if int(lines.max()) < 2**17:
-            order = np.argsort((lines.astype(np.uint64) << np.uint64(47)) | (rank << np.uint64(41)) | (tokens >> np.uint64(23)))
-        else:  # a single text with very many lines
-            order = np.lexsort((tokens >> np.uint64(23), rank, lines))
-        tokens, lines = tokens[order], lines[order]
-        new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (lines[1:] != lines[:-1])))
-        tokens, lines = tokens[new], lines[new]
-        starts = np.flatnonzero(np.concatenate(([True], lines[1:] != lines[:-1])))
-        n = np.diff(np.concatenate((starts, [len(lines)])))
+        tokens, lines, starts, n, key, check = _sets(tokens, lines, ranks)
         at = lines[starts]
-        key = mixed(np.add.reduceat(mixed(tokens), starts) + n.astype(np.uint64))
-        check = np.add.reduceat(mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)), starts)
         doc, line = docs[at], of_line[at]
         by_key = np.lexsort((line, doc, check, key))
         leads = np.concatenate(([True], (key[by_key][1:] != key[by_key][:-1]) | (check[by_key][1:] != check[by_key][:-1])))
@@ -166,7 +181,11 @@ def _rows(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _meet(percent: int):
-    """Within a part: kind 0 the lines that come later than an equal one, 1 each class and its first line, 2 candidate pairs of classes."""
+    """Within a part: kind 0 the lines that come later than an equal one, 1 each class and its first line, 2 ties between classes.
+
+    Two classes that share a prefix token and pass the length and positional filters are candidates; the ties of a
+    token span its candidates' components, so they are fewer than its classes.
+    """
 
     def run(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, prefixes, gone = [], [[], [], [], []], []
@@ -194,57 +213,136 @@ def _meet(percent: int):
         yield from _pairs(token, owner, n.astype(np.int64), pos.astype(np.int64))
 
     def _pairs(token, owner, n, pos):
-        order = np.lexsort((owner, n, token))
+        if not len(token):
+            return
+        order = np.argsort(token)
         token, owner, n, pos = token[order], owner[order], n[order], pos[order]
-        new = np.concatenate(([True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1]))) if len(token) else np.zeros(0, bool)
-        token, owner, n, pos = token[new], owner[new], n[new], pos[new]
-        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         sizes = np.diff(np.concatenate((starts, [len(token)])))
-        pairs, held = [], 0
-        many = sizes > 1
+        two = starts[sizes == 2]
+        a, b = n[two], n[two + 1]
+        close = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (np.minimum(a - pos[two], b - pos[two + 1]) >= -(-percent * (a + b) // (100 + percent)))
+        two = two[close & (owner[two] != owner[two + 1])]
+        if len(two):
+            yield _tied(list(np.stack((owner[two], owner[two + 1]), axis=1)))
+        ties, held = [], 0
+        many = sizes > 2
         for start, size in zip(starts[many].tolist(), sizes[many].tolist(), strict=True):
             own, m, at = owner[start : start + size], n[start : start + size], pos[start : start + size]
-            for i in range(size - 1):
+            own, first = np.unique(own, return_index=True)
+            m, at = m[first], at[first]
+            by_size = np.argsort(m, kind="stable")
+            own, m, at = own[by_size], m[by_size], at[by_size]
+            group = np.arange(len(own))
+            for i in range(len(own) - 1):
                 # sorted by size, so the longer lines that pass the length filter follow at once
-                end = np.searchsorted(m, m[i] * 100 // percent, side="right")
-                j = np.arange(i + 1, end)
-                if len(j):
-                    need = -(-percent * (m[i] + m[j]) // (100 + percent))
-                    j = j[1 + np.minimum(m[i] - at[i], m[j] - at[j]) - 1 >= need]
-                    if len(j):
-                        pairs.append(np.stack((np.minimum(own[i], own[j]), np.maximum(own[i], own[j])), axis=1))
-                        held += len(j)
-                if held > 200_000:
-                    both = np.unique(np.concatenate(pairs), axis=0)
-                    yield _rows(2, x=both[:, 0].copy(), y=both[:, 1].copy())
-                    pairs, held = [], 0
-        if pairs:
-            both = np.unique(np.concatenate(pairs), axis=0)
-            yield _rows(2, x=both[:, 0].copy(), y=both[:, 1].copy())
+                j = np.arange(i + 1, np.searchsorted(m, m[i] * 100 // percent, side="right"))
+                j = j[group[j] != group[i]]
+                j = j[np.minimum(m[i] - at[i], m[j] - at[j]) >= -(-percent * (m[i] + m[j]) // (100 + percent))]
+                for k in j.tolist():
+                    if group[k] != group[i]:
+                        ties.append(own[[i, k]])
+                        held += 1
+                        group[group == group[k]] = group[i]
+            if held > 100_000:
+                yield _tied(ties)
+                ties, held = [], 0
+        if ties:
+            yield _tied(ties)
+
+    def _tied(ties):
+        both = np.unique(np.sort(np.stack(ties), axis=1), axis=0)
+        return _rows(2, x=both[:, 0].copy(), y=both[:, 1].copy())
 
     return run
 
 
-def _wanted_tokens(width: int):
+def _wanted_tokens(width: int, docs_of, keys_of):
+    """(key, doc, line, tokens) of the lines that may be wanted, of the documents that may hold one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        wanted, keys = docs_of.value, keys_of.value
         for batch in batches:
-            keys, sets = [], []
-            for text, wanted in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                lines = text.split(b"\n")
-                for w in (w for w in wanted if w["line"] < len(lines)):
-                    keys.append(w["key"])
-                    sets.append(shingle_set(memo.of(words_of(lines[w["line"]])), width).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "tokens"])
+            batch = batch.filter(pa.array(passes(wanted, batch.column(2).to_numpy().view(np.uint64))))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, texts in _parts(batch, 1):
+                of_text, of_line, tokens, lines = line_tokens(texts, width)
+                if not len(tokens):
+                    continue
+                tokens, lines, starts, n, key, _ = _sets(tokens, lines, None)
+                hits = np.flatnonzero(passes(keys, key))
+                sets = [tokens[starts[h] : starts[h] + n[h]].view(np.int64) for h in hits.tolist()]
+                at = lines[starts[hits]]
+                yield pa.RecordBatch.from_arrays([pa.array(key[hits].view(np.int64)), pa.array(ids[first + of_text[at]], pa.int64()), pa.array(of_line[at], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "doc_id", "line", "tokens"])
+
+    return run
+
+
+#: Classes, and tokens of all classes, that are compared in one task; larger clusters are dealt to several.
+BLOCK_CLASSES, BLOCK_TOKENS = 2048, 2**21
+
+
+def _beaten(percent: int):
+    """Keys of each block's classes that a similar class comes before. side 0: all meet each other; else those of side 1 meet those of side 2."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((group["line"].to_numpy(), group["doc_id"].to_numpy(), group["unit"].to_numpy()))
+        unit, side, keys, sets = (group[c].to_numpy()[order] for c in ("unit", "side", "key", "tokens"))
+        found: list[int] = []
+        for low, high in runs_of(unit):
+            if high - low > 1:
+                found += one(side[low:high], keys[low:high], sets[low:high])
+        return pd.DataFrame({"key": np.array(found, np.int64)})
+
+    def one(side, keys, sets):
+        sizes = np.array([len(x) for x in sets])
+        starts = np.cumsum(sizes) - sizes
+        token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        marked = np.zeros(int(token.max()) + 1, np.int32)
+        found = []
+        for i in np.flatnonzero(side <= 1).tolist():
+            before = np.flatnonzero((side[:i] == (0 if side[i] == 0 else 2)) & (keys[:i] != keys[i]) & (100 * np.minimum(sizes[:i], sizes[i]) >= percent * np.maximum(sizes[:i], sizes[i])))
+            if len(before):
+                own = token[starts[i] : starts[i] + sizes[i]]
+                marked[own] = 1
+                shared = np.add.reduceat(marked[token[: starts[i]]], starts[:i])[before]
+                marked[own] = 0
+                if (100 * shared >= percent * (sizes[i] + sizes[before] - shared)).any():
+                    found.append(keys[i])
+        return found
 
     return run
 
 
-def similar_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs: (doc_id long, text). Returns (classes, pairs, later).
+def _blocks(members: str, tokens: str):
+    return F.greatest(F.ceil(F.col(members) / BLOCK_CLASSES), F.ceil(F.col(tokens) / BLOCK_TOKENS)).cast("int")
+
 
-    classes (key, doc_id, line): a class of lines with equal sets by its first line. pairs (a, b): keys of classes that
-    are similar, verified on their whole sets. later (doc_id, line): lines that repeat an earlier line's set.
+def _similar_before(members: DataFrame, percent: int) -> DataFrame:
+    """(key) of the classes that have a similar one before them; members: (cluster, blocks, key, doc_id, line, tokens).
+
+    Each block is searched in itself first; of clusters of several blocks, what hasn't been beaten then meets all blocks.
+    """
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    blocks = members.withColumn("block", own).withColumn("side", F.lit(0))
+    first = written(in_units(blocks, "n", "cluster", "block").groupBy("call").applyInPandas(_beaten(percent), "key bigint"), "beaten")
+    parted = members.where("blocks > 1")
+    if parted.isEmpty():
+        return first
+    left = parted.join(first, "key", "left_anti")
+    sizes = left.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("total")).select("cluster", _blocks("members", "total").alias("open"))
+    x = left.join(sizes, "cluster").withColumn("x", F.pmod(F.xxhash64("key"), F.col("open")).cast("int")).withColumn("y", every).withColumn("side", F.lit(1))
+    y = parted.join(sizes, "cluster").withColumn("y", own).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("open") - 1))).withColumn("side", F.lit(2))
+    met = in_units(x.unionByName(y), "n", "cluster", "x", "y").groupBy("call").applyInPandas(_beaten(percent), "key bigint")
+    return first.unionByName(met.distinct())
+
+
+def line_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs: (doc_id long, text). Returns (classes, beaten, later).
+
+    classes (key, doc_id, line): a class of lines with equal sets, by its first line. beaten (key): the classes that have a
+    similar one before them, verified on whole sets. later (doc_id, line): lines that repeat an earlier line's set.
     """
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null and text is not null")
@@ -253,26 +351,25 @@ def similar_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     dealt = docs.mapInArrow(_deal(ranks, width, percent, parts), "part int, classes binary, prefixes binary, gone binary")
     met = written(dealt.groupBy("part").applyInArrow(_meet(percent), _FOUND), "lines")
     classes = met.where("kind = 1").select(F.col("x").alias("key"), F.col("doc").alias("doc_id"), "line")
-    pairs = met.where("kind = 2").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = classes.join(keys, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "line")).alias("wanted"))
-    sets = docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_wanted_tokens(width), "key bigint, tokens array<bigint>").dropDuplicates(["key"])
-    sets = written(sets, "tokens")
-    shared = F.size(F.array_intersect("s", "t"))
-    both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b").withColumn("shared", shared)
-    close = written(both.where(100 * F.col("shared") >= percent * (F.size("s") + F.size("t") - F.col("shared"))).select("a", "b"), "pairs")
-    dropped(sets)
-    return classes, close, met.where("kind = 0").select(F.col("doc").alias("doc_id"), "line")
+    later = met.where("kind = 0").select(F.col("doc").alias("doc_id"), "line")
+    tied = components(met.where("kind = 2").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    clusters = tied.select(F.col("node").alias("key"), F.col("label").alias("cluster"))
+    clusters = clusters.unionByName(tied.select(F.col("label").alias("key"), F.col("label").alias("cluster")).distinct())
+    wanted = written(classes.join(clusters, "key"), "wanted")
+    of_docs = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("doc_id").alias("h"))))
+    of_keys = spark.sparkContext.broadcast(bitmap(wanted.select("key")))
+    found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("probe")).mapInArrow(_wanted_tokens(width, of_docs, of_keys), "key bigint, doc_id bigint, line bigint, tokens array<bigint>")
+    # repeated rows give the same line again
+    sets = found.join(wanted, ["key", "doc_id", "line"]).dropDuplicates(["key", "doc_id", "line"])
+    sets = written(sets.withColumn("n", F.size("tokens")), "tokens")
+    sizes = sets.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("total")).select("cluster", _blocks("members", "total").alias("blocks"))
+    return classes, _similar_before(sets.join(sizes, "cluster"), percent), later
 
 
 def removed_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, lines array<bigint>): the numbers of the lines that go, for each document that loses any."""
-    classes, pairs, later = similar_lines(docs, width, percent)
-    place = F.struct("doc_id", "line")
-    named = classes.select("key", place.alias("place"))
-    ends = pairs.join(named.toDF("a", "p"), "a").join(named.toDF("b", "q"), "b")
-    beaten = ends.select(F.greatest("p", "q").alias("place")).where("place is not null").distinct().select("place.doc_id", "place.line")
-    return later.unionByName(beaten).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    classes, beaten, later = line_classes(docs, width, percent)
+    return later.unionByName(classes.join(beaten, "key").select("doc_id", "line")).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
