@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 SAMPLES, SAMPLE_CHARS = 64, 2_000
 #: More learned languages than this are an error; the sample and the dictionaries are bounded by it.
 LANGUAGES = 200
-LEVEL, BLOCK = 3, 8_192
+LEVEL, BLOCK = 6, 8_192
 #: A relative gain over the second language below this is a rejection.
 MARGIN = 0.02
 UNDETERMINED = "und"
@@ -26,18 +27,21 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """A raw-content dictionary for each non-null language value, from a bounded sample of its texts.
 
     The sample is a minimum by hash in each of SAMPLES bins, so it is the same at every partitioning and is reduced
-    before the shuffle. Null, empty and repeated texts and ids do no harm; no labelled text gives no languages.
+    before the shuffle. Languages come by falling number of texts, counted over all. Null, empty and repeated texts and
+    ids do no harm; no labelled text gives no languages.
     """
     ticket = F.xxhash64(F.col(id_col).cast("string"), F.lit("langid"))
     piece = F.substring(F.col(text_col), 1, SAMPLE_CHARS)
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.pmod(ticket, F.lit(SAMPLES)).alias("bin"), F.struct(ticket.alias("ticket"), piece.alias("piece")).alias("s"))
-    picked = rows.groupBy("lang", "bin").agg(F.min("s").alias("s")).limit(SAMPLES * (LANGUAGES + 1)).collect()
+    picked = rows.groupBy("lang", "bin").agg(F.min("s").alias("s"), F.count("*").alias("n")).limit(SAMPLES * (LANGUAGES + 1)).collect()
     texts: dict[str, list[tuple[int, str]]] = {}
+    counts: Counter[str] = Counter()
     for r in picked:
         texts.setdefault(r["lang"], []).append((r["s"]["ticket"], r["s"]["piece"]))
+        counts[r["lang"]] += r["n"]
     if len(texts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    return {lang: " ".join(p.lower() for _, p in sorted(own)).encode() for lang, own in sorted(texts.items())}
+    return {lang: " ".join(p.lower() for _, p in sorted(own)).encode() for lang, own in sorted(texts.items(), key=lambda x: (-counts[x[0]], x[0]))}
 
 
 def sizes(text: str, coders: list[zstandard.ZstdCompressor]) -> list[int]:
@@ -50,8 +54,8 @@ def sizes(text: str, coders: list[zstandard.ZstdCompressor]) -> list[int]:
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, text_col: str = "text") -> DataFrame:
     """docs without the text, and lang_pred, score and rejected. score is the relative gain over the second language, 0 to 1; rejected marks a gain below the margin.
 
-    Null, empty or letterless texts, or no learned language: ``und`` with score 0, rejected. Ties go to the first
-    language in alphabetical order, with score 0. Rows are independent: repeated rows and null ids return as they are;
+    Null, empty or letterless texts, or no learned language: ``und`` with score 0, rejected. Ties go to the
+    language with most learned texts, with score 0. Rows are independent: repeated rows and null ids return as they are;
     long texts are encoded whole, block by block; an empty table gives no rows. The other columns pass through, but
     for those named like a new one, which are replaced.
     """
@@ -73,8 +77,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
                     preds.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                ranked = sorted(zip(sizes(text, coders), langs, strict=True))
-                preds.append(ranked[0][1])
+                ranked = sorted((size, k) for k, size in enumerate(sizes(text, coders)))
+                preds.append(langs[ranked[0][1]])
                 scores.append(1.0 if len(ranked) == 1 else 1 - ranked[0][0] / ranked[1][0])
             new = (pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array([s < margin for s in scores], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], names=[*others, "lang_pred", "score", "rejected"])
