@@ -172,10 +172,10 @@ def body_font(spark, sf_dir):
     return L.body_font(rows)
 
 
-@query("""WITH s AS (SELECT l_orderkey AS doc, l_linenumber * 100000000 + l_partkey AS pos, l_returnflag AS style, l_linestatus AS text, CASE WHEN l_returnflag = lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 100000000 + l_partkey) THEN 0 ELSE 1 END AS b FROM lineitem),
+@query("""WITH s AS (SELECT l_orderkey AS doc, l_linenumber * 1000000000000 + round(l_extendedprice * 100)::BIGINT AS pos, l_returnflag AS style, l_linestatus AS text, CASE WHEN l_returnflag = lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000000000 + round(l_extendedprice * 100)::BIGINT) THEN 0 ELSE 1 END AS b FROM lineitem),
 r AS (SELECT *, sum(b) OVER (PARTITION BY doc ORDER BY pos) - 1 AS run FROM s) SELECT doc, run::BIGINT AS run, style, string_agg(text, '' ORDER BY pos) AS text FROM r GROUP BY doc, run, style""")
 def style_runs(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") * 100000000 + F.col("l_partkey")).alias("at"), F.col("l_linestatus").alias("text"), "l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") * F.lit(1000000000000) + F.round(F.col("l_extendedprice") * 100).cast("long")).alias("at"), F.col("l_linestatus").alias("text"), "l_returnflag")
     return L.runs(rows, ["doc"], "at", F.col("l_returnflag")).select("doc", "run", "style", "text")
 
 
