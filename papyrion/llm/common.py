@@ -213,8 +213,3 @@ def runs_of(unit: np.ndarray) -> list[tuple[int, int]]:
     """Start and end of each run of equal values."""
     starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1]))) if len(unit) else np.zeros(0, np.int64)
     return list(zip(starts.tolist(), [*starts[1:].tolist(), len(unit)], strict=True))
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words of one text, with A-Z lower-cased."""
-    return text.lower().split() if text else []

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm.common import WordHashes, dropped, partitions, shingle_set, words_of, written
+from papyrion.llm.common import bitmap, in_units, passes, runs_of, shingle_set, words_by_text, written
 from papyrion.llm.graph import components
 
 #: Samples of a signature are BANDS x ROWS. At a similarity of 0.8, a pair shares no band with a chance of (1 - 0.8**6)**36 = 1.6e-5; at 0.85 of 4e-8.
@@ -63,11 +63,11 @@ def _band_keys(samples: np.ndarray) -> np.ndarray:
 
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                shingles = shingle_set(memo.of(words_of(text)), width)
+            words, at = words_by_text(batch.column(1))
+            for i, doc in enumerate(batch.column(0).to_pylist()):
+                shingles = shingle_set(words[at[i] : at[i + 1]], width)
                 sketch = bands = None
                 digest = None
                 if len(shingles):
@@ -81,82 +81,114 @@ def _signatures(width: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, wanted_of):
+    """(node, shingles) of the documents that may be wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        wanted = wanted_of.value
         for batch in batches:
-            sets = [shingle_set(memo.of(words_of(x)), width).view(np.int64) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            batch = batch.filter(pa.array(passes(wanted, batch.column(2).to_numpy().view(np.uint64))))
+            words, at = words_by_text(batch.column(1))
+            sets = [shingle_set(words[at[i] : at[i + 1]], width) for i in range(batch.num_rows)]
+            digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["rep", "digest", "shingles"])
 
     return run
 
 
-def _differing(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
+def full_sets(reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(rep, shingles) of the nodes (rep, digest). A bitmap of their ids keeps all other texts out before anything is hashed or shuffled."""
+    probe = F.xxhash64("doc_id")
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(reps.select(F.xxhash64("rep").alias("h"))))
+    found = docs.where("doc_id is not null and text is not null").select("doc_id", "text", probe.alias("probe")).mapInArrow(_sets(width, wanted), "rep bigint, digest binary, shingles array<bigint>")
+    return found.join(reps.select("rep", "digest"), ["rep", "digest"], "left_semi").groupBy("rep").agg(F.first("shingles").alias("shingles"))
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. Only texts that are in a pair are read into sets."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.join(wanted, docs.doc_id == wanted.node, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = written(texts.mapInArrow(_sets(width), "node bigint, shingles array<bigint>"), "sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    links = written(both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b"), "links")
-    dropped(sets)
-    return links
 
+def _linked(limit: int, percent: int):
+    """Of each block's members: links between different labels, one for each two labels that it brings together.
 
-def _across(limit: int, percent: int):
-    """Of a bucket's block of members: pairs from different components that the sketches don't rule out, each in the first bucket they share."""
+    side 0: all members meet each other; else members of side 1 meet those of side 2. A pair must share a bucket and
+    pass the sketches; then their full sets decide.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rep", ignore_index=True)
-        reps, labels, sizes, side, first = (group[c].to_numpy() for c in ("rep", "label", "n_shingles", "side", "band"))
-        sketches, bands = np.stack(group["sketch"].to_numpy()).view(np.uint64), np.stack(group["bands"].to_numpy())
-        pivot, band = int(group["pivot"].iloc[0]), int(first[0])
+        order = np.lexsort((group["rep"].to_numpy(), group["unit"].to_numpy()))
+        unit, reps, sizes, side, labels = (group[c].to_numpy()[order] for c in ("unit", "rep", "n_shingles", "side", "label"))
+        sketches, bands, sets = (group[c].to_numpy()[order] for c in ("sketch", "bands", "shingles"))
+        found: list[tuple[int, int]] = []
+        for low, high in runs_of(unit):
+            if high - low > 1:
+                found += one(*(x[low:high] for x in (reps, sizes, side, labels, sketches, bands, sets)))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    def one(reps, sizes, side, labels, sketches, bands, sets):
+        sketches, bands = np.stack(sketches).view(np.uint64), np.stack(bands)
+        labels = np.unique(labels, return_inverse=True)[1]
+        starts = np.cumsum(sizes) - sizes
+        shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        marked = np.zeros(int(shingle.max()) + 1, np.int32)
         found = []
-        for i in np.flatnonzero(side <= 1):
-            near = (labels != labels[i]) & (reps != pivot) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-            near &= (reps > reps[i]) if side[i] == 0 else (side == 2)
-            at = np.flatnonzero(near) if reps[i] != pivot else []
+        for i in np.flatnonzero(side <= 1).tolist():
+            near = (labels != labels[i]) & (reps != reps[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+            near &= (np.arange(len(reps)) > i) if side[i] == 0 else (side == 2)
+            at = np.flatnonzero(near)
+            at = at[np.bitwise_count(sketches[at] ^ sketches[i]).sum(axis=1) <= limit]
+            at = at[(bands[at] == bands[i]).any(axis=1)]
             if len(at):
-                at = at[np.bitwise_count(sketches[at] ^ sketches[i]).sum(axis=1) <= limit]
-                at = at[~(bands[at, :band] == bands[i, :band]).any(axis=1)]
-                found += [(min(reps[i], reps[j]), max(reps[i], reps[j])) for j in at]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                own = shingle[starts[i] : starts[i] + sizes[i]]
+                marked[own] = 1
+                if len(at) < len(reps) // 4:
+                    shared = np.array([marked[shingle[starts[j] : starts[j] + sizes[j]]].sum() for j in at.tolist()])
+                else:
+                    shared = np.add.reduceat(marked[shingle], starts)[at]
+                marked[own] = 0
+                for j in at[100 * shared >= percent * (sizes[i] + sizes[at] - shared)].tolist():
+                    if labels[j] != labels[i]:
+                        found.append((reps[i], reps[j]))
+                        labels[labels == labels[j]] = labels[i]
+        return found
 
     return run
 
 
-#: Members of a bucket compared in one task; larger buckets are dealt to tasks by pairs of blocks.
-BUCKET_BLOCK = 4096
+#: Members, and shingles of all members, that are compared in one task; larger clusters are dealt to several.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 2**21
+
+
+def _blocks(members: str, shingles: str):
+    return F.greatest(F.ceil(F.col(members) / BLOCK_MEMBERS), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
+def _within(members: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Links found in blocks of each cluster; the cluster's smallest member is in every block."""
+    own = F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = members.withColumn("block", F.explode(F.when(F.col("rep") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
+    rows = dealt.withColumn("side", F.lit(0)).withColumn("label", F.col("rep"))
+    return in_units(rows, "n_shingles", "cluster", "block").groupBy("call").applyInPandas(_linked(limit, percent), "a bigint, b bigint")
 
 
-def _rest(reps: DataFrame, buckets: DataFrame, labels: DataFrame, limit: int, percent: int) -> DataFrame:
-    """Candidate pairs that no pivot has settled: buckets in which members of two components remain."""
-    member = reps.select("rep", "n_shingles", F.posexplode("bands").alias("band", "bucket")).join(buckets.where("members > 2"), "bucket")
-    member = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = member.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-    member = member.join(mixed, "bucket").select("rep", "n_shingles", "bucket", "band", "label", F.col("pivot.rep").alias("pivot"), "members")
-    blocks = F.ceil(F.col("members") / BUCKET_BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    # each unordered pair of blocks is a task: side 0 within a block, 1 and 2 for the two blocks of a pair
-    dealt = member.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    dealt = dealt.withColumn("side", F.when(F.col("low") == F.col("high"), 0).when(F.col("own") == F.col("low"), 1).otherwise(2))
-    rows = dealt.join(reps.select("rep", "sketch", "bands"), "rep").select("bucket", "low", "high", "side", "band", "rep", "label", "n_shingles", "pivot", "sketch", "bands")
-    return rows.groupBy("bucket", "low", "high").applyInPandas(_across(limit, percent), "a bigint, b bigint").distinct()
+def _between(members: DataFrame, labels: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Links that blocks have kept apart: of clusters of several blocks, the members outside the cluster's largest component meet all its members."""
+    parted = members.where("blocks > 1").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    most = parted.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "label"))["label"].alias("largest"))
+    minor = parted.join(most, "cluster").where("label != largest").drop("largest")
+    sizes = minor.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).select("cluster", _blocks("members", "total").alias("minors"))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = minor.join(sizes, "cluster").withColumn("x", own("minors")).withColumn("y", every("blocks")).withColumn("side", F.lit(1))
+    right = parted.join(sizes, "cluster").withColumn("y", own("blocks")).withColumn("x", every("minors")).withColumn("side", F.lit(2))
+    return in_units(left.unionByName(right), "n_shingles", "cluster", "x", "y").groupBy("call").applyInPandas(_linked(limit, percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of texts whose sets of word shingles have a Jaccard similarity of percent/100 or more.
 
     Returns (doc_id, n_shingles, component_id, kept) for every row. Texts with equal sets form a class first, so copies
-    never meet each other; each band's bucket then links its members to a pivot (a number of pairs in proportion to the
-    rows), candidates pass the odd-sketch estimate and are confirmed on full sets. Buckets that still hold members of
-    two components after that are compared across components only, in blocks of bounded size, with the sketches
-    deciding which pairs are confirmed.
+    never meet each other. Each band's bucket ties its members to its smallest (a number of pairs in proportion to the
+    rows), and the components of these ties are the clusters within which links are sought, in blocks of bounded size:
+    members that share a bucket pass the odd-sketch estimate and are then compared on full sets, and members that a
+    link has brought together are not compared again. Of clusters of several blocks, the members outside the largest
+    component then meet all others, block by block, so no link between components is lost.
 
     Null or empty text, or one without words: an empty set, a component of its own. Null id: kept as it is, with a
     null component. Repeated rows each return; rows that share an id are one node (the smallest text and digest stand
@@ -171,17 +203,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     one = named.groupBy("rep").agg(F.min("digest").alias("digest"))
     reps = signed.join(one, (signed.doc_id == one.rep) & (signed.digest == one.digest)).groupBy("rep").agg(*(F.first(signed[c]).alias(c) for c in ("n_shingles", "sketch", "bands")))
     reps = written(reps, "reps")
-    entries = reps.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    buckets = written(entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n_shingles")).alias("pivot")).where("members > 1"), "buckets")
-    close = 100 * F.least("n_shingles", "pivot.n_shingles") >= percent * F.greatest("n_shingles", "pivot.n_shingles")
-    star = entries.join(buckets, "bucket").where((F.col("rep") != F.col("pivot.rep")) & close).select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    sketches = reps.select("rep", "sketch")
-    near = star.join(sketches.toDF("a", "s"), "a").join(sketches.toDF("b", "t"), "b").where(_differing("s", "t") <= limit).select("a", "b")
-    links = _confirmed(written(near, "near"), docs, width, percent)
+    entries = reps.select("rep", F.explode("bands").alias("bucket"))
+    pivots = entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).where("members > 1")
+    ties = entries.join(pivots, "bucket").where(F.col("rep") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    tied = components(ties)
+    clusters = tied.select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
+    clusters = clusters.unionByName(tied.select(F.col("label").alias("rep"), F.col("label").alias("cluster")).distinct())
+    members = clusters.join(reps, "rep")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).select("cluster", _blocks("members", "total").alias("blocks"))
+    members = members.join(sizes, "cluster")
+    members = written(members.join(full_sets(members.join(one, "rep").select("rep", "digest"), docs, width), "rep"), "members")
+    links = written(_within(members, limit, percent), "links")
     labels = components(links)
-    rest = written(_rest(reps, buckets, labels, limit, percent), "rest")
-    if not rest.isEmpty():
-        more = _confirmed(rest, docs, width, percent)
+    if not members.where("blocks > 1").isEmpty():
+        more = written(_between(members, labels, limit, percent), "links")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     classed = named.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
