@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,46 +125,64 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word ``[^\\x20\\x09-\\x0D]+`` of some texts starts, and its 64-bit hash with A-Z lower-cased.
+def hashed_words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of some texts starts and ends, and its 64-bit hash with A-Z lower-cased.
 
-    A word's hash is a polynomial over its bytes, taken from running sums over a block of texts, so no word becomes a
-    Python object. Blocks end between words; a word ends where its text does.
+    Words are ``[^\\x20\\x09-\\x0D]+``, or runs of the bytes that are marked in word. A word's hash is a polynomial over its
+    bytes, taken from running sums over a block of texts, so no word becomes a Python object. Blocks end between
+    words; a word ends where its text does.
     """
-    starts, hashes, begin = [], [], 0
+    starts, stops, hashes, begin = [], [], [], 0
+    word = _WORD[data] if word is None else word
     firsts = np.unique(offsets)
     while begin < len(data):
         end = min(begin + _BLOCK, len(data))
         while end < len(data):  # on to the next place between words
-            more = _WORD[data[end : end + 4096]]
+            more = word[end : end + 4096]
             stop = end + int(more.argmin()) if not more.all() else end + len(more)
             text = firsts[np.searchsorted(firsts, end)]
             end = min(stop, int(text))
             if end == text or stop < end + len(more) or end == len(data):
                 break
-        part = data[begin:end]
-        word = _WORD[part]
+        part, own = data[begin:end], word[begin:end]
         edge = np.zeros(len(part) + 1, bool)
         inside = firsts[np.searchsorted(firsts, begin) : np.searchsorted(firsts, end, side="right")] - begin
         edge[inside] = True
         edge[0] = edge[-1] = True
-        low = np.flatnonzero(word & (edge[:-1] | np.concatenate(([True], ~word[:-1]))))
-        high = np.flatnonzero(word & (edge[1:] | np.concatenate((~word[1:], [True])))) + 1
+        low = np.flatnonzero(own & (edge[:-1] | np.concatenate(([True], ~own[:-1]))))
+        high = np.flatnonzero(own & (edge[1:] | np.concatenate((~own[1:], [True])))) + 1
         up, down = _Powers.of(len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((_LOWER[part].astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
         hashes.append(mixed((sums[high] - sums[low]) * down[low] + (high - low).astype(np.uint64)))
         starts.append(low + begin)
+        stops.append(high + begin)
         begin = end
     if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(hashes)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(starts), np.concatenate(stops), np.concatenate(hashes)
+
+
+#: Bytes of text handled at once by a worker, but for a single text that is longer.
+PART_BYTES = 2**22
+
+
+def in_parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """A column's texts in runs of about PART_BYTES bytes, with the number of the first."""
+    at, total = 0, 0
+    for i, size in enumerate(np.diff(bytes_of(texts)[1]).tolist()):
+        if total and total + size > PART_BYTES:
+            yield at, texts.slice(at, i - at)
+            at, total = i, 0
+        total += size
+    if at < len(texts):
+        yield at, texts.slice(at)
 
 
 def words_by_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words of a column of texts, where each text's words start, and the end)."""
     data, offsets = bytes_of(column)
-    starts, hashes = hashed_words(data, offsets)
+    starts, _, hashes = hashed_words(data, offsets)
     return hashes, np.searchsorted(starts, offsets)
 
 

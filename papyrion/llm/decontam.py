@@ -3,123 +3,113 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm.common import bitmap, passes
+from papyrion.llm.common import bitmap, bytes_of, hashed_words, in_parts, mixed, passes
 
 #: Words of a window; an item with fewer words is one window. A window needs so many plain words, or its slots stay as they are.
 WINDOW, PLAIN = 8, 4
 #: An item is found where windows at one alignment cover so much of it, or so many words in all.
 COVERAGE, LONG_MATCH = 0.5, 13
-MEMO_WORDS = 300_000
 #: Words that are units after a number.
-UNITS = frozenset("mm cm m km in ft mi mg g kg t lb oz ml l s sec min h hr hrs day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres mile miles inch inches foot feet gram grams kilogram kilograms pound pounds liter liters litre litres percent % degree degrees dollar dollars euro euros cent cents usd eur gbp $ € £".split())
-_NUMBER = regex.compile(r"[+-]?[$€£]?\d+(?:[.,:/]\d+)*(%|\p{L}{0,3})")
-_EDGES = regex.compile(r"^[^\p{L}\p{N}$€£%+-]+|[^\p{L}\p{N}$€£%]+$")
-NUM, NAME, UNIT = "\x00num", "\x00name", "\x00unit"
-
-
-class Canon(dict):
-    """Numbers the raw words of a worker; the arrays hold by number what a word is by itself. Emptied between texts when it is full."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self._size(1024)
-
-    def _size(self, room: int) -> None:
-        grown = [np.zeros(room, t) for t in (np.uint64, bool, bool, bool, bool)]
-        if len(self):
-            for new, old in zip(grown, (self.hash, self.number, self.name, self.unit, self.ends), strict=True):
-                new[: len(old)] = old
-        self.hash, self.number, self.name, self.unit, self.ends = grown
-        self.low = self.low if len(self) else []
-
-    def __missing__(self, raw: str) -> int:
-        at = len(self)
-        if at == len(self.hash):
-            self._size(2 * at)
-        word = _EDGES.sub("", raw)
-        low = word.lower()
-        self.low.append(low)
-        self.hash[at] = xxhash.xxh64_intdigest(low.encode())
-        self.ends[at] = raw.rstrip("\"')]»”’")[-1:] in tuple(".!?:")
-        self.number[at] = bool(m := _NUMBER.fullmatch(word)) and (not m[1] or m[1].lower() in UNITS)
-        self.name[at] = word[:1].isupper() and len(word) > 1 and word[1:].islower()
-        self.unit[at] = low in UNITS
-        self[raw] = at
-        return at
-
-    def numbers(self, text: str | None) -> np.ndarray:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-            self._size(1024)
-        words = text.split() if text else []
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-_HASH_OF = {k: np.uint64(xxhash.xxh64_intdigest(k.encode())) for k in (NUM, NAME, UNIT)}
-_EMPTY = np.uint64(xxhash.xxh64_intdigest(b""))
-
-
-def canonical(text: str | None, memo: Canon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words with and without placeholders, where a slot is, and the words' numbers in the memo. Words of marks only are left out.
-
-    A capitalised word is a name unless it opens a sentence; a unit is one only after a number.
+UNITS = frozenset("mm cm m km in ft mi mg g kg t lb oz ml l s sec min h hr hrs day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres mile miles inch inches foot feet gram grams kilogram kilograms pound pounds liter liters litre litres percent degree degrees dollar dollars euro euros cent cents usd eur gbp".split())
+
+_BYTES = np.arange(256)
+_DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
+_CAPITAL = (_BYTES >= 65) & (_BYTES <= 90)
+_LETTER = _CAPITAL | (_BYTES >= 97) & (_BYTES <= 122) | (_BYTES >= 128)
+_WITHIN = np.isin(_BYTES, list(b".,:/"))
+_ENDS = np.isin(_BYTES, list(b".!?:"))
+_NUM, _NAME, _UNIT = (np.uint64(k) for k in (0x9D5C1B7E3F2A6481, 0x3B1F8E6D4C2A9075, 0xC4A7E1539B0D2F68))
+_UNIT_HASHES = np.sort(hashed_words(np.frombuffer(" ".join(sorted(UNITS)).encode(), np.uint8), np.array([0]))[2])
+
+
+@dataclass
+class Canonical:
+    """The words of some texts, one after another: letters and digits, with marks between digits; other marks are left out.
+
+    plain are hashes of the lower-cased words; in typed, numbers (what starts with a digit), names (a capital and then
+    none, but where a sentence opens) and units (after a number) have the hash of their kind.
     """
-    ids = memo.numbers(text)
-    ids = ids[memo.hash[ids] != _EMPTY]
-    plain = memo.hash[ids]
-    number, ends = memo.number[ids], memo.ends[ids]
-    unit = memo.unit[ids] & np.concatenate(([False], number))[: len(ids)]
-    name = memo.name[ids] & ~np.concatenate(([True], ends))[: len(ids)] & ~number & ~unit
-    typed = plain.copy()
-    typed[name], typed[unit], typed[number] = _HASH_OF[NAME], _HASH_OF[UNIT], _HASH_OF[NUM]
-    return plain, typed, number | unit | name, ids
-
-
-def window_hashes(plain: np.ndarray, typed: np.ndarray, slot: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each window: of its template, or of its plain words where it has too few of them outside slots."""
-    count = len(plain) - width + 1
-    if count <= 0:
-        return np.zeros(0, np.uint64)
-    slots = np.cumsum(np.concatenate(([0], slot)))
-    loose = width - (slots[width:] - slots[:-width]) >= min(PLAIN, width)
-    acc = np.full(count, np.uint64(width))
-    for j in range(width):
-        acc = (acc ^ np.where(loose, typed[j : j + count], plain[j : j + count])) * np.uint64(0x9FB21C651E98DF25)
-        acc ^= acc >> np.uint64(29)
-    return acc
 
+    data: np.ndarray
+    starts: np.ndarray
+    stops: np.ndarray
+    bounds: np.ndarray
+    plain: np.ndarray
+    typed: np.ndarray
+    slot: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array) -> Canonical:
+        data, offsets = bytes_of(column)
+        digit = _DIGIT[data]
+        between = np.zeros(len(data), bool)
+        between[1:-1] = digit[:-2] & digit[2:] & _WITHIN[data[1:-1]]
+        between[offsets[:-1][offsets[:-1] < len(data)]] = False
+        between[offsets[1:][offsets[1:] > 0] - 1] = False
+        starts, stops, plain = hashed_words(data, offsets, _LETTER[data] | digit | between)
+        bounds = np.searchsorted(starts, offsets)
+        first = np.zeros(len(starts) + 1, bool)
+        first[bounds] = True
+        first = first[:-1]
+        number = digit[starts]
+        unit = np.zeros(len(starts), bool)
+        unit[1:] = number[:-1] & (_UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, plain[1:]), len(_UNIT_HASHES) - 1)] == plain[1:])
+        unit &= ~first & ~number
+        marks = np.concatenate(([0], np.cumsum(_ENDS[data])))
+        opens = first.copy()
+        opens[1:] |= marks[starts[1:]] > marks[stops[:-1]]
+        second = np.minimum(starts + 1, max(len(data) - 1, 0))
+        name = _CAPITAL[data[starts]] & (stops - starts > 1) & ~_CAPITAL[data[second]] & ~opens & ~unit
+        typed = plain.copy()
+        typed[name], typed[unit], typed[number] = _NAME, _UNIT, _NUM
+        return cls(data, starts, stops, bounds, plain, typed, number | unit | name)
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, hashes) of the windows of so many words within a text: of the template, or of the plain words where it has too few of them outside slots."""
+        count = len(self.plain) - width + 1
+        if count <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        slots = np.concatenate(([0], np.cumsum(self.slot)))
+        loose = width - (slots[width:] - slots[:-width]) >= min(PLAIN, width)
+        acc = np.full(count, np.uint64(width))
+        for j in range(width):
+            acc = (acc ^ np.where(loose, self.typed[j : j + count], self.plain[j : j + count])) * np.uint64(0x9FB21C651E98DF25)
+            acc ^= acc >> np.uint64(29)
+        n = np.diff(self.bounds)
+        inside = np.flatnonzero(np.arange(count) + width <= np.repeat(self.bounds[1:], n)[:count])
+        return inside, mixed(acc[inside])
+
+    def values(self, at: int, width: int) -> list[str]:
+        return [bytes(self.data[self.starts[k] : self.stops[k]]).decode(errors="replace").lower() for k in range(at, at + width) if self.slot[k]]
 
-def _emit(wanted_of, widths_of, item: bool):
-    names = ["id", "window", "at", "words", "slots"]
 
+def _emit(wanted_of, widths_of, item: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Canon()
         wanted = None if wanted_of is None else wanted_of.value
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                plain, typed, slot, ids = canonical(text, memo)
-                widths = [min(WINDOW, len(plain))] if item else widths_of
-                for width in widths if len(plain) else ():
-                    hashes = window_hashes(plain, typed, slot, width)
-                    if wanted is None:
-                        hits = np.arange(len(hashes))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for start, column in in_parts(batch.column(1)):
+                texts = Canonical.of(column)
+                n = np.diff(texts.bounds)
+                of_word = np.repeat(np.arange(len(n)), n)
+                for width in range(1, WINDOW + 1) if item else widths_of:
+                    at, hashes = texts.windows(width)
+                    if item:  # an item's windows have one width
+                        keep = np.minimum(n[of_word[at]], WINDOW) == width
                     else:
-                        hits = np.flatnonzero(passes(wanted, hashes))
-                    for at in hits.tolist():
-                        where = np.flatnonzero(slot[at : at + width])
-                        for column, value in zip(out, (key, int(hashes[at].view(np.int64)), at, len(plain), [memo.low[ids[at + k]] for k in where.tolist()]), strict=True):
-                            column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
+                        keep = passes(wanted, hashes)
+                    at, hashes = at[keep], hashes[keep]
+                    if len(at):
+                        text = of_word[at]
+                        columns = (pa.array(ids[start + text], pa.int64()), pa.array(hashes.view(np.int64)), pa.array(at - texts.bounds[text], pa.int64()), pa.array(n[text], pa.int64()), pa.array([texts.values(k, width) for k in at.tolist()], pa.list_(pa.string())))
+                        yield pa.RecordBatch.from_arrays(list(columns), names=["id", "window", "at", "words", "slots"])
 
     return run
 

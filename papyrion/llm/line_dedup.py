@@ -16,20 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm.common import bitmap, bytes_of, in_units, runs_of, hashed_words, mixed, partitions, passes, rolled, written
+from papyrion.llm.common import bitmap, bytes_of, hashed_words, in_parts, in_units, mixed, partitions, passes, rolled, runs_of, written
 from papyrion.llm.graph import components
 
 WIDTH, PERCENT = 5, 80
 #: Counters by hash that rank tokens by rarity: so many for any input, counting every token. Which tokens share one is a matter of cost only.
 COUNTERS, SLICE = 2**20, 2**16
-#: Bytes of text handled at once by a worker, but for a single text that is longer.
-BYTES = 2**22
-
-
 def line_tokens(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a column's lines with words: text number, line number in its text, and all their tokens with the line that each is of."""
     data, offsets = bytes_of(column)
-    starts, hashes = hashed_words(data, offsets)
+    starts, _, hashes = hashed_words(data, offsets)
     ends = np.flatnonzero(data == 10) + 1
     text_of_end = np.searchsorted(offsets, ends - 1, side="right") - 1
     place = np.concatenate((offsets[:-1], ends))
@@ -57,25 +53,11 @@ def line_tokens(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, n
     return text, number, tokens, lines
 
 
-def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.Array]]:
-    """A batch's texts in runs of about BYTES bytes, with the number of the first."""
-    texts = batch.column(column)
-    sizes = np.diff(bytes_of(texts)[1])
-    at, total = 0, 0
-    for i, size in enumerate(sizes.tolist()):
-        if total and total + size > BYTES:
-            yield at, texts.slice(at, i - at)
-            at, total = i, 0
-        total += size
-    if at < len(texts):
-        yield at, texts.slice(at)
-
-
 def _count(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for _, texts in _parts(batch, 1):
+            for _, texts in in_parts(batch.column(1)):
                 tokens = line_tokens(texts, width)[2]
                 counts += np.bincount((tokens & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         at = [k for k in range(COUNTERS // SLICE) if counts[k * SLICE : (k + 1) * SLICE].any()]
@@ -129,7 +111,7 @@ def _deal(ranks_of, width: int, percent: int, parts: int):
         ranks = ranks_of.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, texts in _parts(batch, 1):
+            for first, texts in in_parts(batch.column(1)):
                 of_text, of_line, tokens, lines = line_tokens(texts, width)
                 if not len(tokens):
                     continue
@@ -265,7 +247,7 @@ def _wanted_tokens(width: int, docs_of, keys_of):
         for batch in batches:
             batch = batch.filter(pa.array(passes(wanted, batch.column(2).to_numpy().view(np.uint64))))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, texts in _parts(batch, 1):
+            for first, texts in in_parts(batch.column(1)):
                 of_text, of_line, tokens, lines = line_tokens(texts, width)
                 if not len(tokens):
                     continue

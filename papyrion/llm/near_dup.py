@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm.common import bitmap, in_units, passes, runs_of, shingle_set, words_by_text, written
+from papyrion.llm.common import bitmap, in_parts, in_units, passes, runs_of, shingle_set, words_by_text, written
 from papyrion.llm.graph import components
 
 #: Samples of a signature are BANDS x ROWS. At a similarity of 0.8, a pair shares no band with a chance of (1 - 0.8**6)**36 = 1.6e-5; at 0.85 of 4e-8.
@@ -65,8 +65,8 @@ def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            words, at = words_by_text(batch.column(1))
-            for i, doc in enumerate(batch.column(0).to_pylist()):
+            texts = ((words, at, i) for _, part in in_parts(batch.column(1)) for words, at in [words_by_text(part)] for i in range(len(part)))
+            for doc, (words, at, i) in zip(batch.column(0).to_pylist(), texts, strict=True):
                 shingles = shingle_set(words[at[i] : at[i + 1]], width)
                 sketch = bands = None
                 digest = None
