@@ -15,8 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pre-tokens whose ids a worker remembers before it forgets them all; longer ones are never remembered.
-MEMO_TOKENS, MEMO_BYTES = 200_000, 64
+#: Pre-tokens whose ids a worker remembers, about 200 MB, before it forgets them all; longer ones are never remembered.
+MEMO_TOKENS, MEMO_BYTES = 700_000, 64
 #: Keys to a bucket of the perfect hash.
 BUCKET = 4
 
@@ -87,27 +87,29 @@ class Codec:
 
     def merged(self, token: bytes) -> list[int]:
         """Merges the neighbours of lowest rank, leftmost first, until none can be merged. O(n log n) for n bytes."""
-        rank = self.ranks.get
-        parts: list[bytes | None] = [token[i : i + 1] for i in range(len(token))]
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        heap = [(r, i, 2) for i in range(len(parts) - 1) if (r := rank(token[i : i + 2])) is not None]
+        rank, count = self.ranks.get, len(token)
+        parts: list[bytes | None] = [token[i : i + 1] for i in range(count)]
+        after, before = list(range(1, count + 1)), list(range(-1, count - 1))
+        heap = [(r, i, 2) for i in range(count - 1) if (r := rank(token[i : i + 2])) is not None]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, left, length = heapq.heappop(heap)
-            if parts[left] is None or (right := after[left]) >= len(parts) or len(parts[left]) + len(parts[right]) != length:
+            _, left, length = pop(heap)
+            own, right = parts[left], after[left]
+            if own is None or right >= count or len(own) + len(parts[right]) != length:
                 continue  # one of the two has been merged since
-            parts[left] += parts[right]
+            own = parts[left] = token[left : left + length]
             parts[right] = None
-            after[left] = after[right]
-            if after[left] < len(parts):
-                before[after[left]] = left
-                joined = parts[left] + parts[after[left]]
+            right = after[left] = after[right]
+            if right < count:
+                before[right] = left
+                joined = own + parts[right]
                 if (r := rank(joined)) is not None:
-                    heapq.heappush(heap, (r, left, len(joined)))
+                    push(heap, (r, left, len(joined)))
             if (prior := before[left]) >= 0:
-                joined = parts[prior] + parts[left]
+                joined = parts[prior] + own
                 if (r := rank(joined)) is not None:
-                    heapq.heappush(heap, (r, prior, len(joined)))
+                    push(heap, (r, prior, len(joined)))
         return [self.ranks[p] for p in parts if p is not None]
 
     def _learn(self, tokens: list[str]) -> dict[str, tuple[int, ...]]:
