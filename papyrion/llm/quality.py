@@ -88,7 +88,7 @@ def _one_word(m: Measured) -> bool:
 RULES: dict[str, Rule] = {
     "symbols": lambda m: 10 * m.n_symbols > m.n_words,
     "word_length": lambda m: not 2 * m.n_words <= m.word_chars <= 15 * m.n_words,
-    "dup_lines": lambda m: 10 * m.n_dup_lines > 3 * m.n_lines,
+    "dup_lines": lambda m: m.n_dup_lines >= 3 and 10 * m.n_dup_lines > 3 * m.n_lines,  # one line twice in a short text is no sign
     "exclaimed": lambda m: 10 * m.text.count("!!") > m.n_words,
     "capitals": _capitals,
     "marks_only": _marks_only,

@@ -105,7 +105,7 @@ m AS (SELECT w.doc_id, t, ws, len(ws) AS n_words, coalesce(list_sum(list_transfo
   coalesce(r.n, 0) AS n_repeat_words, coalesce(o.top, 0) AS top FROM w LEFT JOIN r USING (doc_id) LEFT JOIN o USING (doc_id)),
 b AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT 10 * n_symbols > n_words AND 2 * n_words <= word_chars AND word_chars <= 15 * n_words AND NOT 10 * n_dup_lines > 3 * len(lines)
+  NOT base_failed AND NOT 10 * n_symbols > n_words AND 2 * n_words <= word_chars AND word_chars <= 15 * n_words AND NOT (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * len(lines))
   AND NOT 10 * ((length(t) - length(replace(t, '!!', ''))) // 2) > n_words
   AND NOT length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) > 0.5 * length(regexp_replace(t, '[^\p{{L}}]', '', 'g'))
   AND NOT 2 * len(list_filter(ws, lambda x: NOT regexp_matches(x, '[\p{{L}}\p{{N}}]'))) > n_words AND NOT 100 * top > 30 * n_words AS kept
