@@ -125,6 +125,16 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def _long_word(data: np.ndarray) -> np.ndarray:
+    """The hash of one word, as :func:`hashed_words` has it, in memory that does not follow the word's length."""
+    total, shift, step = 0, 1, pow(_MULTIPLIER, _BLOCK, 2**64)
+    for at in range(0, len(data), _BLOCK):
+        part = data[at : at + _BLOCK]
+        total += shift * int(((_LOWER[part].astype(np.uint64) + np.uint64(1)) * _Powers.of(len(part))[0]).sum())
+        shift = shift * step & 0xFFFFFFFFFFFFFFFF
+    return mixed(np.array([(total + len(data)) & 0xFFFFFFFFFFFFFFFF], np.uint64))
+
+
 def hashed_words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each word of some texts starts and ends, and its 64-bit hash with A-Z lower-cased.
 
@@ -139,11 +149,22 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray | None
         end = min(begin + _BLOCK, len(data))
         while end < len(data):  # on to the next place between words
             more = word[end : end + 4096]
-            stop = end + int(more.argmin()) if not more.all() else end + len(more)
+            gap = not more.all()
+            stop = end + int(more.argmin() if gap else len(more))
             text = firsts[np.searchsorted(firsts, end)]
             end = min(stop, int(text))
-            if end == text or stop < end + len(more) or end == len(data):
+            if gap or end == text:
                 break
+        if end - begin > 2 * _BLOCK:  # a long word, taken by itself and in pieces
+            spaces = np.flatnonzero(~word[begin : begin + _BLOCK])
+            first = max(int(firsts[np.searchsorted(firsts, begin + _BLOCK) - 1]), begin + (int(spaces[-1]) + 1 if len(spaces) else 0))
+            if first <= begin:
+                starts.append(np.array([begin]))
+                stops.append(np.array([end]))
+                hashes.append(_long_word(data[begin:end]))
+                begin = end
+                continue
+            end = first
         part, own = data[begin:end], word[begin:end]
         edge = np.zeros(len(part) + 1, bool)
         inside = firsts[np.searchsorted(firsts, begin) : np.searchsorted(firsts, end, side="right")] - begin

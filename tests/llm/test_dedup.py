@@ -47,6 +47,29 @@ def test_hashed_words_are_those_of_the_pattern(monkeypatch):
         assert len(set(named.values())) == len(named)
 
 
+def test_long_words_across_block_edges(monkeypatch):
+    rng = random.Random(3)
+    runs = ["".join(rng.choice("abcé漢字") for _ in range(n)) for n in (12_000, 400_000)]
+    texts = [f"one {runs[0]} two", runs[1], f"{runs[1]}x {runs[0]}", f"one {runs[0]} two", runs[1].upper(), f"three {runs[1]}", ""]
+    alone = [common.words_by_text(pa.array([t]))[0].tolist() for t in texts]
+    assert [len(x) for x in alone] == [len(t.split()) for t in texts]
+    for block in (common._BLOCK, 5_000, 2**22):
+        monkeypatch.setattr(common, "_BLOCK", block)
+        for size in (0, common._BLOCK - 6_000, common._BLOCK - 1, common._BLOCK):
+            filler = ("ab " * (size // 3 + 1))[: max(size, 0)]
+            hashes, at = common.words_by_text(pa.array([filler, *texts]))
+            assert [hashes[at[i] : at[i + 1]].tolist() for i in range(1, len(texts) + 1)] == alone
+    assert alone[0] == alone[3] and alone[0][1] == alone[2][1] and alone[1][0] == alone[5][1] != alone[2][0]
+
+
+def test_near_duplicates_with_a_long_word(spark):
+    run, filler = "漢字かな" * 5_000, "some words to fill a block "
+    texts = [filler * 9_600, run, run, filler * 9_650, f"{run} a", run]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = brute_components(list(enumerate(texts)), 3, 85)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs, 3, 85).collect()} == want
+
+
 def brute_lines(rows, width=5, percent=80):
     """Removed (doc_id, line) by comparing every line to every earlier one."""
     seen = sorted({(d, i, frozenset(shingles(x, width))) for d, t in rows if t is not None and d is not None for i, x in enumerate(t.split("\n"))}, key=lambda r: r[:2])
