@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from papyrion.llm.common import bitmap, bytes_of, hashed_words, in_parts, mixed, passes
 
-#: Words of a window; an item with fewer words is one window. A window needs so many plain words, or its slots stay as they are.
+#: Words of a window; an item with fewer words is one window. A window needs so many plain words, or is found word for word only.
 WINDOW, PLAIN = 8, 4
 #: An item is found where windows at one alignment cover so much of it, or so many words in all.
 COVERAGE, LONG_MATCH = 0.5, 13
@@ -46,7 +47,8 @@ class Canonical:
     slot: np.ndarray
 
     @classmethod
-    def of(cls, column: pa.Array) -> Canonical:
+    def of(cls, column: pa.Array, opening: bool = True) -> Canonical:
+        """opening: a text's first word opens a sentence; else it is typed as it would be within one."""
         data, offsets = bytes_of(column)
         digit = _DIGIT[data]
         between = np.zeros(len(data), bool)
@@ -63,27 +65,27 @@ class Canonical:
         unit[1:] = number[:-1] & (_UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, plain[1:]), len(_UNIT_HASHES) - 1)] == plain[1:])
         unit &= ~first & ~number
         marks = np.concatenate(([0], np.cumsum(_ENDS[data])))
-        opens = first.copy()
-        opens[1:] |= marks[starts[1:]] > marks[stops[:-1]]
+        opens = first & opening
+        opens[1:] |= ~first[1:] & (marks[starts[1:]] > marks[stops[:-1]])
         second = np.minimum(starts + 1, max(len(data) - 1, 0))
         name = _CAPITAL[data[starts]] & (stops - starts > 1) & ~_CAPITAL[data[second]] & ~opens & ~unit
         typed = plain.copy()
         typed[name], typed[unit], typed[number] = _NAME, _UNIT, _NUM
         return cls(data, starts, stops, bounds, plain, typed, number | unit | name)
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first words, hashes) of the windows of so many words within a text: of the template, or of the plain words where it has too few of them outside slots."""
+    def windows(self, width: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, hashes) of the windows of so many words within a text: of the plain words where exact, else of the template, without those that have too few plain words outside slots."""
         count = len(self.plain) - width + 1
         if count <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         slots = np.concatenate(([0], np.cumsum(self.slot)))
         loose = width - (slots[width:] - slots[:-width]) >= min(PLAIN, width)
-        acc = np.full(count, np.uint64(width))
+        acc = np.full(count, np.uint64(width + 2 * WINDOW * exact))
         for j in range(width):
-            acc = (acc ^ np.where(loose, self.typed[j : j + count], self.plain[j : j + count])) * np.uint64(0x9FB21C651E98DF25)
+            acc = (acc ^ (self.plain if exact else self.typed)[j : j + count]) * np.uint64(0x9FB21C651E98DF25)
             acc ^= acc >> np.uint64(29)
         n = np.diff(self.bounds)
-        inside = np.flatnonzero(np.arange(count) + width <= np.repeat(self.bounds[1:], n)[:count])
+        inside = np.flatnonzero((np.arange(count) + width <= np.repeat(self.bounds[1:], n)[:count]) & (loose | exact))
         return inside, mixed(acc[inside])
 
     def values(self, at: int, width: int) -> list[str]:
@@ -99,26 +101,31 @@ def _emit(wanted_of, widths_of, item: bool):
                 texts = Canonical.of(column)
                 n = np.diff(texts.bounds)
                 of_word = np.repeat(np.arange(len(n)), n)
-                for width in range(1, WINDOW + 1) if item else widths_of:
-                    at, hashes = texts.windows(width)
+                # an item's first word may stand anywhere in a sentence of a document
+                readings = [(texts, False), (texts, True), *([(Canonical.of(column, False), False)] if item else [])]
+                for (read, exact), width in product(readings, range(1, WINDOW + 1) if item else widths_of):
+                    at, hashes = read.windows(width, exact)
                     if item:  # an item's windows have one width
                         keep = np.minimum(n[of_word[at]], WINDOW) == width
+                        if read is not texts:
+                            keep &= at == texts.bounds[of_word[at]]
                     else:
                         keep = passes(wanted, hashes)
                     at, hashes = at[keep], hashes[keep]
                     if len(at):
                         text = of_word[at]
-                        columns = (pa.array(ids[start + text], pa.int64()), pa.array(hashes.view(np.int64)), pa.array(at - texts.bounds[text], pa.int64()), pa.array(n[text], pa.int64()), pa.array([texts.values(k, width) for k in at.tolist()], pa.list_(pa.string())))
-                        yield pa.RecordBatch.from_arrays(list(columns), names=["id", "window", "at", "words", "slots"])
+                        slots = [read.values(k, width) if item or not exact else [] for k in at.tolist()]
+                        columns = (pa.array(ids[start + text], pa.int64()), pa.array(hashes.view(np.int64)), pa.array(at - texts.bounds[text], pa.int64()), pa.array(n[text], pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(np.full(len(at), exact)))
+                        yield pa.RecordBatch.from_arrays(list(columns), names=["id", "window", "at", "words", "slots", "exact"])
 
     return run
 
 
-_WINDOWS = "id bigint, window bigint, at bigint, words bigint, slots array<string>"
+_WINDOWS = "id bigint, window bigint, at bigint, words bigint, slots array<string>, exact boolean"
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(id, window, at, words, slots) for each window of each item with an id; items without words have none."""
+    """(id, window, at, words, slots, exact) for each window of each item with an id, as a template and word for word; items without words have none."""
     source = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     return source.mapInArrow(_emit(None, None, True), _WINDOWS)
 
@@ -138,7 +145,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     found = source.mapInArrow(_emit(wanted, widths, False), _WINDOWS).alias("d")
     at = found.join(items.alias("b"), F.col("d.window") == F.col("b.window")).select(
-        F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), (F.col("d.at") - F.col("b.at")).alias("offset"), F.col("b.at").alias("at"), F.col("b.words").alias("words"), F.zip_with("b.slots", "d.slots", lambda x, y: F.struct(x.alias("own"), y.alias("seen"))).alias("slots")
+        F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), (F.col("d.at") - F.col("b.at")).alias("offset"), F.col("b.at").alias("at"), F.col("b.words").alias("words"), F.col("b.exact").alias("exact"),
+        F.zip_with("b.slots", F.when(F.col("b.exact"), F.col("b.slots")).otherwise(F.col("d.slots")), lambda x, y: F.struct(x.alias("own"), y.alias("seen"))).alias("slots"),
     )
     aligned = at.groupBy("doc_id", "item_id", "offset").agg(F.countDistinct("at").alias("n"), F.first("words").alias("words"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     one_to_one = (F.size(F.array_distinct(F.col("slots.own"))) == F.size("slots")) & (F.size(F.array_distinct(F.col("slots.seen"))) == F.size("slots"))

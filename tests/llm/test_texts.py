@@ -210,6 +210,15 @@ def test_decontamination(spark):
     assert decontam.decontaminate(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_of_short_items_after_any_mark(spark):
+    items = spark.createDataFrame([(1, "What is the capital of France"), (2, "Name the Largest Ocean")], "item_id long, text string")
+    texts = [f"some heading{mark}What is the capital of France" for mark in ("\n", " - ", ", ", ' "', "\n* ", ". ", "\n\n1) ")]
+    texts += ["some heading\nWhat is the capital of Spain", "What is the capital of Spain", "a list\nName the Largest Ocean\n", "a list\nName the Deepest Ocean now", "What is the Capital", "Where is the capital of France"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontam.decontaminate(docs, items).collect()}
+    assert [got[i] for i in range(len(texts))] == [[1]] * 9 + [[2], []] + [[]] * 2
+
+
 def page(host, k, body, extra=""):
     return (k, f"https://{host}/{k}", f'<!DOCTYPE html><html><head><title>T{k}</title><style>p{{x:1}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy {k}</div><article>{body}</article>{extra}<footer>&copy; {host}</footer></body></html>')
 
