@@ -135,7 +135,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
     Windows of documents that pass a bitmap of fixed size are joined by hash to those of the benchmark. At each
     alignment of an item in a document, the slots of all joined windows must map one to one: a value always to the same
-    value. Coverage is the share of the item's windows found there. Null texts and ids, and texts without words, match
+    value. Where they do not, only windows that are equal word for word count, and they must go beyond LONG_MATCH words.
+    Coverage is the share of the item's windows found there. Null texts and ids, and texts without words, match
     nothing; repeated rows match alike; empty tables give no rows; other columns are not read.
     """
     spark = docs.sparkSession
@@ -148,11 +149,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), (F.col("d.at") - F.col("b.at")).alias("offset"), F.col("b.at").alias("at"), F.col("b.words").alias("words"), F.col("b.exact").alias("exact"),
         F.zip_with("b.slots", F.when(F.col("b.exact"), F.col("b.slots")).otherwise(F.col("d.slots")), lambda x, y: F.struct(x.alias("own"), y.alias("seen"))).alias("slots"),
     )
-    aligned = at.groupBy("doc_id", "item_id", "offset").agg(F.countDistinct("at").alias("n"), F.first("words").alias("words"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    aligned = at.groupBy("doc_id", "item_id", "offset").agg(F.size(F.collect_set("at")).alias("n"), F.size(F.collect_set(F.when(F.col("exact"), F.col("at")))).alias("verbatim"), F.first("words").alias("words"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     one_to_one = (F.size(F.array_distinct(F.col("slots.own"))) == F.size("slots")) & (F.size(F.array_distinct(F.col("slots.seen"))) == F.size("slots"))
     windows = F.greatest(F.col("words") - WINDOW + 1, F.lit(1))
     enough = (F.col("n") >= COVERAGE * windows) | (F.col("n") + WINDOW - 1 >= LONG_MATCH)
-    return aligned.where(one_to_one & enough).groupBy("doc_id", "item_id").agg(F.max(F.col("n") / windows).alias("coverage"))
+    # with a conflict, what stands word for word has to go beyond a long match by itself
+    verbatim = F.col("verbatim") + WINDOW - 1 > LONG_MATCH
+    found = F.when(one_to_one & enough, F.col("n")).when(verbatim, F.col("verbatim"))
+    return aligned.withColumn("found", found).where("found is not null").groupBy("doc_id", "item_id").agg(F.max(F.col("found") / windows).alias("coverage"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -219,6 +219,16 @@ def test_decontamination_of_short_items_after_any_mark(spark):
     assert [got[i] for i in range(len(texts))] == [[1]] * 9 + [[2], []] + [[]] * 2
 
 
+def test_decontamination_with_a_conflicting_slot(spark):
+    item = f"the train to Paris was late because {CLEAN} and so those who were to meet in Paris at noon had gone to Rome by car"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [item.replace("in Paris", "in Lyon"), item.replace("Paris", "Lyon").replace("Rome", "Lyon"), item.replace("Paris", "Lyon"), CLEAN[:60], "the train to Lyon was late because of those who were to meet in Paris at noon"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in decontam.decontaminate(docs, items).collect()}
+    assert [out[i]["items"] for i in range(len(texts))] == [[1], [1], [1], [], []]
+    assert out[0]["coverage"] < 1 and out[2]["coverage"] == 1
+
+
 def page(host, k, body, extra=""):
     return (k, f"https://{host}/{k}", f'<!DOCTYPE html><html><head><title>T{k}</title><style>p{{x:1}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy {k}</div><article>{body}</article>{extra}<footer>&copy; {host}</footer></body></html>')
 
