@@ -36,6 +36,10 @@ _LIMITS = frozenset("html body article main section div nav aside footer header
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay newsletter subscribe signup login comment comments reply replies disqus discussion respond share sharing social related recommended widget pagination pager copyright skip hidden complementary contentinfo search".split()
 )
+#: A name that starts so says what the page has or lacks, not what the element is.
+STATES = frozenset("has with without no not".split())
+#: Elements that hold a page's text whatever their class; and the text beside main elements, as a share of theirs, up to which elements around them do as well.
+WRAPPERS, REST = frozenset(("html", "body", *MAIN)), 0.25
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
 _NAMING = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -45,11 +49,17 @@ _SPACE = re.compile(r"\s+")
 SUPPORT = 0.5
 
 
-def furniture_named(attributes: str) -> bool:
+def furniture_named(attributes: str, in_main: bool = False) -> bool:
+    """Whether a class, id or role names furniture; a header within an article heads the article."""
     for m in _NAMING.finditer(attributes):
-        words = _WORD.findall(_CAMEL.sub(" ", m[1]).lower())
-        if any(w in FURNITURE_WORDS for w in words):
-            return True
+        for name in m[1].strip("\"'").split():
+            words = _WORD.findall(_CAMEL.sub(" ", name).lower())
+            if words and words[0] not in STATES and any(w in FURNITURE_WORDS and not (in_main and w == "header") for w in words):
+                return True
+    return False
+
+
+def hidden(attributes: str) -> bool:
     return "hidden" in attributes and re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", attributes, re.I) is not None
 
 
@@ -85,21 +95,47 @@ DEPTH = 64
 
 
 class Element:
-    __slots__ = ("name", "path", "depth", "off", "main")
+    __slots__ = ("name", "parent", "path", "depth", "named", "fixed", "off", "main", "holds")
 
-    def __init__(self, name: str, parent: Element | None, off: bool) -> None:
+    def __init__(self, name: str, parent: Element | None, attributes: str = "") -> None:
         self.name = name
+        self.parent = parent
         self.depth = parent.depth + 1 if parent else 0
         # elements below DEPTH share the path of the last one that has its own, so paths stay short
         self.path = "" if parent is None else f"{parent.path}/{name}" if self.depth <= DEPTH else parent.path
         self.main = bool(parent and parent.main) or name in MAIN
+        self.holds = False
+        self.named = name not in WRAPPERS and furniture_named(attributes, self.main)
         # a header within an article heads the article
-        self.off = off or bool(parent and parent.off) or name in FURNITURE or name == "header" and not self.main
+        self.fixed = bool(parent and parent.fixed) or hidden(attributes) or name in FURNITURE or name == "header" and not self.main
+        self.resolve()
+
+    def resolve(self) -> None:
+        self.off = self.fixed or self.named and not self.holds or bool(self.parent and self.parent.off)
 
 
 def walk(page: str) -> Iterator[tuple[str, Element, str]]:
+    """The page's events. Where names alone put all its main elements off, and little text is left besides, the elements around these are not furniture."""
+    events = list(_events(page))
+    opened = [e for kind, e, _ in events if kind == "open"]
+    mains = [e for e in opened if e.name in MAIN and not e.fixed]
+    if mains and all(e.off for e in mains):
+        sizes = [0, 0]
+        for kind, element, text in events:
+            if kind == "text" and not element.fixed and (element.main or not element.off):
+                sizes[element.main] += len(text.strip())
+        if sizes[0] < REST * sizes[1]:
+            for e in mains:
+                while (e := e.parent) is not None and not e.holds:
+                    e.holds = True
+            for e in opened:
+                e.resolve()
+    return iter(events)
+
+
+def _events(page: str) -> Iterator[tuple[str, Element, str]]:
     """(kind, element, text): open and close for every element in page order, closes made up where the page has none, and texts."""
-    stack = [Element("", None, False)]
+    stack = [Element("", None)]
     for kind, name, value in tokens(page):
         if kind == "text":
             yield "text", stack[-1], value
@@ -121,7 +157,7 @@ def walk(page: str) -> Iterator[tuple[str, Element, str]]:
                         break
                     if stack[k].name in BLOCKS:
                         break
-            element = Element(name, stack[-1], furniture_named(value))
+            element = Element(name, stack[-1], value)
             yield "open", element, value
             if name in VOID or value.endswith("/"):
                 yield "close", element, ""

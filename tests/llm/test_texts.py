@@ -246,6 +246,24 @@ def test_html_extraction(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body class='has-sidebar'><article><p>Text</p></article></body>", "Text"),
+        ("<body class='has-sidebar'><p>Text</p><div class='sidebar'>Side</div></body>", "Text"),
+        ("<div class='layout with-sidebar'><article><p>Text</p></article><div class=sidebar>Side</div></div>", "Text"),
+        ("<div class='share-wrap'><article><p>Text</p><div class='share'>Tell</div></article></div>", "Text"),
+        ("<main class='no-comments'><p>Text</p></main>", "Text"),
+        ("<main class='comments-open'><p>Text</p></main>", "Text"),
+        ("<article><div class='post-header'><h1>Head</h1></div><p>Text</p></article>", "Head\nText"),
+        ("<div><p>A long text of the page</p></div><div class='comments'><article>Reader</article></div>", "A long text of the page"),
+        ("<div class=header>Top</div><p>Text</p><aside><article>Side</article></aside>", "Text"),
+    ],
+)
+def test_names_of_wrappers_do_not_cut_the_text(page, want):
+    assert html_extract.extract(page, None) == want
+
+
 def test_template_from_equal_occurrence_vectors():
     token = lambda t, vector, pages, times: {"token": t, "vector": vector, "pages": pages, "times": times}
     rows = [token("", "1", 10, 0)] + [token(f"{s}/html/body/{n}", "7", 10, 10) for s in "<>" for n in ("article", "!nav".strip("!"))] + [token("</html/body/article/p", "9", 10, 44), token(">/html/body/article/p", "9", 10, 44), token("</html/odd", "5", 2, 2)]
