@@ -87,8 +87,12 @@ _CANDIDATES = {
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "id_number": re.compile(r"\b(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{8}[A-Z]|[A-Z][0-9]{8})\b"),
 }
-#: What any secret candidate holds: a digit and a letter in one run, or an equals sign. Texts without are passed over.
-_MAY = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]|[0-9]-[0-9]|=")
+_LATIN = re.compile(r"[A-Za-z]")
+
+
+def _may(text: str) -> bool:
+    """What any candidate holds: a digit and a letter, digits with a hyphen, or an equals sign. Texts without are passed over."""
+    return "=" in text or _DIGIT.search(text) is not None and ("-" in text or _LATIN.search(text) is not None)
 
 
 @dataclass(frozen=True)
@@ -102,7 +106,7 @@ class Candidate:
 
 def candidates(text: str) -> list[Candidate]:
     """Spans that may be personal data of an added kind, without those that base spans touch."""
-    if not _MAY.search(text):
+    if not _may(text):
         return []
     taken = [s for spans in base_spans(text).values() for s in spans]
     out = []

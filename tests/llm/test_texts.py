@@ -160,6 +160,13 @@ def test_personal_data(spark):
     assert pii.find(docs.limit(0)).count() == 0
 
 
+def test_candidates_do_not_depend_on_the_text_around():
+    own = lambda text: [c.value for c in pii.candidates(text)]
+    secret = "Zx-9_Kq-7_Lm-3_Pv-8"
+    assert own(f"see {secret} here") == own(f"see {secret} here a1") == [secret]
+    assert own("123-45-6789") == ["123-45-6789"] and own("words only") == own("12 34") == []
+
+
 def test_reliabilities_favour_the_better_labeler():
     rng = random.Random(5)
     counts = Counter()
