@@ -74,3 +74,10 @@ def test_queries_are_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_the_bench_times_every_training_data_query():
+    import __spark_entry__
+    import bench
+
+    assert {n for n in __spark_entry__.queries() if n[:2] == "op" and n[2].isdigit() or n == "pipeline"} <= set(bench.HEADLINE)
