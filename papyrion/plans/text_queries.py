@@ -208,6 +208,26 @@ def auto_glossary(spark, sf_dir):
     return S.mined_terms(_ascii(_docs(spark, sf_dir).where("lang = 'en'")))
 
 
+@query()
+def norm_consistency_key_all(spark, sf_dir):
+    """As norm_consistency_key, over all lines; no SQL, as DuckDB folds case otherwise."""
+    return S.lines(_docs(spark, sf_dir)).groupBy(T.consistency_key(F.col("line")).alias("key")).agg(F.count("*").alias("n"))
+
+
+@query()
+def consistency_majority_all(spark, sf_dir):
+    """As consistency_majority, over all lines; no SQL, as DuckDB folds case otherwise."""
+    rows = S.lines(_docs(spark, sf_dir))
+    rows = rows.withColumn("tgt", F.when((F.col("doc_id") + F.col("ord")) % 3 == 0, F.upper("line")).otherwise(F.col("line"))).withColumn("at", F.col("doc_id") * 1000000 + F.col("ord"))
+    return S.majority(rows, T.consistency_key(F.col("line")), "tgt", "at")
+
+
+@query()
+def auto_glossary_all(spark, sf_dir):
+    """As auto_glossary, over all English documents; no SQL, as DuckDB's \\b knows ASCII only."""
+    return S.mined_terms(_docs(spark, sf_dir).where("lang = 'en'"))
+
+
 @query("""SELECT conv_id, turn, coalesce(string_agg(text, chr(10)) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS before,
   coalesce(string_agg(text, chr(10)) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def sliding_context(spark, sf_dir):

@@ -21,6 +21,7 @@ from papyrion.operators import layout as L
 from papyrion.operators import memory as M
 from papyrion.operators import scoring as C
 from papyrion.operators import segments as S
+from papyrion.plans import text_queries as Q
 from papyrion.sinks import archives, render
 from papyrion.sources import containers as K
 from papyrion.sources import tables as B
@@ -156,6 +157,21 @@ def test_consistency_and_terms(spark):
     assert {(r["term"], r["kind"]) for r in S.mined_terms(docs).collect()} == {("NASA", "acronym"), ("Foo", "name")}
 
 
+def test_consistency_and_terms_over_all_lines(spark, tmp_path):
+    docs = [(1, "Straße ä\nSTRASSE  Ä\nplain", "de"), (2, "straße Ä\nPlain", "de"), (3, "NASA’s “Foo” won. NASA and Foo", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    own = lambda name: Q.QUERIES[name](spark, str(tmp_path)).collect()
+    want, seen = {}, {}
+    for d, text, _ in docs:
+        for o, line in enumerate(text.split("\n")):
+            key = " ".join(line.split()).upper().lower().replace("ß", "ss")
+            want[key] = want.get(key, 0) + 1
+            seen.setdefault(key, []).append(line.upper() if (d + o) % 3 == 0 else line)
+    assert {r["key"]: r["n"] for r in own("norm_consistency_key_all")} == want
+    assert {r["key"]: (r["target"], r["n"]) for r in own("consistency_majority_all")} == {k: (max(dict.fromkeys(v), key=v.count), len(v)) for k, v in seen.items()}
+    assert {(r["term"], r["kind"], r["n"]) for r in own("auto_glossary_all")} == {("NASA", "acronym", 2), ("Foo", "name", 2)}
+
+
 def test_breaker_and_escalation(spark):
     rows = spark.createDataFrame([(i, "e", f) for i, f in enumerate([True, True, False, True])], "at long, engine string, f boolean")
     assert [r["tripped"] for r in C.breaker(rows, "engine", "at", F.col("f")).orderBy("at").collect()] == [False, True, False, False]
