@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrion.llm import bpe, chat, decontam, html_extract, langid, line_dedup, near_dup, pii, quality, token_counts
-from papyrion.llm.common import table_path
+from papyrion.llm.common import dropped, table_path, written
 
 #: The vocabulary is a parameter of the operator; the queries use this one.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -41,17 +41,25 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come in one batch; those labelled toxic go in a second; those of quality 0 are revised to their text without marks `!` in a third. Each batch is committed twice."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    labels = _table(spark, sf_dir, "labels")
-    first = token_counts.counted(docs)
-    gone = token_counts.counted(docs.join(labels.where("toxic = 1"), "doc_id", "left_semi"))
-    poor = docs.join(labels.where("quality = 0 and toxic = 0"), "doc_id", "left_semi")
-    revised = poor.withColumn("text", F.replace("text", F.lit("!"), F.lit("")))
+    """All documents come in one batch; those labelled toxic go in a second; those of quality 0 are revised to their text without marks `!` in a third. Each batch is committed twice.
+
+    Each text is counted once, as it is and as revised, and only counts travel to the labels.
+    """
+    text = F.col("text")
+    fresh = F.when(text.contains("!"), token_counts.counts(F.replace(text, F.lit("!"), F.lit(""))))
+    known = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", token_counts.counts(text).alias("now"), fresh.alias("later"))
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.expr("toxic = 1")).alias("gone"), F.max(F.expr("quality = 0 and toxic = 0")).alias("poor"))
+    rows = written(known.join(labels, "doc_id", "left"), "counts")
+
+    def of(counted: DataFrame, column: str) -> DataFrame:
+        return counted.select("doc_id", "source", "lang", F.inline(F.expr(column)))
+
+    poor = rows.where("poor and not coalesce(gone, false)")
     rollup = token_counts.Rollup(spark, table_path(spark, "rollup"))
-    for batch, change in (("0-insert", (None, first)), ("1-delete", (gone, None)), ("2-revise", (token_counts.counted(poor), token_counts.counted(revised)))):
+    for batch, change in (("0-insert", (None, of(rows, "now"))), ("1-delete", (of(rows.where("gone"), "now"), None)), ("2-revise", (of(poor, "now"), of(poor, "coalesce(later, now)")))):
         for _ in range(2):
             rollup.commit(batch, token_counts.deltas(*change))
+    dropped(rows)
     return rollup.totals()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,10 +21,18 @@ def count_tokens(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 
 
+def counts(text: Column, tokenizers: dict[str, str] | None = None) -> Column:
+    """An array of (tokenizer, n_tokens) for a text, one for each tokenizer version. Null text has 0 tokens; texts of any length are counted whole."""
+    return F.array(*(F.struct(F.lit(v).alias("tokenizer"), count_tokens(text, p).alias("n_tokens")) for v, p in (tokenizers or TOKENIZERS).items()))
+
+
 def counted(docs: DataFrame, tokenizers: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, source, lang, tokenizer, n_tokens): a row for each document and tokenizer version. Null text has 0 tokens."""
-    pairs = [F.struct(F.lit(v).alias("tokenizer"), count_tokens(F.col("text"), p).alias("n_tokens")) for v, p in (tokenizers or TOKENIZERS).items()]
-    return docs.select("doc_id", "source", "lang", F.inline(F.array(*pairs)))
+    """(doc_id, source, lang, tokenizer, n_tokens): a row for each document and tokenizer version.
+
+    Other columns of docs are left behind, also those named tokenizer or n_tokens; repeated rows give repeated counts,
+    an empty table none.
+    """
+    return docs.select("doc_id", "source", "lang", F.inline(counts(F.col("text"), tokenizers)))
 
 
 def deltas(before: DataFrame | None, after: DataFrame | None) -> DataFrame:
@@ -38,9 +48,10 @@ def deltas(before: DataFrame | None, after: DataFrame | None) -> DataFrame:
 class Rollup:
     """A log of committed batches in a folder that all executors share; totals are the sum over the log.
 
-    A batch is a folder named by its id that holds the sums of the batch, not its rows. Writing goes to a name of its own
-    first and counts from the moment it's renamed; a batch whose id is committed already isn't written again, so that
-    repeated, resumed and concurrent commits of a batch count once.
+    A batch holds its sums, not its rows. Each attempt to commit it writes a folder of its own, which counts from the
+    moment it is renamed to ``batch=<id>@<time>-<attempt>``. Of a batch's attempts the first by name counts, for every
+    reader, so that repeated, resumed and concurrent commits of a batch count once on any file system, also where a
+    rename can't be refused. All attempts at an id must bring the same change, as a retry does.
     """
 
     SCHEMA = "source string, lang string, tokenizer string, d_docs bigint, d_tokens bigint"
@@ -50,22 +61,38 @@ class Rollup:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _attempts(self) -> dict[str, str]:
+        """The folder that counts for each batch id."""
+        if not self._fs.exists(self._path(self.folder)):
+            return {}
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder)))
+        found: dict[str, str] = {}
+        for name in names:
+            if name.startswith("batch="):
+                found.setdefault(name.removeprefix("batch=").rpartition("@")[0], name)
+        return found
+
     def committed(self, batch_id: str) -> bool:
-        return self._fs.exists(self._path(f"{self.folder}/batch={batch_id}"))
+        return batch_id in self._attempts()
 
     def commit(self, batch_id: str, change: DataFrame) -> bool:
-        """Adds a batch of :func:`deltas`; False if it was there. Zero sums are written too: an empty batch counts as committed."""
-        if not batch_id or "/" in batch_id:
-            raise ValueError("a batch id is a non-empty name without a slash")
+        """Adds a batch of :func:`deltas`; False if it was there or another attempt came first. Zero sums are written too: an empty batch counts as committed."""
+        if not batch_id or "/" in batch_id or "@" in batch_id:
+            raise ValueError("a batch id is a non-empty name without a slash or @")
         if self.committed(batch_id):
             return False
-        staged = f"{self.folder}/_staged-{batch_id}"
-        change.select(*KEYS, "d_docs", "d_tokens").coalesce(1).write.mode("overwrite").parquet(staged)
-        return bool(self._fs.rename(self._path(staged), self._path(f"{self.folder}/batch={batch_id}")))
+        attempt = uuid.uuid4().hex
+        staged = self._path(f"{self.folder}/_staged-{attempt}")
+        change.select(*KEYS, "d_docs", "d_tokens").write.parquet(staged.toString())
+        own = f"batch={batch_id}@{time.time_ns():020d}-{attempt}"
+        if self.committed(batch_id) or not self._fs.rename(staged, self._path(f"{self.folder}/{own}")):
+            self._fs.delete(staged, True)
+            return False
+        return self._attempts()[batch_id] == own
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) of all committed batches; groups that have come to nothing are left out."""
-        found = [s.getPath().toString() for s in self._fs.listStatus(self._path(self.folder)) if s.getPath().getName().startswith("batch=")] if self._fs.exists(self._path(self.folder)) else []
+        found = [f"{self.folder}/{name}" for name in self._attempts().values()]
         if not found:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint")
         rows = self.spark.read.schema(self.SCHEMA).parquet(*found)

@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from papyrion.llm import bpe, chat, decontam, html_extract, langid, pii, quality, token_counts
+from papyrion.llm import bpe, chat, decontam, html_extract, langid, pii, quality, queries, token_counts
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 CODEC = bpe.Codec.load(PATH, public_tokenizers.PATTERN)
@@ -196,6 +197,50 @@ def test_rollup(spark, tmp_path):
         rollup.commit("a/b", rows)
 
 
+def test_token_counts_of_long_texts_and_clashing_columns(spark):
+    long = "word! " * 300_000
+    docs = spark.createDataFrame([(1, "a", "en", long, "x", 5, "y"), (1, "a", "en", long, "x", 5, "y"), (2, "a", "en", "", None, None, None)], "doc_id long, source string, lang string, text string, tokenizer string, n_tokens int, d_docs string")
+    assert {(r["doc_id"], r["tokenizer"], r["n_tokens"]) for r in token_counts.counted(docs).collect()} == {(1, "words-1", 300_000), (1, "pieces-1", 600_000), (2, "words-1", 0), (2, "pieces-1", 0)}
+    assert token_counts.counted(docs.limit(0)).count() == 0
+
+
+def test_concurrent_and_resumed_commits_count_once(spark, tmp_path):
+    rows = token_counts.counted(spark.createDataFrame([(1, "a", "en", "one two")], "doc_id long, source string, lang string, text string"))
+    change = token_counts.deltas(None, rows)
+    for k in range(3):
+        rollups = [token_counts.Rollup(spark, str(tmp_path / f"r{k}")) for _ in range(3)]
+        with ThreadPoolExecutor(3) as pool:
+            done = list(pool.map(lambda r: r.commit("b", change), rollups))
+        assert any(done)
+        assert {(r["tokenizer"], r["n_docs"], r["n_tokens"]) for r in rollups[0].totals().collect()} == {("words-1", 1, 2), ("pieces-1", 1, 2)}
+    # a writer that passed its last look before another's rename: its attempt stands beside the first and doesn't count
+    rollup = token_counts.Rollup(spark, str(tmp_path / "late"))
+    assert rollup.commit("b", change)
+    change.write.parquet(f"{rollup.folder}/batch=b@99999999999999999999-late")
+    change.write.parquet(f"{rollup.folder}/_staged-broken-off")
+    assert rollup.committed("b") and not rollup.commit("b", change)
+    assert rollup.totals().agg(F.sum("n_docs")).first()[0] == 2
+
+
+def test_op6_against_brute_force(spark, tmp_path):
+    docs = [(1, "good one!", "en", "a"), (2, "bad!! text", "en", "a"), (3, "toxic words", "de", None), (4, None, None, "a"), (5, "both labels!", "en", "b"), (None, "no id!", "en", "b")]
+    labels = [(1, 1, 0), (2, 0, 0), (2, 0, 0), (3, 0, 1), (5, 0, 0), (5, 0, 1), (None, 0, 0), (9, 0, 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    want: Counter = Counter()
+    n_docs: Counter = Counter()
+    for doc, text, lang, source in docs:
+        own = [x for x in labels if x[0] == doc and doc is not None]
+        if any(x[2] == 1 for x in own):
+            continue
+        text = (text or "").replace("!", "") if any(x[1:] == (0, 0) for x in own) else text or ""
+        for name, pattern in token_counts.TOKENIZERS.items():
+            want[source, lang, name] += len(re.findall(pattern, text))
+            n_docs[source, lang, name] += 1
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in queries.op6_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {k: (n_docs[k], want[k]) for k in n_docs}
+
+
 ITEM = "A train leaves London at 9 and drives 120 km in 3 hours before it stops for lunch near the old stone bridge."
 CLEAN = "Nothing in this text has been taken from any test, it only talks about gardens, weather and the colour of the evening sky over hills."
 
