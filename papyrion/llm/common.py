@@ -17,10 +17,12 @@ MEMO_WORDS = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or a temporary one where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Only a local session without one gets a temporary folder; a cluster must name its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         kept = spark.sparkContext.getCheckpointDir()
+        if not kept and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = kept or tempfile.mkdtemp(prefix="papyrion-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -1,11 +1,12 @@
 """Main text by template deduction: tokens of equal occurrence vectors form classes, nested classes a host's template, its slots the text.
 
-A token is a tag in its place (the path of open elements). Over the pages of a host, a token's occurrence vector is its
-count on each page; it's kept as a 64-bit sum of page hash times count, so tokens of one class are those of equal
-fingerprint, and the sum is reduced before any shuffle, whatever the number of the host's pages. Classes that are on
-enough pages and open and close in order nest into the template; what varies between its tokens are slots. A slot is
-text unless an element around it is one of the page's furniture; within a main element (article, main), only slots of
-it are text.
+A token is a tag or a run of text between two tags, each in its place (the path of open elements with their class names,
+numbers left out). Over the pages of a host, a token's occurrence vector is its count on each page; it's kept as a sum of
+page hash times count, so tokens of one class are those of equal sums, and sums are reduced before any shuffle, whatever
+the number of the host's pages. A class is valid if it's on enough pages, not a lone run, and its tokens lie in one order;
+valid classes nest from the pages' common class down into the template. What the template's tokens leave on a page are
+its slots: blocks whose every run is a token of the template, in the template's order, are constant and go, the other
+blocks are extracted. Element semantics (nav, footer, forms, ...) hold beside the template; class names are weak evidence.
 """
 
 from __future__ import annotations
@@ -13,16 +14,14 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm.common import written
+from papyrion.llm.common import dropped, written
 
 #: Elements by what they mean for the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,25 +37,31 @@ FURNITURE_WORDS = frozenset(
 )
 #: A name that starts so says what the page has or lacks, not what the element is.
 STATES = frozenset("has with without no not".split())
-#: Elements that hold a page's text whatever their class; and the text beside main elements, as a share of theirs, up to which elements around them do as well.
+#: Those of them that name what readers wrote; an element so named is furniture however much it holds.
+READERS = frozenset("comment comments reply replies disqus discussion respond".split())
+#: Elements that hold a page's text whatever their class; elements of prose, of which only a whole name counts; and the text beside main elements, as a share of theirs, up to which elements around them hold a page's text as well.
 WRAPPERS, REST = frozenset(("html", "body", *MAIN)), 0.25
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote dd dt td th figure".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
 _NAMING = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
-#: A class belongs to the template if it's on so large a share of a host's pages.
-SUPPORT = 0.5
+#: A class belongs to the template if it's on so large a share of a host's pages, and on so many different ones at least.
+SUPPORT, LEAST_PAGES = 0.5, 5
+#: Sums a worker holds before it passes them on, and names and paths it remembers; they bound its memory, not the pages.
+HELD = 200_000
 
 
-def furniture_named(attributes: str, in_main: bool = False) -> bool:
-    """Whether a class, id or role names furniture; a header within an article heads the article."""
+def furniture_words(name: str, attributes: str) -> frozenset[str]:
+    """The words of a class, id or role that name furniture. Of prose elements a whole name must be such a word, so `search-algorithms` is none."""
+    found: set[str] = set()
     for m in _NAMING.finditer(attributes):
-        for name in m[1].strip("\"'").split():
-            words = _WORD.findall(_CAMEL.sub(" ", name).lower())
-            if words and words[0] not in STATES and any(w in FURNITURE_WORDS and not (in_main and w == "header") for w in words):
-                return True
-    return False
+        for own in m[1].strip("\"'").split():
+            words = _WORD.findall(_CAMEL.sub(" ", own).lower())
+            if words and words[0] not in STATES and (len(words) == 1 or name not in PROSE):
+                found.update(w for w in words if w in FURNITURE_WORDS)
+    return frozenset(found)
 
 
 def hidden(attributes: str) -> bool:
@@ -90,50 +95,99 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = close if close >= 0 else end
 
 
-#: Nested elements that have paths of their own.
-DEPTH = 64
+_LABEL = re.compile(r"class\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+
+#: A number in a class name that counts things and doesn't name a place.
+_NUMBERED = re.compile(r"(?<=[-_])[0-9]+|[0-9]{3,}")
+
+
+class _Tags(dict):
+    """(label, furniture words, hidden) by (name, attributes), and path hashes by (parent path, label); emptied when full."""
+
+    def __missing__(self, key: tuple) -> tuple | int:
+        if len(self) > HELD:
+            self.clear()
+        if isinstance(key[0], int):
+            value = xxhash.xxh3_64_intdigest(key[1].encode("utf-8", "replace"), key[0])
+        else:
+            name, attributes = key
+            classes = _LABEL.search(attributes) if attributes else None
+            label = name if classes is None else f"{name}.{_NUMBERED.sub('', classes[1].strip(chr(34) + chr(39)))}"
+            value = (label, furniture_words(name, attributes) if attributes else frozenset(), hidden(attributes))
+        self[key] = value
+        return value
+
+
+_TAGS = _Tags()
 
 
 class Element:
-    __slots__ = ("name", "parent", "path", "depth", "named", "fixed", "off", "main", "holds")
+    __slots__ = ("name", "parent", "path", "fixed", "main", "words", "off", "holds")
 
     def __init__(self, name: str, parent: Element | None, attributes: str = "") -> None:
-        self.name = name
-        self.parent = parent
-        self.depth = parent.depth + 1 if parent else 0
-        # elements below DEPTH share the path of the last one that has its own, so paths stay short
-        self.path = "" if parent is None else f"{parent.path}/{name}" if self.depth <= DEPTH else parent.path
-        self.main = bool(parent and parent.main) or name in MAIN
-        self.holds = False
-        self.named = name not in WRAPPERS and furniture_named(attributes, self.main)
-        # a header within an article heads the article
-        self.fixed = bool(parent and parent.fixed) or hidden(attributes) or name in FURNITURE or name == "header" and not self.main
+        self.name, self.parent, self.holds = name, parent, False
+        if parent is None:
+            self.path, self.main, self.words, self.fixed = 0, False, frozenset(), False
+        else:
+            label, words, unseen = _TAGS[name, attributes]
+            self.path = _TAGS[parent.path, label]
+            self.main = parent.main or name in MAIN
+            # a header within an article heads the article
+            self.words = frozenset() if name in WRAPPERS else words - {"header"} if self.main else words
+            self.fixed = parent.fixed or unseen or name in FURNITURE or name == "header" and not self.main
         self.resolve()
 
     def resolve(self) -> None:
-        self.off = self.fixed or self.named and not self.holds or bool(self.parent and self.parent.off)
+        self.off = self.fixed or bool(self.words) and not self.holds or bool(self.parent and self.parent.off)
+
 
+Event = tuple[str, Element, str]
 
-def walk(page: str) -> Iterator[tuple[str, Element, str]]:
-    """The page's events. Where names alone put all its main elements off, and little text is left besides, the elements around these are not furniture."""
+
+def walk(page: str) -> list[Event]:
+    """The page's events. Names don't put off what holds the page's main slot.
+
+    Where names alone put all main elements off, and little text is left besides, the elements around these hold it; on a
+    page without a main element, an element with most of the text does, but for readers' comments.
+    """
     events = list(_events(page))
     opened = [e for kind, e, _ in events if kind == "open"]
+    if not any(e.words for e in opened):
+        return events
     mains = [e for e in opened if e.name in MAIN and not e.fixed]
-    if mains and all(e.off for e in mains):
-        sizes = [0, 0]
-        for kind, element, text in events:
-            if kind == "text" and not element.fixed and (element.main or not element.off):
-                sizes[element.main] += len(text.strip())
-        if sizes[0] < REST * sizes[1]:
-            for e in mains:
-                while (e := e.parent) is not None and not e.holds:
-                    e.holds = True
-            for e in opened:
-                e.resolve()
-    return iter(events)
-
-
-def _events(page: str) -> Iterator[tuple[str, Element, str]]:
+    if mains and not all(e.off for e in mains):
+        return events
+    sizes: dict[Element, int] = {}
+    beside = inside = 0
+    for kind, element, text in events:
+        if kind == "text" and not element.fixed and (n := len(text.strip())):
+            if element.main:
+                inside += n
+            elif not element.off:
+                beside += n
+            above: Element | None = element
+            while above is not None:
+                sizes[above] = sizes.get(above, 0) + n
+                above = above.parent
+    holding: list[Element] = []
+    if mains:
+        if beside < REST * inside:
+            holding = mains
+    else:
+        total = max(sizes.values(), default=0)
+        holding = [e for e in opened if e.words and not e.words & READERS and sizes.get(e, 0) * (1 + REST) > total]
+    for e in holding:
+        above = e
+        while above is not None and not above.holds:
+            above.holds = True
+            above = above.parent
+    if holding:
+        for e in opened:
+            e.resolve()
+    return events
+
+
+def _events(page: str) -> Iterator[Event]:
     """(kind, element, text): open and close for every element in page order, closes made up where the page has none, and texts."""
     stack = [Element("", None)]
     for kind, name, value in tokens(page):
@@ -163,7 +217,7 @@ def _events(page: str) -> Iterator[tuple[str, Element, str]]:
                 yield "close", element, ""
             else:
                 stack.append(element)
-        elif any(e.name == name for e in stack):
+        elif any(e.name == name for e in reversed(stack)):
             while True:
                 element = stack.pop()
                 yield "close", element, ""
@@ -173,123 +227,192 @@ def _events(page: str) -> Iterator[tuple[str, Element, str]]:
         yield "close", stack.pop(), ""
 
 
-def host_of(url: str | None) -> str:
-    """Lower-cased host of a URL, empty where there is none."""
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+def host_of(url: Column) -> Column:
+    """Lower-cased host of a URL, empty where there is none; one rule for both sides of the join."""
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1)
+    return F.lower(F.coalesce(host, F.lit("")))
+
+
+def run_token(path: int, text: str) -> int:
+    """The token of a run of text in the element of a path, or 0 if it's blank. White space counts as one space."""
+    text = " ".join(text.split())
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"), path ^ 0x9E3779B97F4A7C15) or 1 if text else 0
+
+
+TAG, RUN = 1, 2
+
+
+def page_tokens(page: str) -> dict[int, list[int]]:
+    """A page's tokens: [kind, path of the element around it, count, sum of first places, sum of last places]. What is in fixed furniture is no token, but its outermost element is."""
+    found: dict[int, list[int]] = {}
+    for place, (kind, element, text) in enumerate(walk(page)):
+        if kind == "text":
+            token = 0 if element.fixed else run_token(element.path, text)
+            if token:
+                own = found.setdefault(token, [RUN, element.path, 0, 0, 0])
+                own[2] += 1
+                own[3] += place
+                own[4] += place
+        elif element.parent is not None and not element.parent.fixed:
+            own = found.setdefault(element.path, [TAG, element.parent.path, 0, 0, 0])
+            if kind == "open":
+                own[2] += 1
+                own[3] += place
+            else:
+                own[4] += place
+    return found
+
+
+_SUMS = ("kind", "parent", "mask", "high", "low", "pages", "times", "first", "last")
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passed(sums):
+        columns = list(zip(*sums.values(), strict=True)) or [[]] * 8
+        vector = [v & (2**64 - 1) for v in columns[3]]
+        signed = lambda values: pa.array([v - 2**64 if v >= 2**63 else v for v in values], pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k in sums], pa.string()), signed(k[1] for k in sums), pa.array(columns[0], pa.int32()), signed(columns[1]), signed(columns[2]),
+                pa.array([v >> 32 for v in vector], pa.int64()), pa.array([v & (2**32 - 1) for v in vector], pa.int64()), *(pa.array(c, pa.int64()) for c in columns[4:]),
+            ],
+            names=["host", "token", *_SUMS],
+        )
+
     for batch in batches:
-        sums: dict[tuple[str, str], list[int]] = {}
-        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        sums: dict[tuple[str, int], list[int]] = {}
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if not page:
                 continue
-            host, vector = host_of(url), xxhash.xxh64_intdigest(page)
-            counts: dict[str, list[int]] = {}
-            chars: dict[str, int] = {}
-            for place, (kind, element, text) in enumerate(walk(page)):
-                if kind == "text":
-                    chars[element.path] = chars.get(element.path, 0) + len(text)
-                    continue
-                own = counts.setdefault(f"{'<' if kind == 'open' else '>'}{'!' if element.off else ''}{element.path}", [0, place])
-                own[0] += 1
-            for token, (n, place) in counts.items():
-                s = sums.setdefault((host, token), [0, 0, 0, 0, 0])
-                s[0] = (s[0] + vector * n) & (2**64 - 1)
-                s[1] += 1
-                s[2] += n
-                s[3] += place
-                s[4] += chars.get(token.lstrip("<!"), 0) if token[0] == "<" else 0
-            s = sums.setdefault((host, ""), [0, 0, 0, 0, 0])
-            s[0], s[1] = (s[0] + vector) & (2**64 - 1), s[1] + 1
-        keys, rows = list(sums), np.array(list(sums.values()), np.uint64).reshape(-1, 5)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *(pa.array(rows[:, c].view(np.int64) if c == 0 else rows[:, c].astype(np.int64), pa.int64()) for c in range(5))], names=["host", "token", "vector", "pages", "times", "place", "chars"])
+            vector = xxhash.xxh3_64_intdigest(page.encode("utf-8", "replace"))
+            bit = 1 << (vector >> 58)
+            for token, (kind, parent, n, first, last) in [(0, (0, 0, 1, 0, 0)), *page_tokens(page).items()]:
+                s = sums.get((host, token))
+                if s is None:
+                    sums[host, token] = [kind, parent, bit, vector * n, 1, n, first, last]
+                else:
+                    s[2] |= bit
+                    s[3] += vector * n
+                    s[4] += 1
+                    s[5] += n
+                    s[6] += first
+                    s[7] += last
+            if len(sums) > HELD:
+                yield passed(sums)
+                sums = {}
+        if sums:
+            yield passed(sums)
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, vector, pages, times, place, chars) over all pages of a host: sums, reduced in the worker and before the shuffle. Token '' stands for the page itself."""
-    rows = pages.mapInArrow(_occurrences, "host string, token string, vector bigint, pages bigint, times bigint, place bigint, chars bigint")
-    # tokens of one vector have equal sums in every worker, so a wide sum that can't overflow tells vectors apart as well
-    total = F.sum(F.col("vector").cast("decimal(20,0)"))
-    return rows.groupBy("host", "token").agg(total.alias("vector"), *(F.sum(c).alias(c) for c in ("pages", "times", "place", "chars")))
+    """(host, token, kind, parent, mask, high, low, pages, times, first, last) over all pages (host, html) of a host: sums, reduced in the worker and before the shuffle.
+
+    Token 0 stands for the page itself. high and low are sums of the halves of the vector; bits of mask tell how many
+    different pages there are at least, so copies of one page make no template.
+    """
+    rows = pages.mapInArrow(_occurrences, "host string, token bigint, kind int, parent bigint, mask bigint, high bigint, low bigint, pages bigint, times bigint, first bigint, last bigint")
+    return rows.groupBy("host", "token").agg(F.first("kind").alias("kind"), F.first("parent").alias("parent"), F.bit_or("mask").alias("mask"), *(F.sum(c).alias(c) for c in _SUMS[3:]))
+
+
+def in_order(tokens: list[dict]) -> list[dict]:
+    """Tokens of one class, sorted by place, without those that cut across another: over all pages of the class, the places of an element's tags enclose or avoid those of any other token."""
+    kept: list[dict] = []
+    open_ends: list[int] = []
+    for t in sorted(tokens, key=lambda t: (t["first"], -t["last"])):
+        while open_ends and open_ends[-1] <= t["first"]:
+            open_ends.pop()
+        if open_ends and t["last"] > open_ends[-1]:
+            continue
+        if t["last"] > t["first"]:
+            open_ends.append(t["last"])
+        kept.append(t)
+    return kept
 
 
-def deduce(tokens_of_host: list[dict]) -> list[str]:
-    """The template of a host: the paths of its main slots.
+def deduce(rows: list[dict]) -> list[int]:
+    """The template's runs of a host in page order, from the sums of its frequent tokens.
 
-    Tokens are grouped by occurrence vector. A class is valid if it's on enough pages and its opening and closing tokens
-    pair up by nesting. The classes nest by path; a slot is a place of the template that holds text and isn't
-    furniture. If a valid class has a main element, only slots under the outermost of these are main.
+    Tokens of equal vector, pages and times are a class. A class of one run alone is none. From the root down, a class's
+    tokens enter the template where the element around them is in it.
     """
-    pages = next((t["pages"] for t in tokens_of_host if not t["token"]), 0)
-    classes: dict[tuple, set[str]] = {}
-    for t in tokens_of_host:
-        if t["token"] and t["pages"] >= SUPPORT * pages:
-            classes.setdefault((t["vector"], t["pages"], t["times"]), set()).add(t["token"])
-    valid = [c for c in classes.values() if all((">" + t[1:] in c) if t[0] == "<" else ("<" + t[1:] in c) for t in c)]
-    opened = sorted({t[1:] for c in valid for t in c if t[0] == "<"})
-    slots = [p for p in opened if not p.startswith("!")]
-    mains = [p for p in slots if p.rpartition("/")[2] in MAIN]
-    outer = [p for p in mains if not any(p != q and p.startswith(f"{q}/") for q in mains)]
-    return outer or slots
+    whole = next((r for r in rows if r["token"] == 0), None)
+    if whole is None:
+        return []
+    classes: dict[tuple, list[dict]] = {}
+    for r in rows:
+        if r["token"] and r["pages"] >= SUPPORT * whole["pages"] and (r["mask"] & (2**64 - 1)).bit_count() >= LEAST_PAGES:
+            classes.setdefault(((r["high"] << 32) + r["low"] & 2**64 - 1, r["pages"], r["times"]), []).append(r)
+    valid = [in_order(c) for c in classes.values() if len(c) > 1 or c[0]["kind"] == TAG]
+    within: dict[int, list[dict]] = {}
+    for t in (t for c in valid for t in c):
+        within.setdefault(t["parent"], []).append(t)
+    nested, template = [0], []
+    while nested:
+        now = within.get(nested.pop(), [])
+        template += now
+        nested += [t["token"] for t in now if t["kind"] == TAG]
+    runs = [t for t in template if t["kind"] == RUN]
+    return [t["token"] for t in sorted(runs, key=lambda t: (t["first"] / t["times"], t["token"]))]
 
 
 def _templates(group: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "slots": [deduce(group.to_dict("records"))]})
+    rows = [{k: int(v) for k, v in r.items()} for r in group.drop(columns="host").to_dict("records")]
+    return pd.DataFrame({"host": [group["host"].iloc[0]], "runs": [deduce(rows)]})
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slots): paths of each host's main slots. Only tokens on enough of a host's pages reach its task, so a task's size is that of a page."""
+    """(host, runs): the runs of each host's template, from pages (host, html). Only tokens on enough of a host's pages reach its task, so a task's size is that of a page."""
     seen = written(occurrences(pages), "tokens")
-    whole = seen.where("token = ''").select("host", F.col("pages").alias("of"))
-    often = seen.join(whole, "host").where(F.col("pages") >= SUPPORT * F.col("of")).drop("of")
-    often = often.withColumn("vector", F.col("vector").cast("string"))
-    return often.groupBy("host").applyInPandas(_templates, "host string, slots array<string>")
+    whole = seen.where("token = 0").where(F.bit_count("mask") >= LEAST_PAGES).select("host", F.col("pages").alias("of"))
+    often = seen.where(F.bit_count("mask") >= LEAST_PAGES).join(whole, "host").where(F.col("pages") >= SUPPORT * F.col("of")).drop("of")
+    found = written(often.groupBy("host").applyInPandas(_templates, "host string, runs array<bigint>").where(F.size("runs") > 0), "templates")
+    dropped(seen)
+    return found
 
 
-def extract(page: str | None, slots: list[str] | None) -> str:
-    """The text of a page's main slots, block by block."""
-    if not page:
-        return ""
-    roots = tuple(slots or ())
-    inside: dict[str, bool] = {}
-    main = any(r.rpartition("/")[2] in MAIN for r in roots)
-    blocks: list[list[str]] = [[]]
-    everywhere: list[list[str]] = [[]]
-    has_main = False
-    for kind, element, text in walk(page):
-        if kind != "text":
-            if element.name in BLOCKS:
+def _blocks(events: list[Event]) -> list[list[tuple[Element | None, str]]]:
+    blocks: list[list[tuple[Element | None, str]]] = [[]]
+    for kind, element, text in events:
+        if kind == "text":
+            if not element.off:
+                blocks[-1].append((element, text))
+        elif element.name in BLOCKS:
+            if blocks[-1]:
                 blocks.append([])
-                everywhere.append([])
-            elif element.name in ("br", "wbr", "img") and kind == "open":
-                blocks[-1].append("" if element.name == "wbr" else " ")
-                everywhere[-1].append("" if element.name == "wbr" else " ")
-            has_main = has_main or element.name in MAIN and not element.off
-            continue
-        if element.off:
-            continue
-        everywhere[-1].append(text if element.main else "\x00" + text)
-        if main:
-            hit = inside.get(element.path)
-            if hit is None:
-                hit = inside[element.path] = any(element.path == r or element.path.startswith(f"{r}/") for r in roots)
-            if hit:
-                blocks[-1].append(text)
-    lines = _joined(blocks)
-    if not lines:  # a page that doesn't follow its host's template, or a template without a main element
-        if has_main:
-            lines = _joined([["" if x.startswith("\x00") else x for x in b] for b in everywhere])
+        elif element.name in ("br", "img") and kind == "open":
+            blocks[-1].append((None, " "))
+    return blocks
+
+
+def _slots(blocks: list[list[tuple[Element | None, str]]], runs: dict[int, int]) -> list[list[tuple[Element | None, str]]]:
+    """The blocks but the constant ones: those of template runs only, as long as they follow the template's order."""
+    kept, last = [], -1
+    for block in blocks:
+        at = [runs.get(t - 2**64 if t >= 2**63 else t) for e, text in block if e is not None and (t := run_token(e.path, text))]
+        if at and None not in at and at == sorted(at) and at[0] >= last:
+            last = at[-1]
         else:
-            lines = _joined([[x.removeprefix("\x00") for x in b] for b in everywhere])
-    return "\n".join(lines)
+            kept.append(block)
+    return kept
 
 
-def _joined(blocks: list[list[str]]) -> list[str]:
-    return [line for b in blocks if b and (line := _SPACE.sub(" ", html_lib.unescape("".join(b))).strip())]
+def _lines(blocks: list[list[tuple[Element | None, str]]]) -> list[str]:
+    return [line for b in blocks if b and (line := _SPACE.sub(" ", html_lib.unescape("".join(text for _, text in b))).strip())]
+
+
+def extract(page: str | None, runs: list[int] | None) -> str:
+    """The text of a page's slots, block by block: those of its main elements where it has any, else all that aren't furniture. A page of which the template leaves nothing (a copy of others) is read without it."""
+    if not page:
+        return ""
+    blocks = _blocks(walk(page))
+    mains = [b for b in ([x for x in block if x[0] is None or x[0].main] for block in blocks) if any(e is not None for e, _ in b)]
+    if _lines(mains):
+        blocks = mains
+    if runs:
+        left = _lines(_slots(blocks, {r: i for i, r in enumerate(runs)}))
+        if left:
+            return "\n".join(left)
+    return "\n".join(_lines(blocks))
 
 
 #: Templates up to so many bytes in all are broadcast; beyond, pages are joined to them in a shuffle.
@@ -299,21 +422,19 @@ BROADCAST_BYTES = 8 * 2**20
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row.
 
-    Null or empty html: empty text. Pages with a null or odd URL form a host of their own. A page that doesn't follow its
-    host's template is read by its own elements. Exact copies of a page count once for each copy, with one vector.
-    Repeated rows and null ids return as they are; an empty table gives no rows; other columns are not read. Long pages
-    are read whole.
+    Null or empty html: empty text. Pages with a null or odd URL form a host of their own. A host with few different pages
+    has no template and is read by the elements' meaning and names, as is a page that its host's template leaves nothing
+    of. Exact copies of a page count once for each copy, with one vector, and as one page. Repeated rows and null ids
+    return as they are; an empty table gives no rows; other columns are not read. Long pages are read whole.
     """
-    source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    found = written(templates(source.select("url", "html")), "templates")
-    host = F.lower(F.coalesce(F.expr("try_parse_url(url, 'HOST')"), F.lit("")))
-    size = found.agg(F.sum(F.length("host") + F.aggregate("slots", F.lit(0), lambda n, x: n + F.length(x)))).first()[0] or 0
-    kept = found.toDF("host", "slots")
-    joined = source.withColumn("host", host).join(F.broadcast(kept) if size <= BROADCAST_BYTES else kept, "host", "left")
+    source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
+    found = templates(source.select("host", "html"))
+    size = found.agg(F.sum(F.length("host") + 8 * F.size("runs"))).first()[0] or 0
+    joined = source.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(p, s) for p, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [extract(p, r) for p, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "slots").mapInArrow(run, f"page_id {source.schema[0].dataType.simpleString()}, url string, text string, n_chars bigint")
+    return joined.select("page_id", "url", "html", "runs").mapInArrow(run, f"page_id {source.schema[0].dataType.simpleString()}, url string, text string, n_chars bigint")

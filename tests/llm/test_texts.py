@@ -316,7 +316,69 @@ def test_names_of_wrappers_do_not_cut_the_text(page, want):
     assert html_extract.extract(page, None) == want
 
 
-def test_template_from_equal_occurrence_vectors():
-    token = lambda t, vector, pages, times: {"token": t, "vector": vector, "pages": pages, "times": times}
-    rows = [token("", "1", 10, 0)] + [token(f"{s}/html/body/{n}", "7", 10, 10) for s in "<>" for n in ("article", "!nav".strip("!"))] + [token("</html/body/article/p", "9", 10, 44), token(">/html/body/article/p", "9", 10, 44), token("</html/odd", "5", 2, 2)]
-    assert html_extract.deduce(rows) == ["/html/body/article"]
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<body class="single no-sidebar"><article><p>Text</p></article></body>', "Text"),
+        ('<article class="post has-comments"><p>Text</p></article>', "Text"),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>Text</p></article>', "Title\nText"),
+        ('<body><p id="search-algorithms">Search algorithms are many</p><p>Text</p></body>', "Search algorithms are many\nText"),
+        ('<div class="page-sidebar-left"><p>All of the text of this page stands in it</p></div><p>Foot</p>', "All of the text of this page stands in it\nFoot"),
+        ('<div class="comments"><p>All that readers wrote about this page</p></div><p>Foot</p>', "Foot"),
+        ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+        ("<p>" + "word " * 300_000 + "</p>", ("word " * 300_000).strip()),
+    ],
+)
+def test_names_are_weak_evidence_and_long_pages_are_read_whole(page, want):
+    assert html_extract.extract(page, None) == want
+
+
+def story(k):
+    rng = random.Random(k)
+    return " ".join(rng.choice("stone bridge river lamp quiet walks under green evening rain".split()) + str(k) for _ in range(12))
+
+
+def plain_page(k, turned=False):
+    """A page without a main element: constant parts in plain elements, of which two change places on some pages."""
+    boxes = ["<div class=x1>Call us <b>now</b> on Monday</div>", "<div class=x9>Open all day</div>"]
+    odd = "<div class=x4><span>Sale</span> this week</div>" if k % 3 else ""
+    return "<html><body>" + "".join(boxes[::-1] if turned else boxes) + odd + f"<div class=x2>{story(k)}</div><div class=x3>All rights of Foo Inc</div><div class=post-{k}>{story(k + 500)}</div></body></html>"
+
+
+def test_the_template_decides_what_is_text(spark):
+    rows = [(k, f"http://u@München.de:80/a b?q=x|{k}", plain_page(k)) for k in range(20)]
+    rows += [(100 + k, "http://site_x.com?", plain_page(7)) for k in range(20)]  # copies of one page make no template
+    rows += [(200 + k, "http://few.example/", plain_page(k)) for k in range(2)]
+    rows += [(300, "http://münchen.de/all", "<html><body><div class=x1>Call us <b>now</b> on Monday</div></body></html>"), (301, None, "<p>x</p>"), (None, "http://münchen.de", plain_page(3))]
+    out = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    got = {r["page_id"]: r["text"] for r in out}
+    assert len(out) == len(rows)
+    assert all(got[k] == f"{story(k)}\n{story(k + 500)}" for k in range(20)) and got[None] == got[3]
+    assert got[107].startswith("Call us now on Monday\nOpen all day\nSale this week") and got[200].endswith(story(500))
+    assert got[300] == "Call us now on Monday"  # nothing else is on the page
+    assert all(html_extract.extract(rows[k][2], None) != got[k] for k in range(20))
+
+
+def test_tokens_that_change_places_are_no_template(spark):
+    rows = [(k, "http://a.example/", plain_page(k, turned=k % 2 == 1)) for k in range(20)]
+    got = {r["page_id"]: r["text"].split("\n") for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(any("Call us" in x or "Open all" in x for x in lines) and not any("rights" in x for x in lines) for lines in got.values())
+
+
+def test_classes_against_brute_force(spark):
+    """Classes of tokens of equal count on every page, from the vectors themselves instead of their sums."""
+    pages = [plain_page(k) for k in range(12)]
+    rows = spark.createDataFrame([("h", p) for p in pages], "host string, html string").repartition(3)
+    sums = [r.asDict() for r in html_extract.occurrences(rows).collect()]
+    by_sum: dict = {}
+    for r in sums:
+        if r["token"]:
+            by_sum.setdefault(((r["high"] << 32) + r["low"] & 2**64 - 1, r["pages"], r["times"]), set()).add(r["token"] % 2**64)
+    counts = [html_extract.page_tokens(p) for p in pages]
+    by_vector: dict = {}
+    for token in set().union(*counts):
+        by_vector.setdefault(tuple(c[token][2] if token in c else 0 for c in counts), set()).add(token)
+    assert sorted(map(sorted, by_sum.values())) == sorted(map(sorted, by_vector.values()))
+    constant = {"Call us", "now", "on Monday", "Open all day", "Sale", "this week", "All rights of Foo Inc"}
+    texts = {html_extract.run_token(e.path, t): " ".join(t.split()) for p in pages for kind, e, t in html_extract.walk(p) if kind == "text"}
+    assert {texts[t % 2**64] for t in html_extract.deduce(sums)} == constant
