@@ -1,8 +1,13 @@
 """Line dedup by an exact set-similarity join: rarity order, prefix, length and positional filters, verified Jaccard.
 
-A line's tokens are its distinct shingles of five words (A-Z lower-cased); a line with fewer words is one token, one
-without words has none and matches nothing. Lines are ordered by (doc_id, line number). Lines with equal sets form a
-class. A line goes if an earlier line has a Jaccard similarity of 0.8 or more to it.
+A line's tokens are its distinct words (A-Z lower-cased), or its distinct shingles of so many words; a line with fewer
+words is one token, one without words has none and matches nothing. Lines are ordered by (doc_id, line number). Lines
+with equal sets form a class. A line goes if an earlier line has a Jaccard similarity of 0.8 or more to it.
+
+Classes that share a token of their prefixes and pass the length and positional filters are candidates. A 64-bit parity
+bitmap of each set, whose XOR bounds the sets' difference from below, rules out most of them, exactly. Of its candidates
+before it a class is first verified against the earliest for each token; only what isn't similar to one of these, and
+has more, is then verified against all, so a group of similar lines costs in proportion to its lines.
 """
 
 from __future__ import annotations
@@ -11,17 +16,21 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm.common import bitmap, bytes_of, hashed_words, in_parts, in_units, mixed, partitions, passes, rolled, runs_of, written
-from papyrion.llm.graph import components
+from papyrion.llm.common import bitmap, bytes_of, dropped, hashed_words, in_parts, mixed, partitions, passes, rolled, written
 
-WIDTH, PERCENT = 5, 80
+WIDTH, PERCENT = 1, 80
 #: Counters by hash that rank tokens by rarity: so many for any input, counting every token. Which tokens share one is a matter of cost only.
 COUNTERS, SLICE = 2**20, 2**16
+#: Prefix tokens that one task gets about; tokens whose counter says more are dealt to several tasks.
+PART_ENTRIES = 2**21
+#: Lists of classes that share a prefix token: up to the first size all pairs of many lists are looked at at once, up to the second of one list; beyond, each class meets the earliest so many.
+SMALL_LIST, LARGE_LIST = 64, 4096
+
+
 def line_tokens(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a column's lines with words: text number, line number in its text, and all their tokens with the line that each is of."""
     data, offsets = bytes_of(column)
@@ -71,40 +80,55 @@ def _added(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for table in tables:
         for x in table.column("counts").to_pylist():
             total += np.frombuffer(zlib.decompress(x), np.int64)
-    yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(np.log2(total + 1).astype(np.uint8).tobytes())], pa.binary())})
+    ranks = zlib.compress(np.log2(total + 1).astype(np.uint8).tobytes())
+    yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "ranks": pa.array([ranks], pa.binary()), "total": pa.array([int(total.sum())], pa.int64())})
 
 
-def rarity(docs: DataFrame, width: int) -> np.ndarray:
-    """For each counter, the power of two of the number of tokens in all lines that fall to it: 1 MB, whatever the input."""
-    ranks = np.zeros(COUNTERS, np.uint8)
-    sums = docs.mapInArrow(_count(width), "slice int, counts binary").groupBy("slice").applyInArrow(_added, "slice int, counts binary")
+def rarity(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
+    """For each counter, the power of two of the number of tokens in all lines that fall to it: 1 MB, whatever the input. And how many tokens there are."""
+    ranks, total = np.zeros(COUNTERS, np.uint8), 0
+    sums = docs.mapInArrow(_count(width), "slice int, counts binary").groupBy("slice").applyInArrow(_added, "slice int, ranks binary, total bigint")
     for r in sums.collect():
-        ranks[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
-    return ranks
-
-
-_CLASS = np.dtype([("key", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("line", "<i8"), ("n", "<i8")])
+        ranks[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(r["ranks"]), np.uint8)
+        total += r["total"]
+    return ranks, total
 
 
 def _sets(tokens: np.ndarray, lines: np.ndarray, ranks: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """Tokens by line in rarity order without repeats, their lines, where each line starts, its size, and two hashes of its set."""
+    """Tokens by line in rarity order without repeats, their lines, where each line starts, its size, two hashes of its set and its parity bitmap."""
     rank = np.zeros(len(tokens), np.uint64) if ranks is None else ranks[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
     # one sort brings each line's tokens into order and equal ones together: 17 bits of line, 6 of rarity, 41 of hash
-    if int(lines.max()) < 2**17:
-        order = np.argsort((lines.astype(np.uint64) << np.uint64(47)) | (rank << np.uint64(41)) | (tokens >> np.uint64(23)))
-    else:  # a text of very many lines
-        order = np.lexsort((tokens >> np.uint64(23), rank, lines))
+    packs = int(lines.max()) < 2**17
+    if packs:
+        packed = (lines.astype(np.uint64) << np.uint64(47)) | (rank << np.uint64(41)) | (tokens >> np.uint64(23))
+        order = np.argsort(packed)
+        packed = packed[order]
+        packs = not ((packed[1:] == packed[:-1]) & (tokens[order][1:] != tokens[order][:-1])).any()
+    if not packs:  # a text of very many lines, or two tokens of a line that differ in their last bits only
+        order = np.lexsort((tokens, tokens >> np.uint64(23), rank, lines))
     tokens, lines = tokens[order], lines[order]
     new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (lines[1:] != lines[:-1])))
     tokens, lines = tokens[new], lines[new]
     starts = np.flatnonzero(np.concatenate(([True], lines[1:] != lines[:-1])))
     n = np.diff(np.concatenate((starts, [len(lines)])))
-    key = mixed(np.add.reduceat(mixed(tokens), starts) + n.astype(np.uint64))
+    once = mixed(tokens)
+    key = mixed(np.add.reduceat(once, starts) + n.astype(np.uint64))
     check = np.add.reduceat(mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)), starts)
-    return tokens, lines, starts, n, key, check
+    bits = np.bitwise_xor.reduceat(np.uint64(1) << (once >> np.uint64(58)), starts)
+    return tokens, lines, starts, n, key, check, bits
+
 
+_CLASS = np.dtype([("key", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("line", "<i8")])
+#: A prefix token of a class: place is the class's document as a float, which orders documents but for ties.
+_ENTRY = {"token": np.uint64, "key": np.uint64, "bits": np.uint64, "place": np.float32, "n": np.uint32, "pos": np.uint32}
 
-def _deal(ranks_of, width: int, percent: int, parts: int):
+
+def _slices(tokens: np.ndarray, ranks: np.ndarray, part_entries: int) -> np.ndarray:
+    """Into how many tasks a token's entries are dealt: one, but for tokens that may have more than a task's."""
+    return np.maximum(1, 2 ** ranks[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.int64) // (2 * part_entries))
+
+
+def _deal(ranks_of, width: int, percent: int, parts: int, part_entries: int):
     """Rows of packed arrays for each part: a batch's classes with their first line, the prefix tokens of each class, and the lines of a batch that come later than an equal one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,12 +137,11 @@ def _deal(ranks_of, width: int, percent: int, parts: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, texts in in_parts(batch.column(1)):
                 of_text, of_line, tokens, lines = line_tokens(texts, width)
-                if not len(tokens):
-                    continue
-                yield _packed(ids[first + of_text], of_line, tokens, lines, ranks)
+                if len(tokens):
+                    yield _packed(ids[first + of_text], of_line, tokens, lines, ranks)
 
     def _packed(docs, of_line, tokens, lines, ranks):
-        tokens, lines, starts, n, key, check = _sets(tokens, lines, ranks)
+        tokens, lines, starts, n, key, check, bits = _sets(tokens, lines, ranks)
         at = lines[starts]
         doc, line = docs[at], of_line[at]
         by_key = np.lexsort((line, doc, check, key))
@@ -128,7 +151,7 @@ def _deal(ranks_of, width: int, percent: int, parts: int):
         firsts = by_key[np.flatnonzero(leads)[np.cumsum(leads) - 1]][~leads]
         later = later[(doc[later] != doc[firsts]) | (line[later] != line[firsts])]
         classes = np.zeros(len(one), _CLASS)
-        for name, value in (("key", key), ("check", check), ("doc", doc), ("line", line), ("n", n)):
+        for name, value in (("key", key), ("check", check), ("doc", doc), ("line", line)):
             classes[name] = value[one]
         prefix = n - -(-percent * n // 100) + 1
         rank_in_line = np.arange(len(lines)) - np.repeat(starts, n)
@@ -136,48 +159,56 @@ def _deal(ranks_of, width: int, percent: int, parts: int):
         led[one] = True
         entry = np.flatnonzero((rank_in_line < np.repeat(prefix, n)) & np.repeat(led, n))
         owner = np.repeat(np.arange(len(n)), n)[entry]
-        columns: list[list] = [[], [], [], []]
-        part_of = (classes["key"] % np.uint64(parts)).astype(np.int64), (tokens[entry] % np.uint64(parts)).astype(np.int64), (mixed(doc[later].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        sorts = [np.argsort(p, kind="stable") for p in part_of]
-        cuts = [np.searchsorted(p[s], np.arange(parts + 1)) for p, s in zip(part_of, sorts, strict=True)]
+        values = {"token": tokens[entry], "key": key[owner], "bits": bits[owner], "place": doc[owner], "n": n[owner], "pos": rank_in_line[entry]}
+        share = (mixed(values["key"]) % _slices(values["token"], ranks, part_entries).astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
         gone = np.stack((doc[later], line[later]), axis=1)
-        for k in range(parts):
-            own, sub, out = (s[c[k] : c[k + 1]] for s, c in zip(sorts, cuts, strict=True))
-            if len(own) or len(sub) or len(out):
-                e = entry[sub]
-                packed = tokens[e].tobytes() + key[owner[sub]].tobytes() + n[owner[sub]].astype("<u4").tobytes() + rank_in_line[e].astype("<u4").tobytes()
-                for column, value in zip(columns, (k, classes[own].tobytes(), packed, gone[out].tobytes()), strict=True):
-                    column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "classes", "prefixes", "gone"])
+        part_of = [(x % np.uint64(parts)).astype(np.int64) for x in (classes["key"], mixed(values["token"] + share), mixed(doc[later].view(np.uint64)))]
+        sorts = [np.argsort(x, kind="stable") for x in part_of]
+        own, sub, out = (x[s] for x, s in zip(part_of, sorts, strict=True))
+        columns: list[list] = [[], [], [], []]
+        for k in np.unique(np.concatenate(part_of)).tolist():
+            x, y, z = (s[np.searchsorted(p, k) : np.searchsorted(p, k, side="right")] for p, s in ((own, sorts[0]), (sub, sorts[1]), (out, sorts[2])))
+            packed = b"".join(values[c][y].astype(kind).tobytes() for c, kind in _ENTRY.items())
+            for column, value in zip(columns, (k, classes[x].tobytes(), packed, gone[z].tobytes()), strict=True):
+                column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "classes", "entries", "gone"])
 
     return run
 
 
-_FOUND = "kind int, x bigint, y bigint, doc bigint, line bigint"
+_FOUND = "kind int, x bigint, y bigint, doc bigint, line bigint, n int, pos int, place float"
+LATER, CLASS, PAIR, OPEN, SOUGHT = range(5)
 
 
-def _rows(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
+def _rows(kind: int | np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
     count = len(next(iter(columns.values())))
-    made = [pa.array(columns[c].view(np.int64) if c in columns else np.zeros(count, np.int64), pa.int64()) for c in ("x", "y", "doc", "line")]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(count, kind, np.int32)), *made], names=["kind", "x", "y", "doc", "line"])
+    kinds = {"x": np.int64, "y": np.int64, "doc": np.int64, "line": np.int64, "n": np.int32, "pos": np.int32, "place": np.float32}
+    made = []
+    for name, type_ in kinds.items():
+        value = columns.get(name)
+        made.append(pa.array(np.zeros(count, type_) if value is None else np.ascontiguousarray(value).view(type_) if value.dtype.itemsize == np.dtype(type_).itemsize else value.astype(type_)))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(count, kind, np.int32) if isinstance(kind, int) else kind), *made], names=["kind", *kinds])
 
 
-def _meet(percent: int):
-    """Within a part: kind 0 the lines that come later than an equal one, 1 each class and its first line, 2 ties between classes.
+def near(percent: int, a_n, a_pos, a_bits, b_n, b_pos, b_bits) -> np.ndarray:
+    """Whether two classes may be similar, from a token that they share: length, positional and bitmap filter."""
+    both = a_n + b_n
+    needed = -(-percent * both // (100 + percent))
+    return (100 * np.minimum(a_n, b_n) >= percent * np.maximum(a_n, b_n)) & (np.minimum(a_n - a_pos, b_n - b_pos) >= needed) & (np.bitwise_count(a_bits ^ b_bits) <= both - 2 * needed)
 
-    Two classes that share a prefix token and pass the length and positional filters are candidates; the ties of a
-    token span its candidates' components, so they are fewer than its classes.
-    """
+
+def _meet(ranks_of, percent: int, part_entries: int, small: int, large: int):
+    """Within a part: the lines that come LATER than an equal one, each CLASS and its first line, PAIRs of a class and its earliest candidate for each token, and entries of lists that hold more candidates: SOUGHT for those of a class that has more, else OPEN."""
 
     def run(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, prefixes, gone = [], [[], [], [], []], []
+        classes, gone, entries = [], [], {c: [] for c in _ENTRY}
         for table in tables:
             classes += [np.frombuffer(x, _CLASS) for x in table.column("classes").to_pylist()]
             gone += [np.frombuffer(x, np.int64).reshape(-1, 2) for x in table.column("gone").to_pylist()]
-            for x in table.column("prefixes").to_pylist():
-                m, at = len(x) // 24, 0
-                for column, kind in zip(prefixes, (np.uint64, np.uint64, np.uint32, np.uint32), strict=True):
-                    column.append(np.frombuffer(x, kind, m, at))
+            for x in table.column("entries").to_pylist():
+                m, at = len(x) // sum(np.dtype(k).itemsize for k in _ENTRY.values()), 0
+                for name, kind in _ENTRY.items():
+                    entries[name].append(np.frombuffer(x, kind, m, at))
                     at += m * np.dtype(kind).itemsize
         rows = np.concatenate(classes)
         rows = rows[np.lexsort((rows["line"], rows["doc"], rows["check"], rows["key"]))]
@@ -187,54 +218,68 @@ def _meet(percent: int):
             later = rows[~leads & ((rows["doc"] != first["doc"]) | (rows["line"] != first["line"]))]
             gone.append(np.stack((later["doc"], later["line"]), axis=1))
             one = rows[leads]
-            yield _rows(1, x=one["key"].copy(), y=one["check"].copy(), doc=one["doc"].copy(), line=one["line"].copy())
+            yield _rows(CLASS, x=one["key"], y=one["check"], doc=one["doc"], line=one["line"])
         if out := [g for g in gone if len(g)]:
             both = np.concatenate(out)
-            yield _rows(0, doc=both[:, 0].copy(), line=both[:, 1].copy())
-        token, owner, n, pos = (np.concatenate(c) for c in prefixes)
-        yield from _pairs(token, owner, n.astype(np.int64), pos.astype(np.int64))
-
-    def _pairs(token, owner, n, pos):
-        if not len(token):
-            return
-        order = np.argsort(token)
-        token, owner, n, pos = token[order], owner[order], n[order], pos[order]
+            yield _rows(LATER, doc=both[:, 0], line=both[:, 1])
+        joined = {c: np.concatenate(v) for c, v in entries.items()}
+        if len(joined["token"]):
+            yield from _lists({c: v.astype(np.int64) if c in ("n", "pos") else v for c, v in joined.items()})
+
+    def _lists(e):
+        # of one class's entries in batches, the earliest stands for it
+        order = np.lexsort((e["key"], e["place"], e["token"]))
+        e = {c: v[order] for c, v in e.items()}
+        by = np.lexsort((np.arange(len(order)), e["key"], e["token"]))
+        twice = by[1:][(e["token"][by][1:] == e["token"][by][:-1]) & (e["key"][by][1:] == e["key"][by][:-1])]
+        alive = np.ones(len(order), bool)
+        alive[twice] = False
+        e = {c: v[alive] for c, v in e.items()}
+        token, place = e["token"], e["place"]
+        count = len(token)
         starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        sizes = np.diff(np.concatenate((starts, [len(token)])))
-        two = starts[sizes == 2]
-        a, b = n[two], n[two + 1]
-        close = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (np.minimum(a - pos[two], b - pos[two + 1]) >= -(-percent * (a + b) // (100 + percent)))
-        two = two[close & (owner[two] != owner[two + 1])]
-        if len(two):
-            yield _tied(list(np.stack((owner[two], owner[two + 1]), axis=1)))
-        ties, held = [], 0
-        many = sizes > 2
-        for start, size in zip(starts[many].tolist(), sizes[many].tolist(), strict=True):
-            own, m, at = owner[start : start + size], n[start : start + size], pos[start : start + size]
-            own, first = np.unique(own, return_index=True)
-            m, at = m[first], at[first]
-            by_size = np.argsort(m, kind="stable")
-            own, m, at = own[by_size], m[by_size], at[by_size]
-            group = np.arange(len(own))
-            for i in range(len(own) - 1):
-                # sorted by size, so the longer lines that pass the length filter follow at once
-                j = np.arange(i + 1, np.searchsorted(m, m[i] * 100 // percent, side="right"))
-                j = j[group[j] != group[i]]
-                j = j[np.minimum(m[i] - at[i], m[j] - at[j]) >= -(-percent * (m[i] + m[j]) // (100 + percent))]
-                for k in j.tolist():
-                    if group[k] != group[i]:
-                        ties.append(own[[i, k]])
-                        held += 1
-                        group[group == group[k]] = group[i]
-            if held > 100_000:
-                yield _tied(ties)
-                ties, held = [], 0
-        if ties:
-            yield _tied(ties)
-
-    def _tied(ties):
-        both = np.unique(np.sort(np.stack(ties), axis=1), axis=0)
-        return _rows(2, x=both[:, 0].copy(), y=both[:, 1].copy())
+        sizes = np.diff(np.concatenate((starts, [count])))
+        size_of = np.repeat(sizes, sizes)
+        start_of = np.repeat(starts, sizes)
+        first, found = np.full(count, count), np.zeros(count, np.int64)
+        used = np.zeros(count, bool)  # a candidate of a later class
+
+        def look(i, j):
+            """Entries i, each at or before its j in the list: those that pass the filters are candidates of j."""
+            ok = near(percent, e["n"][i], e["pos"][i], e["bits"][i], e["n"][j], e["pos"][j], e["bits"][j])
+            i, j = i[ok], j[ok]
+            # documents that floats don't tell apart may be in either order
+            tied = place[i] == place[j]
+            for x, y in ((i, j), (j[tied], i[tied])):
+                np.add.at(found, y, 1)
+                np.minimum.at(first, y, x)
+                used[x] = True
+
+        at = np.flatnonzero((size_of > 1) & (size_of <= small))
+        for gap in range(1, small):
+            at = at[at - gap >= start_of[at]]
+            if not len(at):
+                break
+            look(at - gap, at)
+        for start, size in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
+            lead = start + np.arange(min(size, large))
+            step = max(1, 2**19 // len(lead))
+            for low in range(start + 1, start + size, step):
+                j = np.arange(low, min(low + step, start + size))
+                i, j = (x.ravel() for x in np.meshgrid(lead[lead < j[-1]], j))
+                look(i[i < j], j[i < j])
+        # lists of which not all pairs have been looked at
+        partly = (_slices(token, ranks_of.value, part_entries) > 1) | (size_of > large)
+        sought = (found > 1) | partly
+        at = np.flatnonzero(first < count)
+        if len(at):
+            pairs = np.unique(np.stack((e["key"][at], e["key"][first[at]]), axis=1), axis=0)
+            yield _rows(PAIR, x=pairs[:, 0], y=pairs[:, 1])
+        more = np.repeat(np.logical_or.reduceat(sought, starts), sizes) & (sought | used | (found > 0))
+        more = np.flatnonzero(more)
+        if len(more):
+            # n and pos are of a line's words, of which a task's memory holds fewer than 2**31
+            yield _rows(np.where(sought[more], SOUGHT, OPEN).astype(np.int32), x=e["key"][more], y=token[more], doc=e["bits"][more], n=e["n"][more], pos=e["pos"][more], place=place[more])
 
     return run
 
@@ -251,7 +296,7 @@ def _wanted_tokens(width: int, docs_of, keys_of):
                 of_text, of_line, tokens, lines = line_tokens(texts, width)
                 if not len(tokens):
                     continue
-                tokens, lines, starts, n, key, _ = _sets(tokens, lines, None)
+                tokens, lines, starts, n, key, _, _ = _sets(tokens, lines, None)
                 hits = np.flatnonzero(passes(keys, key))
                 sets = [tokens[starts[h] : starts[h] + n[h]].view(np.int64) for h in hits.tolist()]
                 at = lines[starts[hits]]
@@ -260,98 +305,67 @@ def _wanted_tokens(width: int, docs_of, keys_of):
     return run
 
 
-#: Classes, and tokens of all classes, that are compared in one task; larger clusters are dealt to several.
-BLOCK_CLASSES, BLOCK_TOKENS = 2048, 2**21
-
-
-def _beaten(percent: int):
-    """Keys of each block's classes that a similar class comes before. side 0: all meet each other; else those of side 1 meet those of side 2."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((group["line"].to_numpy(), group["doc_id"].to_numpy(), group["unit"].to_numpy()))
-        unit, side, keys, sets = (group[c].to_numpy()[order] for c in ("unit", "side", "key", "tokens"))
-        found: list[int] = []
-        for low, high in runs_of(unit):
-            if high - low > 1:
-                found += one(side[low:high], keys[low:high], sets[low:high])
-        return pd.DataFrame({"key": np.array(found, np.int64)})
-
-    def one(side, keys, sets):
-        sizes = np.array([len(x) for x in sets])
-        starts = np.cumsum(sizes) - sizes
-        token = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        marked = np.zeros(int(token.max()) + 1, np.int32)
-        found = []
-        for i in np.flatnonzero(side <= 1).tolist():
-            before = np.flatnonzero((side[:i] == (0 if side[i] == 0 else 2)) & (keys[:i] != keys[i]) & (100 * np.minimum(sizes[:i], sizes[i]) >= percent * np.maximum(sizes[:i], sizes[i])))
-            if len(before):
-                own = token[starts[i] : starts[i] + sizes[i]]
-                marked[own] = 1
-                shared = np.add.reduceat(marked[token[: starts[i]]], starts[:i])[before]
-                marked[own] = 0
-                if (100 * shared >= percent * (sizes[i] + sizes[before] - shared)).any():
-                    found.append(keys[i])
-        return found
-
-    return run
-
-
-def _blocks(members: str, tokens: str):
-    return F.greatest(F.ceil(F.col(members) / BLOCK_CLASSES), F.ceil(F.col(tokens) / BLOCK_TOKENS)).cast("int")
+def _similar_later(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, check) of the later class of each pair (x, y) of keys whose whole sets are similar. Classes that share a key are told apart by their check."""
+    named = lambda p: sets.select(*(F.col(c).alias(f"{p}_{c}") for c in sets.columns))
+    met = pairs.join(named("a"), F.col("x") == F.col("a_key")).join(named("b"), F.col("y") == F.col("b_key"))
+    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    met = met.withColumn("shared", shared).where((100 + percent) * F.col("shared") >= percent * (F.size("a_tokens") + F.size("b_tokens")))
+    a, b = F.struct("a_doc_id", "a_line"), F.struct("b_doc_id", "b_line")
+    later = F.when(a > b, F.struct(F.col("a_key").alias("key"), F.col("a_check").alias("check"))).when(a < b, F.struct(F.col("b_key").alias("key"), F.col("b_check").alias("check")))
+    return met.select(later.alias("later")).where("later is not null").select("later.key", "later.check").distinct()
 
 
-def _similar_before(members: DataFrame, percent: int) -> DataFrame:
-    """(key) of the classes that have a similar one before them; members: (cluster, blocks, key, doc_id, line, tokens).
-
-    Each block is searched in itself first; of clusters of several blocks, what hasn't been beaten then meets all blocks.
-    """
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    blocks = members.withColumn("block", own).withColumn("side", F.lit(0))
-    first = written(in_units(blocks, "n", "cluster", "block").groupBy("call").applyInPandas(_beaten(percent), "key bigint"), "beaten")
-    parted = members.where("blocks > 1")
-    if parted.isEmpty():
-        return first
-    left = parted.join(first, "key", "left_anti")
-    sizes = left.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("total")).select("cluster", _blocks("members", "total").alias("open"))
-    x = left.join(sizes, "cluster").withColumn("x", F.pmod(F.xxhash64("key"), F.col("open")).cast("int")).withColumn("y", every).withColumn("side", F.lit(1))
-    y = parted.join(sizes, "cluster").withColumn("y", own).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("open") - 1))).withColumn("side", F.lit(2))
-    met = in_units(x.unionByName(y), "n", "cluster", "x", "y").groupBy("call").applyInPandas(_beaten(percent), "key bigint")
-    return first.unionByName(met.distinct())
+def _candidates(open_lists: DataFrame, left: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (x, y) of the classes in left (key) that are still sought with all their candidates, by a join on the shared token under the same filters."""
+    y = open_lists.select(F.col("y").alias("token"), *(F.col(c).alias(f"b_{c}") for c in ("x", "doc", "n", "pos", "place")))
+    x = open_lists.where(F.col("kind") == SOUGHT).join(left, F.col("x") == F.col("key"), "left_semi").select(F.col("y").alias("token"), *(F.col(c).alias(f"a_{c}") for c in ("x", "doc", "n", "pos", "place")))
+    both = F.col("a_n").cast("long") + F.col("b_n")
+    needed = -F.floor(-percent * both / F.lit(100 + percent))
+    passing = (
+        (F.col("b_place") <= F.col("a_place")) & (F.col("a_x") != F.col("b_x")) & (100 * F.least("a_n", "b_n").cast("long") >= percent * F.greatest("a_n", "b_n").cast("long"))
+        & (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= needed) & (F.bit_count(F.col("a_doc").bitwiseXOR(F.col("b_doc"))) <= both - 2 * needed)
+    )
+    return x.join(y, "token").where(passing).select(F.col("a_x").alias("x"), F.col("b_x").alias("y")).distinct()
 
 
 def line_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs: (doc_id long, text). Returns (classes, beaten, later).
 
-    classes (key, doc_id, line): a class of lines with equal sets, by its first line. beaten (key): the classes that have a
-    similar one before them, verified on whole sets. later (doc_id, line): lines that repeat an earlier line's set.
+    classes (key, check, doc_id, line): a class of lines with equal sets, by its first line. beaten (key, check): the
+    classes that have a similar one before them, verified on whole sets. later (doc_id, line): lines that repeat an
+    earlier line's set.
     """
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null and text is not null")
-    parts = 2 * partitions(spark)
-    ranks = spark.sparkContext.broadcast(rarity(docs, width))
-    dealt = docs.mapInArrow(_deal(ranks, width, percent, parts), "part int, classes binary, prefixes binary, gone binary")
-    met = written(dealt.groupBy("part").applyInArrow(_meet(percent), _FOUND), "lines")
-    classes = met.where("kind = 1").select(F.col("x").alias("key"), F.col("doc").alias("doc_id"), "line")
-    later = met.where("kind = 0").select(F.col("doc").alias("doc_id"), "line")
-    tied = components(met.where("kind = 2").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    clusters = tied.select(F.col("node").alias("key"), F.col("label").alias("cluster"))
-    clusters = clusters.unionByName(tied.select(F.col("label").alias("key"), F.col("label").alias("cluster")).distinct())
-    wanted = written(classes.join(clusters, "key"), "wanted")
+    counted, total = rarity(docs, width)
+    parts = max(2 * partitions(spark), -(-total * (100 - percent) // (100 * PART_ENTRIES)))
+    ranks = spark.sparkContext.broadcast(counted)
+    dealt = docs.mapInArrow(_deal(ranks, width, percent, parts, PART_ENTRIES), "part int, classes binary, entries binary, gone binary")
+    met = written(dealt.groupBy("part").applyInArrow(_meet(ranks, percent, PART_ENTRIES, SMALL_LIST, LARGE_LIST), _FOUND), "lines")
+    classes = met.where(F.col("kind") == CLASS).select(F.col("x").alias("key"), F.col("y").alias("check"), F.col("doc").alias("doc_id"), "line")
+    later = met.where(F.col("kind") == LATER).select(F.col("doc").alias("doc_id"), "line")
+    pairs = met.where(F.col("kind") == PAIR).select("x", "y").distinct()
+    open_lists = met.where(F.col("kind") >= OPEN)
+    keys = met.where(F.col("kind") == PAIR).select(F.explode(F.array("x", "y")).alias("key")).unionByName(open_lists.select(F.col("x").alias("key"))).distinct()
+    wanted = written(classes.join(keys, "key", "left_semi"), "wanted")
     of_docs = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("doc_id").alias("h"))))
     of_keys = spark.sparkContext.broadcast(bitmap(wanted.select("key")))
     found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("probe")).mapInArrow(_wanted_tokens(width, of_docs, of_keys), "key bigint, doc_id bigint, line bigint, tokens array<bigint>")
     # repeated rows give the same line again
-    sets = found.join(wanted, ["key", "doc_id", "line"]).dropDuplicates(["key", "doc_id", "line"])
-    sets = written(sets.withColumn("n", F.size("tokens")), "tokens")
-    sizes = sets.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("total")).select("cluster", _blocks("members", "total").alias("blocks"))
-    return classes, _similar_before(sets.join(sizes, "cluster"), percent), later
+    sets = written(found.join(wanted, ["key", "doc_id", "line"]).dropDuplicates(["key", "doc_id", "line"]), "tokens")
+    dropped(wanted)
+    beaten = written(_similar_later(pairs, sets, percent), "beaten")
+    left = sets.select("key", "check").join(beaten, ["key", "check"], "left_anti").select("key")
+    more = written(_similar_later(_candidates(open_lists, left, percent).join(pairs, ["x", "y"], "left_anti"), sets, percent), "beaten")
+    dropped(sets)
+    return classes, beaten.unionByName(more).distinct(), later
 
 
 def removed_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, lines array<bigint>): the numbers of the lines that go, for each document that loses any."""
     classes, beaten, later = line_classes(docs, width, percent)
-    return later.unionByName(classes.join(beaten, "key").select("doc_id", "line")).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    return later.unionByName(classes.join(beaten, ["key", "check"]).select("doc_id", "line")).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,8 +373,8 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_
 
     Null text stays null with 0 lines; an empty text is one line without words. Null ids keep their texts. Rows that
     repeat an id and text are one document and return alike. Lines are parted by ``\\n`` only and the others stay as they
-    are, so a text that loses all its lines is empty. An empty table gives no rows; other columns pass through.
-    Columns of docs by the names n_lines and n_removed_lines are replaced.
+    are, so a text that loses all its lines is empty. Texts and lines of any length are taken whole. An empty table gives
+    no rows; other columns pass through. Columns of docs by the names n_lines and n_removed_lines are replaced.
     """
     rows = removed_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), width, percent).toDF("_removed_of", "_removed")
     joined = docs.join(rows, docs[id_col].cast("long") == rows["_removed_of"], "left")

@@ -80,13 +80,13 @@ def brute_lines(rows, width=5, percent=80):
     return gone
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_line_dedup(spark, seed):
+@pytest.mark.parametrize(("seed", "width"), [(1, 1), (2, 1), (3, 5)])
+def test_line_dedup(spark, seed, width):
     rows = list(enumerate(corpus(seed))) + [(0, corpus(seed)[0]), (None, corpus(seed)[2])]
     random.Random(seed).shuffle(rows)
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, n_lines string").repartition(3)
-    gone = brute_lines(rows)
-    out = line_dedup.dedup_lines(docs).collect()
+    gone = brute_lines(rows, width)
+    out = line_dedup.dedup_lines(docs, width).collect()
     assert len(out) == len(rows)
     source = dict(rows)
     for r in out:
@@ -100,13 +100,52 @@ def test_line_dedup(spark, seed):
     assert gone
 
 
-def test_line_dedup_in_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BLOCK_CLASSES", 3)
-    rows = list(enumerate(corpus(5, 30)))
-    gone = brute_lines(rows)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {(r["doc_id"], i) for r in line_dedup.removed_lines(docs).collect() for i in r["lines"]}
-    assert found == gone
+def found_lines(spark, rows, **settings):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return {(r["doc_id"], i) for r in line_dedup.removed_lines(docs, **settings).collect() for i in r["lines"]}
+
+
+def word_edits(seed, n=150):
+    """Lines of 8 to 20 words out of few, each an edit of a line by a word or two; some texts have two lines, and ids that floats don't tell apart."""
+    rng = random.Random(seed)
+    base = [rng.choices(WORDS[:60], k=rng.randint(8, 20)) for _ in range(12)]
+    rows = []
+    for k in range(n):
+        lines = []
+        for _ in range(rng.randint(1, 2)):
+            line = list(rng.choice(base))
+            for _ in range(rng.randint(0, 2)):
+                line[rng.randrange(len(line))] = rng.choice(WORDS)
+            lines.append(" ".join(line))
+        rows.append((2**60 + k if k % 3 else k, "\n".join(lines)))
+    return rows
+
+
+@pytest.mark.parametrize("limits", [{}, {"SMALL_LIST": 3, "LARGE_LIST": 10}, {"PART_ENTRIES": 1}, {"SMALL_LIST": 2, "LARGE_LIST": 1, "PART_ENTRIES": 4}])
+def test_one_word_edits_in_short_lines(spark, monkeypatch, limits):
+    """Short lists, long ones, lists of which only the earliest are looked at, and tokens dealt to many tasks find the same."""
+    for name, value in limits.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    rows = word_edits(7)
+    gone = brute_lines(rows, 1)
+    assert found_lines(spark, rows) == gone and len(gone) > 60
+
+
+def test_a_hot_prefix_token_and_a_chain_of_edits(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SMALL_LIST", 8)
+    # numbered lines share all words but their number and aren't similar; each line of the chain is similar to its neighbours only
+    rows = [(k, f"item {k} of the list") for k in range(300)]
+    rows += [(1000 + k, " ".join(f"c{i}" for i in range(k, k + 20))) for k in range(40)]
+    rows += [(2000, "long " * 3 + " ".join(f"l{i}" for i in range(30_000))), (2001, " ".join(f"l{i}" for i in range(29_000)))]
+    gone = {(1000 + k, 0) for k in range(1, 40)} | {(2001, 0)}
+    assert found_lines(spark, rows) == gone
+
+
+def test_classes_that_share_a_key_are_told_apart(spark):
+    """Sets by key and check: of two classes with one key, only the one that is similar goes."""
+    sets = spark.createDataFrame([(1, 10, 0, 0, [1, 2, 3, 4, 5]), (7, 11, 1, 0, [1, 2, 3, 4, 5, 6]), (7, 12, 2, 0, [9, 8])], "key long, check long, doc_id long, line long, tokens array<long>")
+    pairs = spark.createDataFrame([(7, 1)], "x long, y long")
+    assert [tuple(r) for r in line_dedup._similar_later(pairs, sets, 80).collect()] == [(7, 11)]
 
 
 def test_line_dedup_of_nothing(spark):
