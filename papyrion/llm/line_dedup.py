@@ -4,7 +4,7 @@ A line's tokens are its distinct words (A-Z lower-cased), or its distinct shingl
 words is one token, one without words has none and matches nothing. Lines are ordered by (doc_id, line number). Lines
 with equal sets form a class. A line goes if an earlier line has a Jaccard similarity of 0.8 or more to it.
 
-Classes that share a token of their prefixes and pass the length and positional filters are candidates. A 64-bit parity
+Classes that share a token of their prefixes and pass the length and positional filters are candidates. A 128-bit parity
 bitmap of each set, whose XOR bounds the sets' difference from below, rules out most of them, exactly. Of its candidates
 before it a class is first verified against the earliest for each token; only what isn't similar to one of these, and
 has more, is then verified against all, so a group of similar lines costs in proportion to its lines.
@@ -114,13 +114,14 @@ def _sets(tokens: np.ndarray, lines: np.ndarray, ranks: np.ndarray | None) -> tu
     once = mixed(tokens)
     key = mixed(np.add.reduceat(once, starts) + n.astype(np.uint64))
     check = np.add.reduceat(mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)), starts)
-    bits = np.bitwise_xor.reduceat(np.uint64(1) << (once >> np.uint64(58)), starts)
+    bit, upper = np.uint64(1) << (once & np.uint64(63)), (once >> np.uint64(63)).astype(bool)
+    bits = [np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), starts) for half in (~upper, upper)]
     return tokens, lines, starts, n, key, check, bits
 
 
 _CLASS = np.dtype([("key", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("line", "<i8")])
 #: A prefix token of a class: place is the class's document as a float, which orders documents but for ties.
-_ENTRY = {"token": np.uint64, "key": np.uint64, "bits": np.uint64, "place": np.float32, "n": np.uint32, "pos": np.uint32}
+_ENTRY = {"token": np.uint64, "key": np.uint64, "low": np.uint64, "high": np.uint64, "place": np.float32, "n": np.uint32, "pos": np.uint32}
 
 
 def _slices(tokens: np.ndarray, ranks: np.ndarray, part_entries: int) -> np.ndarray:
@@ -159,7 +160,7 @@ def _deal(ranks_of, width: int, percent: int, parts: int, part_entries: int):
         led[one] = True
         entry = np.flatnonzero((rank_in_line < np.repeat(prefix, n)) & np.repeat(led, n))
         owner = np.repeat(np.arange(len(n)), n)[entry]
-        values = {"token": tokens[entry], "key": key[owner], "bits": bits[owner], "place": doc[owner], "n": n[owner], "pos": rank_in_line[entry]}
+        values = {"token": tokens[entry], "key": key[owner], "low": bits[0][owner], "high": bits[1][owner], "place": doc[owner], "n": n[owner], "pos": rank_in_line[entry]}
         share = (mixed(values["key"]) % _slices(values["token"], ranks, part_entries).astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
         gone = np.stack((doc[later], line[later]), axis=1)
         part_of = [(x % np.uint64(parts)).astype(np.int64) for x in (classes["key"], mixed(values["token"] + share), mixed(doc[later].view(np.uint64)))]
@@ -176,6 +177,7 @@ def _deal(ranks_of, width: int, percent: int, parts: int, part_entries: int):
     return run
 
 
+#: x is a class's key; y its check, its candidate's key, or a token; doc and line a place, or the halves of a bitmap.
 _FOUND = "kind int, x bigint, y bigint, doc bigint, line bigint, n int, pos int, place float"
 LATER, CLASS, PAIR, OPEN, SOUGHT = range(5)
 
@@ -190,11 +192,12 @@ def _rows(kind: int | np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(count, kind, np.int32) if isinstance(kind, int) else kind), *made], names=["kind", *kinds])
 
 
-def near(percent: int, a_n, a_pos, a_bits, b_n, b_pos, b_bits) -> np.ndarray:
-    """Whether two classes may be similar, from a token that they share: length, positional and bitmap filter."""
-    both = a_n + b_n
+def near(percent: int, a: tuple, b: tuple) -> np.ndarray:
+    """Whether two classes (n, pos, low, high) may be similar, from a token that they share: length, positional and bitmap filter."""
+    both = a[0] + b[0]
     needed = -(-percent * both // (100 + percent))
-    return (100 * np.minimum(a_n, b_n) >= percent * np.maximum(a_n, b_n)) & (np.minimum(a_n - a_pos, b_n - b_pos) >= needed) & (np.bitwise_count(a_bits ^ b_bits) <= both - 2 * needed)
+    passed = (100 * np.minimum(a[0], b[0]) >= percent * np.maximum(a[0], b[0])) & (np.minimum(a[0] - a[1], b[0] - b[1]) >= needed)
+    return passed & (np.bitwise_count(a[2] ^ b[2]).astype(np.int64) + np.bitwise_count(a[3] ^ b[3]) <= both - 2 * needed)
 
 
 def _meet(ranks_of, percent: int, part_entries: int, small: int, large: int):
@@ -227,15 +230,26 @@ def _meet(ranks_of, percent: int, part_entries: int, small: int, large: int):
             yield from _lists({c: v.astype(np.int64) if c in ("n", "pos") else v for c, v in joined.items()})
 
     def _lists(e):
-        # of one class's entries in batches, the earliest stands for it
-        order = np.lexsort((e["key"], e["place"], e["token"]))
-        e = {c: v[order] for c, v in e.items()}
-        by = np.lexsort((np.arange(len(order)), e["key"], e["token"]))
-        twice = by[1:][(e["token"][by][1:] == e["token"][by][:-1]) & (e["key"][by][1:] == e["key"][by][:-1])]
-        alive = np.ones(len(order), bool)
-        alive[twice] = False
-        e = {c: v[alive] for c, v in e.items()}
-        token, place = e["token"], e["place"]
+        order = np.argsort(e["token"])
+        token = e["token"][order]
+        new = np.concatenate(([True], token[1:] != token[:-1]))
+        at_list = np.cumsum(new) - 1
+        several = (np.bincount(at_list)[at_list] > 1) | (_slices(token, ranks_of.value, part_entries) > 1)
+        order, at_list = order[several], at_list[several].astype(np.uint64) << np.uint64(32)
+        if not len(order):
+            return
+        # a list's entries in order of their documents
+        place = e["place"][order].view(np.uint32)
+        place = np.where(place >> np.uint32(31), ~place, place | np.uint32(2**31)).astype(np.uint64)
+        by_place = np.argsort(at_list | place)
+        order, at_list = order[by_place], at_list[by_place]
+        # of one class's entries in a list, the earliest stands for it
+        key = e["key"][order]
+        by_key = np.argsort(at_list | (key >> np.uint64(32)))
+        leads = np.concatenate(([True], (at_list[by_key][1:] != at_list[by_key][:-1]) | (key[by_key][1:] != key[by_key][:-1])))
+        earliest = np.sort(np.minimum.reduceat(by_key, np.flatnonzero(leads)))
+        e = {c: v[order[earliest]] for c, v in e.items()}
+        token, place, key = e["token"], e["place"], e["key"]
         count = len(token)
         starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         sizes = np.diff(np.concatenate((starts, [count])))
@@ -246,7 +260,8 @@ def _meet(ranks_of, percent: int, part_entries: int, small: int, large: int):
 
         def look(i, j):
             """Entries i, each at or before its j in the list: those that pass the filters are candidates of j."""
-            ok = near(percent, e["n"][i], e["pos"][i], e["bits"][i], e["n"][j], e["pos"][j], e["bits"][j])
+            a, b = ([e[c][k] for c in ("n", "pos", "low", "high")] for k in (i, j))
+            ok = near(percent, a, b) & (key[i] != key[j])
             i, j = i[ok], j[ok]
             # documents that floats don't tell apart may be in either order
             tied = place[i] == place[j]
@@ -273,13 +288,16 @@ def _meet(ranks_of, percent: int, part_entries: int, small: int, large: int):
         sought = (found > 1) | partly
         at = np.flatnonzero(first < count)
         if len(at):
-            pairs = np.unique(np.stack((e["key"][at], e["key"][first[at]]), axis=1), axis=0)
-            yield _rows(PAIR, x=pairs[:, 0], y=pairs[:, 1])
+            x, y = key[at], key[first[at]]
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            once = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+            yield _rows(PAIR, x=x[once], y=y[once])
         more = np.repeat(np.logical_or.reduceat(sought, starts), sizes) & (sought | used | (found > 0))
         more = np.flatnonzero(more)
         if len(more):
             # n and pos are of a line's words, of which a task's memory holds fewer than 2**31
-            yield _rows(np.where(sought[more], SOUGHT, OPEN).astype(np.int32), x=e["key"][more], y=token[more], doc=e["bits"][more], n=e["n"][more], pos=e["pos"][more], place=place[more])
+            yield _rows(np.where(sought[more], SOUGHT, OPEN).astype(np.int32), x=key[more], y=token[more], doc=e["low"][more], line=e["high"][more], n=e["n"][more], pos=e["pos"][more], place=place[more])
 
     return run
 
@@ -318,13 +336,13 @@ def _similar_later(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 def _candidates(open_lists: DataFrame, left: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (x, y) of the classes in left (key) that are still sought with all their candidates, by a join on the shared token under the same filters."""
-    y = open_lists.select(F.col("y").alias("token"), *(F.col(c).alias(f"b_{c}") for c in ("x", "doc", "n", "pos", "place")))
-    x = open_lists.where(F.col("kind") == SOUGHT).join(left, F.col("x") == F.col("key"), "left_semi").select(F.col("y").alias("token"), *(F.col(c).alias(f"a_{c}") for c in ("x", "doc", "n", "pos", "place")))
+    y = open_lists.select(F.col("y").alias("token"), *(F.col(c).alias(f"b_{c}") for c in ("x", "doc", "line", "n", "pos", "place")))
+    x = open_lists.where(F.col("kind") == SOUGHT).join(left, F.col("x") == F.col("key"), "left_semi").select(F.col("y").alias("token"), *(F.col(c).alias(f"a_{c}") for c in ("x", "doc", "line", "n", "pos", "place")))
     both = F.col("a_n").cast("long") + F.col("b_n")
     needed = -F.floor(-percent * both / F.lit(100 + percent))
     passing = (
         (F.col("b_place") <= F.col("a_place")) & (F.col("a_x") != F.col("b_x")) & (100 * F.least("a_n", "b_n").cast("long") >= percent * F.greatest("a_n", "b_n").cast("long"))
-        & (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= needed) & (F.bit_count(F.col("a_doc").bitwiseXOR(F.col("b_doc"))) <= both - 2 * needed)
+        & (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= needed) & (F.bit_count(F.col("a_doc").bitwiseXOR(F.col("b_doc"))) + F.bit_count(F.col("a_line").bitwiseXOR(F.col("b_line"))) <= both - 2 * needed)
     )
     return x.join(y, "token").where(passing).select(F.col("a_x").alias("x"), F.col("b_x").alias("y")).distinct()
 
