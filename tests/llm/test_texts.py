@@ -281,6 +281,103 @@ def test_decontamination_with_a_conflicting_slot(spark):
     assert out[0]["coverage"] < 1 and out[2]["coverage"] == 1
 
 
+@pytest.mark.parametrize(
+    ("item", "doc", "found"),
+    [
+        ("When you add 3 plus 4 you get what number in the end of it all", "When you add 5 plus 5 you get what number in the end of it all", True),
+        ("Tom buys two red apples on the way. Tom eats one of them at once and gives what is left away", "Anna buys two red apples on the way. Anna eats one of them at once and gives what is left away", True),
+        ("Tom buys two red apples on the way. Tom eats one of them at once", "Anna buys two red apples on the way. Ben eats one of them at once", False),
+        ("How long does the walk to the old mill take in 15 minutes", "so how long does the walk to the old mill take in 40 hours then", True),
+    ],
+)
+def test_reparameterised_items(spark, item, doc, found):
+    out = decontam.matches(spark.createDataFrame([(1, doc)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert (out.count() == 1) == found
+
+
+def brute_readings(text):
+    """The words of an ASCII text, as (plain, typed) in the readings of sentence openings: plain, all but the first plain, names."""
+    found = [(m[0], m.start(), m.end()) for m in re.finditer(r"(?:[A-Za-z0-9]|(?<=[0-9])[.,:/](?=[0-9]))+", text)]
+    out = []
+    for reading in range(3):
+        typed = []
+        for k, (w, low, _) in enumerate(found):
+            opens = k == 0 and reading == 0 or k > 0 and reading < 2 and re.search(r"[.!?:]", text[found[k - 1][2] : low]) is not None
+            if w[0].isdigit():
+                typed.append("NUM")
+            elif k and found[k - 1][0][0].isdigit() and w.lower() in decontam.UNITS:
+                typed.append("UNIT")
+            elif len(w) > 1 and w[0].isupper() and not w[1].isupper() and not opens:
+                typed.append("NAME")
+            else:
+                typed.append(w.lower())
+        out.append([(w.lower(), t) for (w, _, _), t in zip(found, typed, strict=True)])
+    return out
+
+
+def brute_matches(docs, items):
+    found = set()
+    for item_id, item in items:
+        own = brute_readings(item)
+        width = min(len(own[0]), 8)
+        for doc_id, doc in docs:
+            seen = brute_readings(doc)
+            aligned: dict = {}
+            for x in range(len(seen[0]) - width + 1):
+                for y in range(len(own[0]) - width + 1):
+                    for i in range(3):
+                        for j in (0, 2):
+                            a, b = own[i][y : y + width], seen[j][x : x + width]
+                            slots = [(p, q) for (p, t), (q, _) in zip(a, b, strict=True) if t in ("NUM", "UNIT", "NAME")]
+                            if [t for _, t in a] == [t for _, t in b] and width - len(slots) >= min(4, width) and (i != 1 or y == 0):
+                                aligned.setdefault(x - y, set()).add((y, False, i == 2 or j == 2, tuple(slots)))
+                    if [p for p, _ in own[0][y : y + width]] == [p for p, _ in seen[0][x : x + width]]:
+                        aligned.setdefault(x - y, set()).add((y, True, False, tuple((p, p) for p, t in own[0][y : y + width] if t in ("NUM", "UNIT", "NAME"))))
+            windows = max(len(own[0]) - 7, 1)
+            for matched in aligned.values():
+                maps: dict = {}
+                for *_, slots in matched:
+                    for p, q in slots:
+                        maps.setdefault(p, set()).add(q)
+                torn = {p for p, q in maps.items() if len(q) > 1}
+                sound = [(y, named) for y, exact, named, slots in matched if exact or not torn & {p for p, _ in slots}]
+                n, sure = len({y for y, _ in sound}), len({y for y, named in sound if not named})
+                if n + 7 > 13 or not torn and (sure >= 0.5 * windows or sure + 7 >= 13):
+                    found.add((doc_id, item_id))
+    return found
+
+
+def test_decontamination_against_brute_force_and_its_recall(spark):
+    rng = random.Random(11)
+    plain = "the old stone bridge over a wide river where boats pass slowly under quiet evening lamps and people walk home with bread".split()
+    names = "Anna Tom Paris London Berta Oslo Carl Rome".split()
+
+    def text(n):
+        words = []
+        while len(words) < n:
+            x = rng.random()
+            words += [rng.choice(names)] if x < 0.12 else [str(rng.randint(2, 400)), rng.choice(["km", "hours"])] if x < 0.2 else [rng.choice(plain) + rng.choice(["", "", "", "", "."])]
+        return " ".join(w.capitalize() if k and words[k - 1].endswith(".") else w for k, w in enumerate(words))
+
+    def changed(item):
+        values = {w: rng.choice(names) for w in names} | {str(k): str(rng.randint(2, 400)) for k in range(401)}
+        return re.sub(r"[A-Za-z0-9]+", lambda m: values.get(m[0], m[0]), item)
+
+    items = [(k, text(rng.choice([5, 9, 14, 25]))) for k in range(25)]
+    docs, planted = [], []
+    for k in range(60):
+        item_id, item = rng.choice(items)
+        kind = k % 4
+        inner = changed(item) if kind == 0 else item if kind == 1 else re.sub(r"\b[a-z]+\b", lambda m: m[0] if rng.random() < 0.85 else "other", changed(item)) if kind == 2 else ""
+        docs.append((k, f"{text(12)} {inner} {text(12)}"))
+        if kind < 2 and len(item.split()) >= 9:
+            planted.append((k, item_id))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.matches(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_matches(docs, items)
+    # what is lost are items of which no window has four plain words
+    assert len(got & set(planted)) >= 0.9 * len(planted) and len(planted) > 15
+
+
 def page(host, k, body, extra=""):
     return (k, f"https://{host}/{k}", f'<!DOCTYPE html><html><head><title>T{k}</title><style>p{{x:1}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy {k}</div><article>{body}</article>{extra}<footer>&copy; {host}</footer></body></html>')
 
