@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm.common import bitmap, in_parts, in_units, passes, runs_of, shingle_set, words_by_text, written
+from papyrion.llm.common import bitmap, dropped, in_parts, in_units, passes, runs_of, shingle_set, words_by_text, written
 from papyrion.llm.graph import components
 
 #: Samples of a signature are BANDS x ROWS. At a similarity of 0.8, a pair shares no band with a chance of (1 - 0.8**6)**36 = 1.6e-5; at 0.85 of 4e-8.
@@ -88,10 +89,11 @@ def _sets(width: int, wanted_of):
         wanted = wanted_of.value
         for batch in batches:
             batch = batch.filter(pa.array(passes(wanted, batch.column(2).to_numpy().view(np.uint64))))
-            words, at = words_by_text(batch.column(1))
-            sets = [shingle_set(words[at[i] : at[i + 1]], width) for i in range(batch.num_rows)]
-            digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["rep", "digest", "shingles"])
+            for first, part in in_parts(batch.column(1)):
+                words, at = words_by_text(part)
+                sets = [shingle_set(words[at[i] : at[i + 1]], width) for i in range(len(part))]
+                digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(digests, pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["rep", "digest", "shingles"])
 
     return run
 
@@ -151,7 +153,7 @@ def _linked(limit: int, percent: int):
     return run
 
 
-#: Members, and shingles of all members, that are compared in one task; larger clusters are dealt to several.
+#: Members, and shingles of all members, that are compared in one task; larger groups are dealt to several.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 2**21
 
 
@@ -159,39 +161,97 @@ def _blocks(members: str, shingles: str):
     return F.greatest(F.ceil(F.col(members) / BLOCK_MEMBERS), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
 
 
+def _alike(a: str, b: str, limit: int, percent: int) -> Column:
+    """Whether the sizes and sketches of two nodes (prefixes of their columns) let them be similar."""
+    n = [F.col(f"{p}_n_shingles") for p in (a, b)]
+    differing = reduce(Column.__add__, [F.bit_count(F.get(f"{a}_sketch", F.lit(k)).bitwiseXOR(F.get(f"{b}_sketch", F.lit(k)))) for k in range(SKETCH_BITS // 64)])
+    return (100 * F.least(*n) >= percent * F.greatest(*n)) & (differing <= limit)
+
+
+def _sketches(reps: DataFrame, name: str) -> DataFrame:
+    return reps.select(F.col("rep").alias(f"{name}_rep"), F.col("n_shingles").alias(f"{name}_n_shingles"), F.col("sketch").alias(f"{name}_sketch"))
+
+
+def _homes(shared: DataFrame, reps: DataFrame, limit: int, percent: int) -> DataFrame:
+    """(rep, home): of the pivots whose bucket a node is in and whose sketch lets them be similar, the smallest. At most a pair for each entry is looked at."""
+    ties = shared.where("rep != pivot").select("rep", "pivot").distinct()
+    met = ties.join(_sketches(reps, "a"), F.col("rep") == F.col("a_rep")).join(_sketches(reps, "b"), F.col("pivot") == F.col("b_rep"))
+    return met.where(_alike("a", "b", limit, percent)).groupBy("rep").agg(F.min("pivot").alias("home"))
+
+
 def _within(members: DataFrame, limit: int, percent: int) -> DataFrame:
-    """Links found in blocks of each cluster; the cluster's smallest member is in every block."""
+    """Links found in blocks of each home's members; the home itself is in every block."""
     own = F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = members.withColumn("block", F.explode(F.when(F.col("rep") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
+    dealt = members.withColumn("block", F.explode(F.when(F.col("rep") == F.col("home"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
     rows = dealt.withColumn("side", F.lit(0)).withColumn("label", F.col("rep"))
-    return in_units(rows, "n_shingles", "cluster", "block").groupBy("call").applyInPandas(_linked(limit, percent), "a bigint, b bigint")
+    return in_units(rows, "n_shingles", "home", "block").groupBy("call").applyInPandas(_linked(limit, percent), "a bigint, b bigint")
 
 
 def _between(members: DataFrame, labels: DataFrame, limit: int, percent: int) -> DataFrame:
-    """Links that blocks have kept apart: of clusters of several blocks, the members outside the cluster's largest component meet all its members."""
+    """Links that blocks have kept apart: of homes of several blocks, the members outside the home's largest component meet all its members."""
     parted = members.where("blocks > 1").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    most = parted.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "label"))["label"].alias("largest"))
-    minor = parted.join(most, "cluster").where("label != largest").drop("largest")
-    sizes = minor.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).select("cluster", _blocks("members", "total").alias("minors"))
+    most = parted.groupBy("home", "label").agg(F.count("*").alias("n")).groupBy("home").agg(F.max(F.struct("n", "label"))["label"].alias("largest"))
+    minor = parted.join(most, "home").where("label != largest").drop("largest")
+    sizes = minor.groupBy("home").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).select("home", _blocks("members", "total").alias("minors"))
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = minor.join(sizes, "cluster").withColumn("x", own("minors")).withColumn("y", every("blocks")).withColumn("side", F.lit(1))
-    right = parted.join(sizes, "cluster").withColumn("y", own("blocks")).withColumn("x", every("minors")).withColumn("side", F.lit(2))
-    return in_units(left.unionByName(right), "n_shingles", "cluster", "x", "y").groupBy("call").applyInPandas(_linked(limit, percent), "a bigint, b bigint")
+    left = minor.join(sizes, "home").withColumn("x", own("minors")).withColumn("y", every("blocks")).withColumn("side", F.lit(1))
+    right = parted.join(sizes, "home").withColumn("y", own("blocks")).withColumn("x", every("minors")).withColumn("side", F.lit(2))
+    return in_units(left.unionByName(right), "n_shingles", "home", "x", "y").groupBy("call").applyInPandas(_linked(limit, percent), "a bigint, b bigint")
+
+
+def _across(shared: DataFrame, labels: DataFrame, homes: DataFrame, reps: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Pairs (x, y) that share a bucket, but neither a home nor yet a component, and pass the sketches. Only buckets that hold several components are opened."""
+    named = shared.select("rep", "bucket").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
+    open_entries = named.join(mixed, "bucket").join(homes, "rep", "left").withColumn("home", F.coalesce("home", "rep")).join(reps.select("rep", "n_shingles", "sketch"), "rep")
+    a, b = (open_entries.select("bucket", *(F.col(c).alias(f"{p}_{c}") for c in ("rep", "label", "home", "n_shingles", "sketch"))) for p in "ab")
+    apart = (F.col("a_rep") < F.col("b_rep")) & (F.col("a_label") != F.col("b_label")) & (F.col("a_home") != F.col("b_home"))
+    return a.join(b, "bucket").where(apart & _alike("a", "b", limit, percent)).select(F.col("a_rep").alias("x"), F.col("b_rep").alias("y")).distinct()
+
+
+def _verified(percent: int):
+    """Links among the pairs of each cell: rows with shingles are the cell's nodes, the others its pairs (rep, other)."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, cell in group.groupby("unit", sort=False):
+            nodes = cell[cell["other"].isna()]
+            sets = {r: np.sort(np.asarray(x)) for r, x in zip(nodes["rep"].tolist(), nodes["shingles"].tolist(), strict=True)}
+            pairs = cell[cell["other"].notna()]
+            for x, y in zip(pairs["rep"].tolist(), pairs["other"].astype("int64").tolist(), strict=True):
+                shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared):
+                    found.append((x, y))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs (x, y) whose full sets are similar; sets: (rep, shingles). Nodes are dealt to blocks and a set goes once to each cell of two blocks that has a pair of it."""
+    members, total = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
+    blocks = max(1, -(-members // BLOCK_MEMBERS), -(-total // BLOCK_SHINGLES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    cells = pairs.select(block("x").alias("i"), block("y").alias("j"), "x", "y")
+    nodes = cells.select("i", "j", F.explode(F.array("x", "y")).alias("rep")).distinct().join(sets, "rep").select("i", "j", "rep", F.lit(None).cast("bigint").alias("other"), "shingles", F.size("shingles").alias("n"))
+    rows = nodes.unionByName(cells.select("i", "j", F.col("x").alias("rep"), F.col("y").alias("other"), F.lit(None).cast("array<bigint>").alias("shingles"), F.lit(1).alias("n")))
+    return in_units(written(rows, "cells"), "n", "i", "j").select("unit", "call", "rep", "other", "shingles").groupBy("call").applyInPandas(_verified(percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of texts whose sets of word shingles have a Jaccard similarity of percent/100 or more.
 
     Returns (doc_id, n_shingles, component_id, kept) for every row. Texts with equal sets form a class first, so copies
-    never meet each other. Each band's bucket ties its members to its smallest (a number of pairs in proportion to the
-    rows), and the components of these ties are the clusters within which links are sought, in blocks of bounded size:
-    members that share a bucket pass the odd-sketch estimate and are then compared on full sets, and members that a
-    link has brought together are not compared again. Of clusters of several blocks, the members outside the largest
-    component then meet all others, block by block, so no link between components is lost.
+    never meet each other. Each band's bucket names its smallest member as pivot; the smallest pivot that a member's odd
+    sketch takes for similar is its home (pairs in proportion to the rows). Members of a home meet in blocks of bounded
+    size: those that share a bucket and pass the sketches are compared on full sets, but for members that a link has
+    brought together; of homes of several blocks, the members outside the largest component then meet all others. At
+    last the buckets that hold several components are opened, and pairs of different components and homes that pass the
+    sketches are confirmed on full sets, so no link between components is lost.
 
     Null or empty text, or one without words: an empty set, a component of its own. Null id: kept as it is, with a
-    null component. Repeated rows each return; rows that share an id are one node (the smallest text and digest stand
+    null component. Texts of any length are taken whole. Repeated rows each return; rows that share an id are one node (the smallest text and digest stand
     for it). An empty table gives no rows. Columns other than the two named are not read.
     """
     spark = docs.sparkSession
@@ -205,20 +265,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     reps = written(reps, "reps")
     entries = reps.select("rep", F.explode("bands").alias("bucket"))
     pivots = entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).where("members > 1")
-    ties = entries.join(pivots, "bucket").where(F.col("rep") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    tied = components(ties)
-    clusters = tied.select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
-    clusters = clusters.unionByName(tied.select(F.col("label").alias("rep"), F.col("label").alias("cluster")).distinct())
-    members = clusters.join(reps, "rep")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).select("cluster", _blocks("members", "total").alias("blocks"))
-    members = members.join(sizes, "cluster")
-    members = written(members.join(full_sets(members.join(one, "rep").select("rep", "digest"), docs, width), "rep"), "members")
+    shared = written(entries.join(pivots, "bucket").select("rep", "bucket", "pivot"), "shared")
+    homes = written(_homes(shared, reps, limit, percent), "homes")
+    members = homes.unionByName(homes.select(F.col("home").alias("rep"), "home").distinct()).join(reps, "rep")
+    sizes = members.groupBy("home").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).select("home", _blocks("members", "total").alias("blocks"))
+    digests = lambda nodes: nodes.select("rep").distinct().join(one, "rep").select("rep", "digest")
+    members = written(members.join(sizes, "home").join(full_sets(digests(members), docs, width), "rep"), "members")
     links = written(_within(members, limit, percent), "links")
     labels = components(links)
     if not members.where("blocks > 1").isEmpty():
-        more = written(_between(members, labels, limit, percent), "links")
+        links = links.unionByName(written(_between(members, labels, limit, percent), "links"))
+        labels = components(links)
+    pairs = written(_across(shared, labels, homes, reps, limit, percent), "pairs")
+    if not pairs.isEmpty():
+        ends = pairs.select(F.explode(F.array("x", "y")).alias("rep"))
+        more = written(_confirmed(pairs, written(full_sets(digests(ends), docs, width), "sets"), percent), "links")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
+    dropped(members)
     classed = named.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(classed, "digest", "left")
     component = F.coalesce("component", "doc_id")

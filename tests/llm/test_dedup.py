@@ -189,6 +189,31 @@ def test_near_duplicates(spark, monkeypatch, seed, width, percent, block):
             assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_links_across_homes(spark, monkeypatch):
+    """Chains of edits: neighbours are linked, ends are not even candidates, so links are found beside homes as well; in one block and in many."""
+    rng = random.Random(5)
+    rows = []
+    for c in range(12):
+        text = rng.choices(WORDS, k=120)
+        for k in range(12):
+            rows.append((rng.randrange(10**6) * 200 + len(rows), " ".join(text)))
+            text = list(text)
+            for _ in range(2):
+                text[rng.randrange(len(text))] = f"n{c}_{k}"
+    want = brute_components(rows, 3, 85)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block in (2048, 2):
+        monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", block)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs, 3, 85).collect()} == want
+    assert len({c for _, c in want.values()}) < 100
+
+
+def test_pairs_are_confirmed_on_full_sets(spark):
+    sets = {1: [1, 2, 3, 4], 2: [1, 2, 3, 4, 5], 3: [7, 8], 4: [1, 2, 9, 4]}
+    out = near_dup._confirmed(spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "x long, y long"), spark.createDataFrame(list(sets.items()), "rep long, shingles array<long>"), 80)
+    assert [tuple(r) for r in out.collect()] == [(1, 2)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
