@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from papyrion.llm.common import dropped, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    return _both(edges).where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -31,8 +33,12 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u != v").distinct(), "edges")
     while True:
-        after = written(_small_star(_large_star(edges)), "edges")
-        dropped(edges)
+        # tables of their own: the join with a label that has very many edges may then be dealt anew, or broadcast by its size
+        least = written(_both(edges).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = written(_large_star(edges, least), "edges")
+        after = written(_small_star(large), "edges")
+        for table in (least, large, edges):
+            dropped(table)
         edges = after
         ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
         open_nodes = ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 or child = 1 and parent = 1").count()
