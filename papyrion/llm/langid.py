@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The training sample: so many texts of each language, those of smallest hash in as many bins, and so many characters of each. 64 x 2,000 is the bound.
+#: The training sample: so many texts of each language, those of smallest hash in as many bins, and a piece of so many characters of each, at a place that a hash picks.
 SAMPLES, SAMPLE_CHARS = 64, 2_000
-#: More learned languages than this are an error; the sample and the dictionaries are bounded by it.
-LANGUAGES = 200
+#: Pieces in all: with more languages than PIECES / SAMPLES, each has fewer, down to one.
+PIECES = 12_800
 LEVEL, BLOCK = 6, 8_192
 #: A relative gain over the second language below this is a rejection.
 MARGIN = 0.02
@@ -23,24 +23,26 @@ UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pieces: int = PIECES) -> dict[str, bytes]:
     """A raw-content dictionary for each non-null language value, from a bounded sample of its texts.
 
     The sample is a minimum by hash in each of SAMPLES bins, so it is the same at every partitioning and is reduced
-    before the shuffle. Languages come by falling number of texts, counted over all. Null, empty and repeated texts and
-    ids do no harm; no labelled text gives no languages.
+    before the shuffle. Languages come by falling number of texts, counted over all, ties by name. Null, empty and
+    repeated texts and ids do no harm, nor do columns of other names; of a very long text a piece is learned, as of any;
+    no labelled text gives no languages. Every language is learned, however many there are.
     """
+    known = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    bins = max(1, min(SAMPLES, pieces // max(1, known.select(lang_col).distinct().count())))
     ticket = F.xxhash64(F.col(id_col).cast("string"), F.lit("langid"))
-    piece = F.substring(F.col(text_col), 1, SAMPLE_CHARS)
-    rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.pmod(ticket, F.lit(SAMPLES)).alias("bin"), F.struct(ticket.alias("ticket"), piece.alias("piece")).alias("s"))
-    picked = rows.groupBy("lang", "bin").agg(F.min("s").alias("s"), F.count("*").alias("n")).limit(SAMPLES * (LANGUAGES + 1)).collect()
+    places = F.greatest(F.length(text_col) - SAMPLE_CHARS + 1, F.lit(1))
+    piece = F.substr(F.col(text_col), (F.pmod(F.xxhash64(F.col(text_col), F.lit("place")), places) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    rows = known.select(F.col(lang_col).alias("lang"), F.pmod(ticket, F.lit(bins)).alias("bin"), F.struct(ticket.alias("ticket"), piece.alias("piece")).alias("s"))
+    picked = rows.groupBy("lang", "bin").agg(F.min("s").alias("s"), F.count("*").alias("n")).collect()
     texts: dict[str, list[tuple[int, str]]] = {}
     counts: Counter[str] = Counter()
     for r in picked:
         texts.setdefault(r["lang"], []).append((r["s"]["ticket"], r["s"]["piece"]))
         counts[r["lang"]] += r["n"]
-    if len(texts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
     return {lang: " ".join(p.lower() for _, p in sorted(own)).encode() for lang, own in sorted(texts.items(), key=lambda x: (-counts[x[0]], x[0]))}
 
 

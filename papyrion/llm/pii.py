@@ -104,11 +104,11 @@ class Candidate:
     before: str
 
 
-def candidates(text: str) -> list[Candidate]:
-    """Spans that may be personal data of an added kind, without those that base spans touch."""
+def candidates(text: str, base: dict[str, list[Span]] | None = None) -> list[Candidate]:
+    """Spans that may be personal data of an added kind, without those that base spans (found here where not given) touch."""
     if not _may(text):
         return []
-    taken = [s for spans in base_spans(text).values() for s in spans]
+    taken = [s for spans in (base_spans(text) if base is None else base).values() for s in spans]
     out = []
     for kind, pattern in _CANDIDATES.items():
         for m in pattern.finditer(text):
@@ -266,7 +266,7 @@ def all_spans(text: str | None, model: SpanModel) -> tuple[dict[str, list[Span]]
         return {}, {}
     base = base_spans(text)
     every = {k: list(v) for k, v in base.items()}
-    for c in candidates(text):
+    for c in candidates(text, base):
         if model.probability(c) >= 0.5:
             every.setdefault(c.kind, []).append((c.start, c.end))
     return base, every
@@ -275,7 +275,7 @@ def all_spans(text: str | None, model: SpanModel) -> tuple[dict[str, list[Span]]
 def find(docs: DataFrame, model: SpanModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row; the model is fitted to docs where none is given.
 
-    Null and empty texts have no spans; long texts are searched whole; repeated rows and null ids return as they are; an
+    A candidate of probability one half counts. Null and empty texts have no spans; long texts are searched whole; repeated rows and null ids return as they are; an
     empty table gives no rows; other columns are not read.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

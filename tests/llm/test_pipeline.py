@@ -5,19 +5,39 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import re
 
 import numpy as np
 import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from papyrion.llm.common import WordHashes
-from papyrion.llm.quality import RULES, measure
 from tests.llm.test_dedup import WORDS, brute_components, brute_lines, edited
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def plain_verdict(text):
+    """The quality stage's verdict, counted character by character."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    n = len(words)
+    if n < 50 or 100 * len({i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}) > 50 * n:
+        return False
+    repeated = len(lines) - len(set(lines))
+    return not (
+        10 * sum(c in "#*$%&|<>" for c in text) > n
+        or not 2 * n <= sum(map(len, words)) <= 15 * n
+        or repeated >= 3 and 10 * repeated > 3 * len(lines)
+        or 10 * text.count("!!") > n
+        or 2 * sum(c.isupper() for c in text) > sum(c.isalpha() for c in text)
+        or 2 * sum(not any(c.isalnum() for c in w) for w in words) > n
+        or 10 * max(map(words.count, words)) > 3 * n
+    )
+
+
 def fixture():
     rng = random.Random(7)
     text = lambda n: " ".join(rng.choices(WORDS, k=n)) + "."
@@ -43,9 +63,9 @@ def test_stages(spark, tmp_path):
         stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         if name == "quality_rules":
-            want = {d: t for d, t in want.items() if not (m := measure(t, WordHashes())).base_failed and not any(r(m) for r in RULES.values())}
+            want = {d: t for d, t in want.items() if plain_verdict(t)}
         elif name == "line_dedup":
-            gone = brute_lines([(d, t) for d, t in want.items()])
+            gone = brute_lines([(d, t) for d, t in want.items()], 1)
             assert gone
             want = {d: t if d is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in want.items()}
         elif name == "near_dup":
@@ -69,6 +89,22 @@ def test_stages(spark, tmp_path):
         assert r["decoded_sha256"] == hashlib.sha256(want[r["doc_id"]].encode()).hexdigest()
 
 
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Empty tables, nulls, repeated rows, a very long text and columns beside those of documents."""
+    spark.createDataFrame([(1, "an item of the benchmark that no text holds at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, rep string"
+    long = " ".join(f"w{i}" for i in range(120_000))
+    rows = [(1, long, "en", "s", 1, 1, "x"), (1, long, "en", "s", 1, 1, "x"), (None, long, None, None, None, None, None), (2, None, None, None, None, None, None), (3, "", "", "", 0, 0, "")]
+    for k, given in enumerate(([], rows)):
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+            docs.write.parquet(str(tmp_path / f"{name}{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+            assert name == "byte_bpe" or docs.columns == list(corpus_pipeline.COLUMNS)
+        assert docs.count() == 3 * k
+
+
 def test_queries_are_registered():
     import __spark_entry__
 

@@ -241,6 +241,64 @@ def test_op6_against_brute_force(spark, tmp_path):
     assert got == {k: (n_docs[k], want[k]) for k in n_docs}
 
 
+def test_fast_rules_are_those_of_the_characters():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = " ".join("".join(rng.choice("aZ9é漢Ä.!-²ǅ٣ß_") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 30)))
+        m = quality.measure(text, quality.WordHashes())
+        assert quality._capitals(m) == (sum(c.isupper() for c in text) > 0.5 * sum(c.isalpha() for c in text))
+        assert quality._marks_only(m) == (2 * sum(not any(c.isalnum() for c in w) for w in text.split(" ")) > m.n_words)
+
+
+def test_quality_of_long_and_repeated_rows(spark):
+    long = " ".join(f"word{i}" for i in range(200_000))
+    out = quality.score(spark.createDataFrame([(1, long, True), (1, long, True), (2, None, None)], "doc_id long, text string, kept boolean")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["kept"]) for r in out) == [(1, 200_000, True), (1, 200_000, True), (2, 0, False)]
+
+
+def test_languages_beyond_the_pieces(spark):
+    """With more languages than pieces for all, each has fewer pieces and all are learned; ties go to the language of most texts; other columns clash with nothing."""
+    rows = [(k, f"zz{k % 40} " * 300, f"l{k % 40:02}", 1.0) for k in range(400)] + [(1000 + k, "zz0 " * 300, "l00", 1.0) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    learned = langid.train(docs, pieces=60)
+    assert len(learned) == 40 and list(learned)[0] == "l00"
+    out = langid.classify(docs.select("doc_id", "text", "score").unionByName(docs.limit(1).select("doc_id", "text", "score")), learned).collect()
+    assert len(out) == len(rows) + 1 and all(0 <= r["score"] <= 1 for r in out)
+    assert sum(r["lang_pred"] == f"l{r['doc_id'] % 40:02}" for r in out if r["doc_id"] < 400) > 380
+    assert langid.classify(docs.limit(1).select("doc_id", "text"), {"b": b"same", "a": b"same"}).first()["lang_pred"] == "b"
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    rng = random.Random(9)
+    filler = "the team met again on monday and talked about the plan for v2.10.3 of chapter 12 on page 340 in build-7".split()
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"
+    secret = lambda: rng.choice(["api_key=", "token: ", "password = ", ""]) + (v := rng.choice(["ghp_", "sk_live_", "AKIA", ""]) + "".join(rng.choices(letters, k=24)) + "7x") and v
+
+    def iban():
+        body = "".join(rng.choices("0123456789", k=18))
+        check = 98 - int(body + "131400") % 97
+        return f"DE{check:02}{body}"
+
+    rows, planted = [], {}
+    for d in range(400):
+        words = rng.choices(filler, k=40)
+        if d % 2 == 0:
+            kind = ("secret", "iban", "id_number")[d // 2 % 3]
+            value = secret() if kind == "secret" else iban() if kind == "iban" else f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"
+            words.insert(20, {"secret": "token=", "iban": "iban ", "id_number": "ssn "}[kind] + value)
+            planted[d] = value
+        elif d % 4 == 1:
+            words.insert(20, rng.choice(["2024-01-15", "section-12-of-34", "DE00123412341234123412", "file/path/name_2.txt", "win32-x64-build99"]))
+        rows.append((d, " ".join(words)))
+    hits = extra = 0
+    for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = rows[r["doc_id"]][1]
+        found = [text[int(s) : int(e)] for k, s, e in (x.split(":") for x in r["spans"].split(",") if x) if k in pii.ADDED]
+        hits += planted.get(r["doc_id"]) in found
+        extra += len([x for x in found if x != planted.get(r["doc_id"])])
+    assert hits >= 0.9 * len(planted) and extra <= 0.1 * len(planted), (hits, extra, len(planted))
+
+
 ITEM = "A train leaves London at 9 and drives 120 km in 3 hours before it stops for lunch near the old stone bridge."
 CLEAN = "Nothing in this text has been taken from any test, it only talks about gardens, weather and the colour of the evening sky over hills."
 
