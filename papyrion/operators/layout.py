@@ -123,11 +123,33 @@ def largest_gap(spans: DataFrame, by: list[str], low: str, high: str) -> DataFra
 
 
 def kendall(pairs: DataFrame, by: str, a: str, b: str) -> DataFrame:
-    """Concordant minus discordant pairs over all pairs of a group, by an inequality self-join within the group."""
-    l, r = pairs.alias("l"), pairs.alias("r")
-    both = l.join(r, (F.col(f"l.{by}") == F.col(f"r.{by}")) & (F.col(f"l.{a}") < F.col(f"r.{a}")))
-    up = F.signum((F.col(f"r.{b}") - F.col(f"l.{b}")).cast("double"))
-    return both.groupBy(F.col(f"l.{by}").alias(by)).agg((F.sum(up) / F.count("*")).alias("tau"), F.count("*").alias("n_pairs"))
+    """Concordant minus discordant pairs over the pairs of a group that a orders, counted by merging sorted halves; a group (a document's blocks) is one call's."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((group[b], group[a]))
+        x, y = group[a].to_numpy()[order], group[b].to_numpy()[order]
+        counts = lambda values: sum(int(n) * (int(n) - 1) // 2 for n in np.unique(values, return_counts=True)[1])
+        n = len(x)
+        apart = n * (n - 1) // 2 - counts(x)
+        level = counts(y) - counts(list(map(hash, zip(x.tolist(), y.tolist(), strict=True))))  # pairs of one b that a orders
+        turned = inversions(y)  # of equal a, b rises, so they are no inversions
+        return pd.DataFrame({by: group[by].iloc[:1].to_numpy(), "tau": [(apart - level - 2 * turned) / apart if apart else np.nan], "n_pairs": [apart]})
+
+    kept = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(by, a, b)
+    out = kept.groupBy(by).applyInPandas(run, f"{by} {kept.schema[by].dataType.simpleString()}, tau double, n_pairs bigint")
+    return out.where("n_pairs > 0")
+
+
+def inversions(values: np.ndarray) -> int:
+    """Pairs in falling order, by merge sort: at each width, how many of a left half are greater than each of its right half."""
+    values, total, width = np.unique(values, return_inverse=True)[1].astype(np.int64), 0, 1
+    n = len(values)
+    while width < n:
+        for low in range(0, n, 2 * width):
+            left, right = np.sort(values[low : low + width]), values[low + width : low + 2 * width]
+            total += int((len(left) - np.searchsorted(left, right, side="right")).sum())
+        width *= 2
+    return total
 
 
 def _gap(low: np.ndarray, high: np.ndarray) -> tuple[float, float]:
@@ -312,10 +334,14 @@ def body_font(spans: DataFrame, by: str = "doc") -> DataFrame:
     return sums.groupBy(by).agg(F.max(F.struct("n", (-F.col("size")).alias("s"))).alias("m")).select(by, (-F.col("m.s")).alias("size"))
 
 
+# Fixed value: the start of a numbered heading.
+NUMBERED_HEADING = r"^\d+(?:\.\d+)*\.?\s+\S"
+
+
 def typed(blocks: DataFrame, body: DataFrame) -> DataFrame:
     """title from 1.6 times the body's size, heading from 1.2 times or a short bold or numbered line, else paragraph."""
     ratio = F.col("size") / F.col("body_size")
-    numbered = F.col("text").rlike(r"^\d+(?:\.\d+)*\.?\s+\S") & (F.length("text") <= 80)
+    numbered = F.col("text").rlike(NUMBERED_HEADING) & (F.length("text") <= 80)
     kind = F.when(ratio >= 1.6, "title").when((ratio >= 1.2) | ((F.col("bold") | numbered) & (F.length("text") <= 80)), "heading").otherwise("paragraph")
     return blocks.join(body.select("doc", F.col("size").alias("body_size")), "doc", "left").withColumn("type", kind).drop("body_size")
 

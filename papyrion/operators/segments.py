@@ -38,12 +38,18 @@ def echo(x: Column, lang: str) -> Column:
     return F.concat(F.lit(f"[{lang}] "), x)
 
 
-def findings(pairs: DataFrame, source: str = "src", target: str = "tgt", lang: str = "lang", glossary: dict[str, str] | None = None) -> DataFrame:
+def findings(pairs: DataFrame, source: str = "src", target: str = "tgt", lang: str = "lang", glossary: DataFrame | None = None) -> DataFrame:
     """Pairs with column findings array<struct<check, hard, detail>>.
 
     A blank source has no finding, a blank target only `empty`; then entity, untranslated, length and a glossary finding
-    for each term that isn't rendered.
+    for each term (term, rendering) of a glossary that isn't rendered. Terms are met by an equi-join, not one expression
+    for each, so a glossary may have any size.
     """
+    if glossary is not None:
+        keyed = pairs.withColumn("_pair", F.struct(*pairs.columns))
+        held = adherence(keyed.select("_pair", F.col(source).alias("_src"), F.col(target).alias("_tgt")), glossary, "_src", "_tgt").where("not applied")
+        lost = F.struct(F.lit("glossary").alias("check"), F.lit(False).alias("hard"), F.concat_ws(" -> ", "term", "rendering").alias("detail"))
+        pairs = keyed.join(held.groupBy("_pair").agg(F.array_sort(F.collect_set(lost)).alias("_lost_terms")), "_pair", "left").drop("_pair")
     s, t = F.coalesce(F.col(source), F.lit("")), F.col(target)
     missing = T.missing_entities(s, t)
     finding = lambda check, hard, detail: F.struct(F.lit(check).alias("check"), F.lit(hard).alias("hard"), detail.cast("string").alias("detail"))
@@ -51,12 +57,13 @@ def findings(pairs: DataFrame, source: str = "src", target: str = "tgt", lang: s
     one = lambda condition, f: F.when(condition, F.array(f)).otherwise(none)
     found = F.concat(
         one(F.size(missing) > 0, finding("entity", True, F.array_join(F.slice(missing, 1, 6), ", "))),
-        one(T.untranslated(s, t), finding("untranslated", True, F.lit("translation equals source"))),
+        one(T.untranslated(s, t), finding("untranslated", True, F.lit("same as the source"))),
         one(T.outside_band(s, t, F.col(lang)), finding("length", False, F.round(F.length(t) / F.greatest(F.length(s), F.lit(1)), 2))),
-        *(one(s.contains(a) & ~t.contains(b), finding("glossary", False, F.lit(f"{a} -> {b}"))) for a, b in (glossary or {}).items() if a and b),
+        F.coalesce(F.col("_lost_terms"), none) if glossary is not None else none,
     )
     blank = T.strip(F.coalesce(t, F.lit(""))) == ""
-    return pairs.withColumn("findings", F.when(T.strip(s) == "", none).when(blank, F.array(finding("empty", True, F.lit("translation is empty")))).otherwise(found))
+    out = pairs.withColumn("findings", F.when(T.strip(s) == "", none).when(blank, F.array(finding("empty", True, F.lit("nothing was translated")))).otherwise(found))
+    return out.drop("_lost_terms")
 
 
 def summary(found: DataFrame, *by: str) -> DataFrame:
@@ -77,10 +84,38 @@ def banner(found: DataFrame, *by: str) -> DataFrame:
     return rows.withColumn("poor", 2 * F.col("n_hard_segments") >= F.col("n_segments"))
 
 
-def adherence(blocks: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """Blocks by terms they hold, with whether the rendering is there too. Terms are broadcast by Spark if small, else joined in blocks."""
-    pairs = blocks.join(terms, F.col(text_col).contains(F.col("term")))
-    return pairs.withColumn("applied", F.col(text_col).contains(F.col("rendering")))
+def _words(x: Column) -> Column:
+    return F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+SMALL_GLOSSARY = 1000
+
+
+def adherence(blocks: DataFrame, terms: DataFrame, text_col: str = "text", target_col: str | None = None) -> DataFrame:
+    """Blocks by terms (term, rendering) that their text holds, with whether the rendering is in the target (the text, where none is named).
+
+    A term is met by its longest inner word, as a whole word of the text, or by its first character where it has none.
+    Up to SMALL_GLOSSARY terms, only their keys are taken from a text; beyond, all its words and characters are.
+    """
+    n = F.size("_parts")
+    # inner words of a term are whole words in any text that holds it; the first and the last may go on outside
+    inner = F.filter("_parts", lambda w, i: ((i > 0) | ~F.col("term").startswith(w)) & ((i < n - 1) | ~F.col("term").endswith(w)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = terms.where("term != ''").withColumn("_parts", _words(F.col("term"))).withColumn("_key", F.coalesce(longest, F.substring("term", 1, 1))).drop("_parts")
+    keys = F.array_distinct(F.concat(_words(F.col(text_col)), F.array_distinct(F.split(F.col(text_col), ""))))
+    known = keyed.select("_key").distinct().limit(SMALL_GLOSSARY + 1).collect()
+    if len(known) <= SMALL_GLOSSARY:
+        keys = F.array_intersect(F.array(*(F.lit(r["_key"]) for r in known)).cast("array<string>"), keys)
+    pairs = blocks.withColumn("_key", F.explode(keys)).join(keyed, "_key").where(F.col(text_col).contains(F.col("term"))).drop("_key")
+    return pairs.withColumn("applied", F.col(target_col or text_col).contains(F.col("rendering")))
+
+
+# Patterns of terms that are mined, of words in lower case, and languages that write all nouns with a capital.
+ACRONYM = r"\b[A-Z][A-Z0-9]{2,}\b"
+PROPER = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+CAP_WORD = r"\b[A-Z][a-z]{2,}\b"
+LOW_WORD = r"\b[a-z]{2,}\b"
+NOUN_CAPITALS = ("de", "lb")
 
 
 def majority(segments: DataFrame, key: Column, target: str, order: str, confirmed: str | None = None) -> DataFrame:
@@ -96,14 +131,14 @@ def mined_terms(docs: DataFrame, text_col: str = "text", lang: str = "en", least
     Capitals name nothing in languages that write all nouns with them, so only acronyms are mined there.
     """
     found = lambda p: F.explode(F.regexp_extract_all(text_col, F.lit(p), F.lit(0)))
-    acronyms = docs.select(found(r"\b[A-Z][A-Z0-9]{2,}\b").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    acronyms = docs.select(found(ACRONYM).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     out = acronyms.select("term", F.lit("acronym").alias("kind"), "n")
-    if lang in ("de", "lb"):
+    if lang in NOUN_CAPITALS:
         return out
-    names = docs.select(found(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b").alias("name"))
+    names = docs.select(found(PROPER).alias("name"))
     parts = names.select(F.explode(F.split("name", r"\s+")).alias("term")).distinct()
-    low = docs.select(found(r"\b[a-z]{2,}\b").alias("low")).distinct()
-    words = docs.select(found(r"\b[A-Z][a-z]{2,}\b").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    low = docs.select(found(LOW_WORD).alias("low")).distinct()
+    words = docs.select(found(CAP_WORD).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     alone = words.join(parts, "term", "left_anti").join(low, F.lower("term") == F.col("low"), "left_anti")
     return out.unionByName(alone.select("term", F.lit("name").alias("kind"), "n"))
 

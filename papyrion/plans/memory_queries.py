@@ -104,7 +104,7 @@ def fuzzy_candidates(spark, sf_dir):
 
 @query()
 def fuzzy_ratio(spark, sf_dir):
-    out = M.fuzzy(*_fuzzy_sides(spark, sf_dir), least=0.3)
+    out = M.fuzzy(*_fuzzy_sides(spark, sf_dir), least=0.3, cap=None)
     return out.select("q_id", "c_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -112,11 +112,8 @@ def fuzzy_ratio(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, c_id) AS rank FROM s) SELECT q_id, c_id, rank, score FROM r WHERE rank <= 5""")
 def embedding_cosine_topk(spark, sf_dir):
     """For a stated query set, the rows whose id is divisible by 50, the five nearest of all rows."""
-    rows = table(spark, sf_dir, "embeddings")
-    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
-    scored = rows.join(queries, F.col("vec_id") != F.col("q_id")).select("q_id", F.col("vec_id").alias("c_id"), F.round(X.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "c_id"))
-    return scored.withColumn("rank", rank.cast("long")).where("rank <= 5").select("q_id", "c_id", "rank", "score")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return M.nearest(rows.where("id % 50 = 0"), rows, 5)
 
 
 def _glossary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,11 +27,13 @@ EXTENSIONS = {"docx": "docx", "xlsx": "xlsx", "pptx": "pptx", "odt": "odt", "epu
 
 
 def files(spark: SparkSession, folder: str, *globs: str) -> DataFrame:
-    """Files of a folder tree by name patterns, without those over the size limit, hidden folders and side files."""
+    """Files of a folder tree by name patterns, without hidden folders and side files. Files over the size limit come without their content, which isn't read, so that readers report them."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if globs:
         reader = reader.option("pathGlobFilter", globs[0] if len(globs) == 1 else "{" + ",".join(globs) + "}")
-    rows = reader.load(folder).where(F.col("length") <= MAX_FILE_MB * 2**20)
+    found, small = reader.load(folder), F.col("length") <= MAX_FILE_MB * 2**20
+    large = found.where(~small).select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
+    rows = found.where(small).unionByName(large)
     return rows.where(~sidecar(F.col("path")) & ~F.col("path").rlike(r"/(?:\.[^/]+|__pycache__|node_modules)/"))
 
 
@@ -73,9 +76,28 @@ def opened(content: bytes) -> zipfile.ZipFile:
     return archive
 
 
+class _Begun(Exception):
+    """The root element has come, after which no document type can."""
+
+
 def xml(content: bytes) -> ElementTree.Element:
-    if re.search(rb"<!(?:DOCTYPE|ENTITY)", content[:4096], re.I):
+    """The tree of a text without a document type, which may only stand before the root, however far that is."""
+
+    def refuse(*_) -> None:
         raise Refused("XML with a document type isn't read")
+
+    def begun(*_) -> None:
+        raise _Begun
+
+    prolog = expat.ParserCreate()
+    prolog.StartDoctypeDeclHandler = prolog.EntityDeclHandler = refuse
+    prolog.StartElementHandler = begun
+    try:
+        prolog.Parse(content, True)
+    except _Begun:
+        pass
+    except expat.ExpatError as e:
+        raise ElementTree.ParseError(str(e)) from e
     return ElementTree.fromstring(content)
 
 
@@ -277,11 +299,13 @@ def blocks(rows: DataFrame, reader: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content, named in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if named not in READERS:
+                if content is None:
+                    found, error = [], f"no content: larger than {MAX_FILE_MB} MB, or lost"
+                elif named not in READERS:
                     found, error = [], f"no reader for {named}"
                 else:
                     try:
-                        found, error = READERS[named](content or b""), None
+                        found, error = READERS[named](content), None
                     except (Refused, zipfile.BadZipFile, ElementTree.ParseError, KeyError, StopIteration, ValueError) as e:
                         found, error = [], f"{type(e).__name__}: {e}"
                 lines = found or ([(None, None, None)] if error else [])

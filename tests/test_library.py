@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import io
 import math
+import random
+import re
 import zipfile
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -23,6 +26,7 @@ from papyrion.operators import scoring as C
 from papyrion.operators import segments as S
 from papyrion.plans import text_queries as Q
 from papyrion.sinks import archives, render
+from papyrion.sources import containers
 from papyrion.sources import containers as K
 from papyrion.sources import tables as B
 from papyrion.streaming import stores
@@ -57,17 +61,17 @@ def columns(spark):
         (lambda: T.garbage(a), {"a": "���" + "x" * 20}, True),
         (lambda: T.rtl_text(a), {"a": "שלום abc"}, True),
         (lambda: T.untranslated(a, b), {"a": "three longer words", "b": " three longer words "}, True),
-        (lambda: F.array_join(T.missing_entities(a, b), "|"), {"a": "1,500 at x@y.zz", "b": "1.500"}, "x@y.zz"),
+        (lambda: F.array_join(T.missing_entities(a, b), "|"), {"a": "2,600 from me@own.test, 31 and 31", "b": "2.600"}, "31|31|me@own.test"),
         (lambda: T.outside_band(a, b, F.lit("zh-CN")), {"a": "x" * 30, "b": "y" * 9}, False),
         (lambda: T.outside_band(a, b, F.lit("fr")), {"a": "x" * 30, "b": "y" * 9}, True),
         (lambda: T.continues(a, b), {"a": "ends here.", "b": "next"}, False),
         (lambda: T.continues(a, b), {"a": "goes on", "b": "next"}, True),
         (lambda: T.joined(a, b), {"a": "exam-", "b": "ple"}, "example"),
         (lambda: T.spreadsheet_safe(a), {"a": "=1+1"}, "'=1+1"),
-        (lambda: T.localized_numbers(a, F.lit("id")), {"a": "1,234.56 and 99.50"}, "1.234,56 and 99,50"),
-        (lambda: T.localized_numbers(a, F.lit("id")), {"a": "1,234 or 1,234,567"}, "1,234 or 1.234.567"),
-        (lambda: T.localized_numbers(a, F.lit("de")), {"a": "v1.2.3 on 1.5e-10"}, "v1.2.3 on 1.5e-10"),
-        (lambda: T.localized_numbers(a, F.lit("en")), {"a": "1,234.56"}, "1,234.56"),
+        (lambda: T.localized_numbers(a, F.lit("id")), {"a": "about 7,305.25 or 48.75"}, "about 7.305,25 or 48,75"),
+        (lambda: T.localized_numbers(a, F.lit("id")), {"a": "8,020 or 8,020,411"}, "8,020 or 8.020.411"),
+        (lambda: T.localized_numbers(a, F.lit("de")), {"a": "build 4.0.17 at 2.5e-3"}, "build 4.0.17 at 2.5e-3"),
+        (lambda: T.localized_numbers(a, F.lit("en")), {"a": "7,305.25"}, "7,305.25"),
         (lambda: T.edge_space(a, b), {"a": "  x ", "b": "y"}, "  y "),
         (lambda: T.expanded(a, 1.5), {"a": "one two"}, "one two one"),
         (lambda: T.script_of_language(a), {"a": "ru-RU"}, "Cyrillic"),
@@ -267,3 +271,129 @@ def test_streams(spark, tmp_path):
     assert [r["open"] for r in spark.table("open_breakers").orderBy("seq").collect()] == [False, True, False]
     stores.appended(stream, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 3
+
+
+def test_edit_distance_of_words_against_the_table():
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            corner, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = (rng.choices("abcde", k=rng.randint(0, 14)) for _ in range(2))
+        assert X.edit_distance(a, b) == table(a, b)
+    long = [f"w{i}" for i in range(60_000)]  # more words than characters that a code could tell apart
+    assert X.edit_distance(long, ["new", *long[:50_000]]) == 10_001
+
+
+def test_entities_cost_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (4_000, 4_000, 16_000):
+        row = spark.createDataFrame([(" ".join(str(i * 7) for i in range(n)), " ".join(str(i * 7) for i in range(1, n)))], "a string, b string")
+        began = time.time()
+        assert row.select(T.missing_entities(F.col("a"), F.col("b")).alias("m")).first()["m"] == ["0"]
+        took.append(time.time() - began)
+    assert took[2] < 5 * took[1] + 1, took
+
+
+def brute_spans(text, terms):
+    found = sorted({m.span() for p in (P.TAG, *P.PATTERNS) for m in re.finditer(p, text)} | {s for t in (*P.BRANDS, *terms) for s in P.occurrences(text, t)}, key=lambda s: (s[0], s[0] - s[1]))
+    out = []
+    for s in found:
+        if not out or s[0] >= out[-1][1]:
+            out.append(s)
+    return out
+
+
+def test_protected_spans_against_brute_force():
+    rng = random.Random(2)
+    parts = ["GitHub", "v2.4.6", "12:30", "see www.own.test now", "me@own.test", "[PH3]", "[ PH1 ]", "40 %", "7 km", "$x_1$", "\\alpha{b}", "a_1", "AB-1234", "#tag", "@who_1", "+49 (30) 1234 567", "plain", "Rev", "Revenue", "猫が", "3-9", "1e-5", "€ 5"]
+    for _ in range(300):
+        text = rng.choice([" ", "", ", "]).join(rng.choices(parts, k=rng.randint(0, 8)))
+        assert P.spans(text, ["Rev", "猫", " "]) == brute_spans(text, ["Rev", "猫"])
+        masked, meant = P.mask(text, ["Rev"], {"Rev": "Put"})
+        assert P.unmask(masked, {k: "Rev" if v == "Put" else v for k, v in meant.items()}) == text
+    assert P.unmask("a [PH0] b [ PH7]", {0: "x"}) == "a x b " and P.unmask("[PH0]", {}) == "[PH0]"
+    assert list(P.occurrences("Rev Revenue xRev Rev_", "Rev")) == [(0, 3)] and list(P.occurrences("猫猫", "猫")) == [(0, 1), (1, 2)]
+
+
+def test_adherence_against_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    letters = ["the", "old mill", "tion", "a", "b c", "x y z", "mill", "ill", "ÄB", "old mill house", "%", " the "]
+    texts = [rng.choice([" ", "", ", "]).join(rng.choices([*letters, "word", "milling", "Q"], k=6)) for _ in range(60)]
+    want = {(i, t, (t.upper() in x)) for i, x in enumerate(texts) for t in letters if t in x}
+    blocks = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    terms = spark.createDataFrame([(t, t.upper()) for t in letters], "term string, rendering string")
+    for small in (1000, 2):
+        monkeypatch.setattr(S, "SMALL_GLOSSARY", small)
+        assert {(r["id"], r["term"], r["applied"]) for r in S.adherence(blocks, terms).collect()} == want
+
+
+def test_findings_of_a_glossary(spark):
+    rows = spark.createDataFrame([(1, "the old mill stands", "die alte Muehle steht", "de"), (2, "the mill", "die Mühle", "de"), (3, "", "x", "de"), (4, "a mill", "", "de")], "id long, src string, tgt string, lang string")
+    glossary = spark.createDataFrame([("mill", "Mühle"), ("old", "alte")], "term string, rendering string")
+    got = {r["id"]: [(f["check"], f["detail"]) for f in r["findings"]] for r in S.findings(rows, glossary=glossary).collect()}
+    assert got == {1: [("glossary", "mill -> Mühle")], 2: [], 3: [], 4: [("empty", "nothing was translated")]}
+    assert "_lost_terms" not in S.findings(rows).columns
+
+
+def test_fuzzy_search_against_brute_force(spark):
+    import difflib
+
+    rng = random.Random(4)
+    words = "one two three four five six seven eight nine ten".split()
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 8))) for _ in range(80)]
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:15])], "q_id long, norm string")
+    tm = spark.createDataFrame([(i, t, t.upper()) for i, t in enumerate(texts)], "c_id long, norm string, tgt_text string")
+    want = set()
+    for q, a in enumerate(texts[:15]):
+        scored = [(difflib.SequenceMatcher(None, a, b).ratio(), c) for c, b in enumerate(texts) if a != b and set(a.split()) & set(b.split())]
+        best = sorted(((-s, c) for s, c in scored if s >= 0.5))[:5]
+        want |= {(q, c, k + 1, round(-s, 9)) for k, (s, c) in enumerate(best)}
+    assert {(r["q_id"], r["c_id"], r["rank"], round(r["score"], 9)) for r in M.fuzzy(queries, tm).collect()} == want
+    assert M.fuzzy(queries, tm, cap=1).groupBy("q_id").count().where("count > 1").isEmpty()
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "QUERY_BLOCK", 3)
+    rng = random.Random(6)
+    vectors = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(40)]
+    vectors = [[x / sum(y * y for y in v) ** 0.5 for x in v] for v in vectors]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)] + [(99, None)], "id long, vector array<float>").repartition(3)
+    got = {(r["q_id"], r["rank"]): r["c_id"] for r in M.nearest(rows.where("id % 4 = 0"), rows, 3).collect()}
+    f = [list(map(float, v)) for v in (r["vector"] for r in rows.where("vector is not null").orderBy("id").collect())]
+    for q in range(0, 40, 4):
+        order = sorted((c for c in range(40) if c != q), key=lambda c: (-round(max(0.0, min(1.0, sum(x * y for x, y in zip(f[q], f[c], strict=True)))), 6), c))
+        assert [got[q, k + 1] for k in range(3)] == order[:3]
+
+
+def test_kendall_against_all_pairs(spark):
+    rng = random.Random(7)
+    rows = [(g, rng.randint(0, 8), rng.randint(0, 8)) for g in range(6) for _ in range(rng.randint(1, 25))]
+    want = {}
+    for g in range(6):
+        own = [(a, b) for h, a, b in rows if h == g]
+        pairs = [(x, y) for x in own for y in own if x[0] < y[0]]
+        if pairs:
+            want[g] = (pytest.approx(sum((y[1] > x[1]) - (y[1] < x[1]) for x, y in pairs) / len(pairs)), len(pairs))
+    got = {r["g"]: (r["tau"], r["n_pairs"]) for r in L.kendall(spark.createDataFrame(rows, "g long, a long, b long"), "g", "a", "b").collect()}
+    assert got == want
+
+
+def test_large_files_and_hidden_document_types(spark, tmp_path, monkeypatch):
+    (tmp_path / "big.html").write_text("<p>" + "x" * 3_000_000)
+    (tmp_path / "small.html").write_text("<p>kept</p>")
+    monkeypatch.setattr(containers, "MAX_FILE_MB", 1)
+    rows = containers.files(spark, str(tmp_path)).withColumn("kind", F.lit("html"))
+    got = {r["path"].rpartition("/")[2]: (r["text"], r["error"]) for r in containers.blocks(rows).collect()}
+    assert got["small.html"] == ("kept", None) and got["big.html"][0] is None and "larger" in got["big.html"][1]
+    for bad in (b"<!--" + b"x" * 10_000 + b"--><!DOCTYPE a [<!ENTITY b 'c'>]><a>&b;</a>", b" " * 9 + b"<!DOCTYPE a><a/>"):
+        with pytest.raises((containers.Refused, ElementTree.ParseError)):
+            containers.xml(bad)
+    assert containers.xml(b"<a>&lt;!DOCTYPE</a>").text == "<!DOCTYPE"
