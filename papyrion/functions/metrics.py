@@ -64,6 +64,15 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     return F.pandas_udf(_word_errors, "double")(reference, hypothesis)
 
 
+def _similarities(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else 1 - edit_distance(list(x), list(y)) / max(len(x), len(y)) if len(x) or len(y) else 1.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def sequence_similarity(a: Column, b: Column) -> Column:
+    """One less the edit distance of two arrays of tokens over the longer's length, in Arrow batches; two empty ones are alike."""
+    return F.pandas_udf(_similarities, "double")(a, b)
+
+
 def chrf_score(reference: str, hypothesis: str) -> float:
     """Mean of the F-scores of the character n-gram orders that both texts have, 0 to 100."""
     reference, hypothesis, scores = reference.lower(), hypothesis.lower(), []

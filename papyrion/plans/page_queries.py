@@ -90,16 +90,15 @@ def verify_counts(spark, sf_dir):
     return P.verified(n("O"), n("F"))
 
 
-@query("""SELECT p_partkey, round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 6) AS similarity FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'rcdrcd' ELSE 'rcd' END AS a, CASE WHEN p_brand = p_type THEN 'rcdrcd' ELSE 'rced' END AS b FROM part)""")
+@query("""WITH t AS (SELECT p_partkey, array_to_string(list_transform(range(1 + p_size % 4), lambda i: 'r' || chr((97 + p_partkey % 3)::INT) || chr((102 + i)::INT)), '') AS a, array_to_string(list_transform(range(1 + p_size % 3), lambda i: 'r' || chr((97 + p_size % 3)::INT) || chr((102 + i)::INT)), '') AS b FROM part)
+SELECT p_partkey, round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 6) AS similarity FROM t""")
 def table_similarity(spark, sf_dir):
-    """Tables of one or two rows against one of another row, as token sequences."""
-    one = lambda *cells: F.array(*(F.lit(c) for c in cells))
-    a = F.when(F.col("p_size") % 2 == 0, F.array(one("c", "d"), one("c", "d"))).otherwise(F.array(one("c", "d")))
-    b = F.when(F.col("p_brand") == F.col("p_type"), F.array(one("c", "d"), one("c", "d"))).otherwise(F.array(one("c", "e", "d")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", P.table_tokens(a).alias("a"), P.table_tokens(b).alias("b"))
-    known = F.array_distinct(F.concat("a", "b"))
-    distance = F.levenshtein(X._coded(F.col("a"), known), X._coded(F.col("b"), known))
-    return rows.select("p_partkey", F.round(1 - distance / F.greatest(F.size("a"), F.size("b")), 6).alias("similarity"))
+    """Tables of one to four rows against tables of one to three, as token sequences."""
+    grid = lambda rows, first: F.transform(F.sequence(F.lit(0), rows - 1), lambda i: F.array(F.char(97 + first), F.char(102 + i)))
+    n, k = F.col("p_size"), F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select("p_partkey", P.table_tokens(grid(1 + n % 4, k % 3)).alias("a"), P.table_tokens(grid(1 + n % 3, n % 3)).alias("b"))
+    return rows.select("p_partkey", F.round(X.sequence_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+
 
 
 @query("""SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'Cyrillic' WHEN 1 THEN 'Han' ELSE 'Latin' END AS script, c_custkey % 3 = 0 AS crosses FROM customer""")

@@ -25,17 +25,12 @@ def query(sql: str | None = None):
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS ord FROM documents"
 _STRIP = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 _KEY = rf"lower(regexp_replace({_STRIP}, '\s+', ' ', 'g'))"
-_ASCII = r"regexp_full_match(text, '[\x00-\x7F]*')"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def _ascii(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("text").rlike(r"^\p{ASCII}*$"))
-
-
 @query(f"SELECT doc_id, ord, line FROM ({_LINES})")
 def segment_lines(spark, sf_dir):
     return S.lines(_docs(spark, sf_dir))
@@ -56,9 +51,9 @@ def norm_furniture_key(spark, sf_dir):
     return S.lines(_docs(spark, sf_dir)).groupBy(T.furniture_key(F.col("line")).alias("key")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT {_KEY.format('line')} AS key, count(*) AS n FROM ({_LINES}) WHERE regexp_full_match(line, '[\\x00-\\x7F]*') GROUP BY ALL")
+@query(f"SELECT replace({_KEY.format('line')}, 'ß', 'ss') AS key, count(*) AS n FROM ({_LINES}) GROUP BY ALL")
 def norm_consistency_key(spark, sf_dir):
-    rows = S.lines(_docs(spark, sf_dir)).where(F.col("line").rlike(r"^\p{ASCII}*$"))
+    rows = S.lines(_docs(spark, sf_dir))
     return rows.groupBy(T.consistency_key(F.col("line")).alias("key")).agg(F.count("*").alias("n"))
 
 
@@ -188,43 +183,23 @@ def glossary_adherence(spark, sf_dir):
     return S.adherence(_docs(spark, sf_dir).select("doc_id", "text"), terms).select("doc_id", "term", "applied")
 
 
-_PSEUDO = "CASE WHEN (doc_id + ord) % 3 = 0 THEN upper(line) ELSE line END"
+_PSEUDO = "CASE WHEN (doc_id + ord) % 3 = 0 THEN upper(replace(line, 'ß', 'SS')) ELSE line END"
 
 
-@query(f"""WITH l AS (SELECT doc_id * 1000000 + ord AS ord, {_KEY.format('line')} AS key, {_PSEUDO} AS tgt FROM ({_LINES}) WHERE regexp_full_match(line, '[\\x00-\\x7F]*')),
+@query(f"""WITH l AS (SELECT doc_id * 1000000 + ord AS ord, replace({_KEY.format('line')}, 'ß', 'ss') AS key, {_PSEUDO} AS tgt FROM ({_LINES})),
 v AS (SELECT key, tgt, count(*) AS n, min(ord) AS o FROM l GROUP BY ALL)
 SELECT key, arg_max(tgt, (n, -o)) AS target, count(*) AS n_variants, sum(n)::BIGINT AS n FROM v GROUP BY key""")
 def consistency_majority(spark, sf_dir):
-    rows = S.lines(_docs(spark, sf_dir)).where(F.col("line").rlike(r"^\p{ASCII}*$"))
+    rows = S.lines(_docs(spark, sf_dir))
     rows = rows.withColumn("tgt", F.when((F.col("doc_id") + F.col("ord")) % 3 == 0, F.upper("line")).otherwise(F.col("line"))).withColumn("at", F.col("doc_id") * 1000000 + F.col("ord"))
     return S.majority(rows, T.consistency_key(F.col("line")), "tgt", "at")
 
 
-@query(rf"""WITH d AS (SELECT text FROM documents WHERE lang = 'en' AND {_ASCII}), u AS (
+@query(rf"""WITH d AS (SELECT text FROM documents WHERE lang = 'en'), u AS (
 SELECT unnest(regexp_extract_all(text, '\b[A-Z][A-Z0-9]{{2,}}\b')) AS term, 'acronym' AS kind FROM d UNION ALL SELECT unnest(regexp_extract_all(text, '\b[A-Z][a-z]{{2,}}\b')), 'name' FROM d),
 n AS (SELECT unnest(regexp_split_to_array(name, '\s+')) AS term FROM (SELECT unnest(regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b')) AS name FROM d)), low AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\b[a-z]{{2,}}\b')) AS term FROM d)
 SELECT term, kind, count(*) AS n FROM u WHERE kind = 'acronym' OR (term NOT IN (SELECT term FROM n) AND lower(term) NOT IN (SELECT term FROM low)) GROUP BY ALL HAVING count(*) >= 2""")
 def auto_glossary(spark, sf_dir):
-    return S.mined_terms(_ascii(_docs(spark, sf_dir).where("lang = 'en'")))
-
-
-@query()
-def norm_consistency_key_all(spark, sf_dir):
-    """As norm_consistency_key, over all lines; no SQL, as DuckDB folds case otherwise."""
-    return S.lines(_docs(spark, sf_dir)).groupBy(T.consistency_key(F.col("line")).alias("key")).agg(F.count("*").alias("n"))
-
-
-@query()
-def consistency_majority_all(spark, sf_dir):
-    """As consistency_majority, over all lines; no SQL, as DuckDB folds case otherwise."""
-    rows = S.lines(_docs(spark, sf_dir))
-    rows = rows.withColumn("tgt", F.when((F.col("doc_id") + F.col("ord")) % 3 == 0, F.upper("line")).otherwise(F.col("line"))).withColumn("at", F.col("doc_id") * 1000000 + F.col("ord"))
-    return S.majority(rows, T.consistency_key(F.col("line")), "tgt", "at")
-
-
-@query()
-def auto_glossary_all(spark, sf_dir):
-    """As auto_glossary, over all English documents; no SQL, as DuckDB's \\b knows ASCII only."""
     return S.mined_terms(_docs(spark, sf_dir).where("lang = 'en'"))
 
 

@@ -171,9 +171,9 @@ def test_consistency_and_terms_over_all_lines(spark, tmp_path):
             key = " ".join(line.split()).upper().lower().replace("ß", "ss")
             want[key] = want.get(key, 0) + 1
             seen.setdefault(key, []).append(line.upper() if (d + o) % 3 == 0 else line)
-    assert {r["key"]: r["n"] for r in own("norm_consistency_key_all")} == want
-    assert {r["key"]: (r["target"], r["n"]) for r in own("consistency_majority_all")} == {k: (max(dict.fromkeys(v), key=v.count), len(v)) for k, v in seen.items()}
-    assert {(r["term"], r["kind"], r["n"]) for r in own("auto_glossary_all")} == {("NASA", "acronym", 2), ("Foo", "name", 2)}
+    assert {r["key"]: r["n"] for r in own("norm_consistency_key")} == want
+    assert {r["key"]: (r["target"], r["n"]) for r in own("consistency_majority")} == {k: (max(dict.fromkeys(v), key=v.count), len(v)) for k, v in seen.items()}
+    assert {(r["term"], r["kind"], r["n"]) for r in own("auto_glossary")} == {("NASA", "acronym", 2), ("Foo", "name", 2)}
 
 
 def test_breaker_and_escalation(spark):
