@@ -108,7 +108,7 @@ def local(element: ElementTree.Element) -> str:
 Block = tuple[str, str, str]  # id, type, text
 
 
-class _Tree(HTMLParser):
+class Tree(HTMLParser):
     """A tree in which an end tag closes the nearest open element of its name, as in forgiving parsers."""
 
     VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -139,7 +139,7 @@ _HTML_TYPES = {"h1": "title", "h2": "heading", "h3": "heading", "h4": "heading",
 
 
 def html_tree(markup: str) -> dict:
-    parser = _Tree()
+    parser = Tree()
     parser.feed(markup)
     parser.close()
     return parser.root
@@ -199,7 +199,7 @@ def html_blocks(content: bytes) -> list[Block]:
     return out
 
 
-def _text(element: ElementTree.Element, names: tuple[str, ...] = ("t",)) -> str:
+def text_of(element: ElementTree.Element, names: tuple[str, ...] = ("t",)) -> str:
     return "".join("\t" if local(e) == "tab" else (e.text or "") for e in element.iter() if local(e) in (*names, "tab"))
 
 
@@ -208,18 +208,18 @@ def docx_blocks(content: bytes) -> list[Block]:
     archive, out = opened(content), []
     body = next(e for e in xml(archive.read("word/document.xml")) if local(e) == "body")
     for element in body:
-        if local(element) == "p" and (text := _text(element)).strip():
+        if local(element) == "p" and (text := text_of(element)).strip():
             style = next((v for e in element.iter() if local(e) == "pStyle" for k, v in e.attrib.items() if k.endswith("val")), "")
             numbered = any(local(e) == "numPr" for e in element.iter())
             typed = "title" if style == "Title" else "heading" if re.match(r"(?i)heading", style) else "list_item" if numbered or style.startswith("List") else "paragraph"
             out.append((f"p{len(out)}", typed, text))
         elif local(element) == "tbl":
-            grid = [[_text(c) for c in r if local(c) == "tc"] for r in element if local(r) == "tr"]
+            grid = [[text_of(c) for c in r if local(c) == "tc"] for r in element if local(r) == "tr"]
             out.append((f"t{len(out)}", "table", "\n".join("\t".join(r) for r in grid)))
     for name in sorted(archive.namelist()):
         if m := re.fullmatch(r"word/(header|footer|footnotes|endnotes|comments)\d*\.xml", name):
             for k, p in enumerate(e for e in xml(archive.read(name)).iter() if local(e) == "p"):
-                if (text := _text(p)).strip():
+                if (text := text_of(p)).strip():
                     out.append((f"{posixpath.basename(name)}#{k}", m[1].rstrip("s"), text))
     return out
 
@@ -228,11 +228,11 @@ def xlsx_blocks(content: bytes) -> list[Block]:
     """A block for each cell that holds text, by sheet and coordinate."""
     archive, out = opened(content), []
     names = archive.namelist()
-    strings = [_text(e) for e in xml(archive.read("xl/sharedStrings.xml")) if local(e) == "si"] if "xl/sharedStrings.xml" in names else []
+    strings = [text_of(e) for e in xml(archive.read("xl/sharedStrings.xml")) if local(e) == "si"] if "xl/sharedStrings.xml" in names else []
     for name in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n))):
         for cell in (e for e in xml(archive.read(name)).iter() if local(e) == "c"):
             value = next((e.text or "" for e in cell if local(e) == "v"), "")
-            text = strings[int(value)] if cell.get("t") == "s" and value else _text(cell) if cell.get("t") == "inlineStr" else value if cell.get("t") == "str" else ""
+            text = strings[int(value)] if cell.get("t") == "s" and value else text_of(cell) if cell.get("t") == "inlineStr" else value if cell.get("t") == "str" else ""
             if text.strip() and not text.startswith("=") and not any(local(e) == "f" for e in cell):
                 out.append((f"{posixpath.basename(name)[:-4]}!{cell.get('r')}", "cell", text))
     return out
@@ -245,7 +245,7 @@ def pptx_blocks(content: bytes) -> list[Block]:
     for folder, typed in (("slides/slide", "paragraph"), ("notesSlides/notesSlide", "note")):
         for name in sorted((n for n in archive.namelist() if re.fullmatch(rf"ppt/{folder}\d+\.xml", n)), key=number):
             for k, p in enumerate(e for e in xml(archive.read(name)).iter() if local(e) == "p"):
-                if (text := _text(p)).strip():
+                if (text := text_of(p)).strip():
                     out.append((f"{posixpath.basename(name)[:-4]}#{k}", typed, text))
     return out
 
@@ -268,15 +268,23 @@ def odt_blocks(content: bytes) -> list[Block]:
     return out
 
 
-def epub_blocks(content: bytes) -> list[Block]:
-    """Texts of the spine's items in order, by item and number."""
-    archive = opened(content)
+#: Elements of a book's pages whose texts are no blocks.
+UNREAD = _DROPPED | {"title"}
+
+
+def spine(archive: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(id, path) of a book's items in reading order."""
     package = next(e.get("full-path") for e in xml(archive.read("META-INF/container.xml")).iter() if local(e) == "rootfile")
     root = xml(archive.read(package))
     items = {e.get("id"): e.get("href") for e in root.iter() if local(e) == "item"}
+    return [(ref, posixpath.normpath(posixpath.join(posixpath.dirname(package), items[ref]))) for ref in (e.get("idref") for e in root.iter() if local(e) == "itemref")]
+
+
+def epub_blocks(content: bytes) -> list[Block]:
+    """Texts of the spine's items in order, by item and number."""
+    archive = opened(content)
     out: list[Block] = []
-    for ref in (e.get("idref") for e in root.iter() if local(e) == "itemref"):
-        path = posixpath.normpath(posixpath.join(posixpath.dirname(package), items[ref]))
+    for ref, path in spine(archive):
         stack, k = [html_tree(decoded(archive.read(path)))], 0
         while stack:
             node = stack.pop()
@@ -284,7 +292,7 @@ def epub_blocks(content: bytes) -> list[Block]:
                 if node.strip():
                     out.append((f"{ref}#{k}", "paragraph", node.strip()))
                 k += 1
-            elif node["name"] not in _DROPPED | {"title"}:
+            elif node["name"] not in UNREAD:
                 stack += reversed(node["children"])
     return out
 

@@ -63,3 +63,53 @@ def glossary_json(rows: DataFrame, json: str = "json") -> DataFrame:
 def review_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a review file."""
     return spark.read.option("sep", "\t").option("header", "true").csv(path)
+
+
+ENTRY = ("src_lang", "tgt_lang", "domain", "term", "rendering", "origin", "locked")
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """Glossary entries of rows that may lack columns: without those that lack a term, rendering or language; locked is 1 or true."""
+    for name in ENTRY:
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast("string"))
+    text = lambda c, default: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(default)).alias(c)
+    out = rows.select("src_lang", "tgt_lang", text("domain", ""), "term", "rendering", text("origin", "user"), F.coalesce(F.lower(F.col("locked").cast("string")).isin("1", "true"), F.lit(False)).alias("locked"))
+    return out.where(" and ".join(f"coalesce({c}, '') != ''" for c in ("term", "rendering", "src_lang", "tgt_lang")))
+
+
+def glossary_entries(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Entries of a `tsv` (with a header, columns in any order) or `json` file (a list of objects, or an object a line). A JSON file is read whole, as its list may span lines."""
+    if kind == "tsv":
+        return _entries(spark.read.option("sep", "\t").option("header", "true").option("quote", "").csv(path))
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v")).where("v != ''")
+    as_list = F.when(F.col("v").startswith("["), F.col("v")).otherwise(F.concat(F.lit("["), F.array_join(F.filter(F.split("v", "\n"), lambda x: F.trim(x) != ""), ","), F.lit("]")))
+    return _entries(whole.select(F.inline(F.from_json(as_list, f"array<struct<{','.join(f'{c}:string' for c in ENTRY)}>>"))))
+
+
+def write_glossary(entries: DataFrame, path: str, kind: str) -> None:
+    """Entries as `csv` (source, target, languages, domain), `tsv` or `json` lines, in order; what a spreadsheet would run as a formula is quoted in the first two."""
+    rows = entries.orderBy("src_lang", "tgt_lang", "domain", "term")
+    if kind == "json":
+        rows.select(*ENTRY).write.mode("overwrite").json(path)
+    elif kind == "csv":
+        names = {"term": "source", "rendering": "target", "src_lang": "src_lang", "tgt_lang": "tgt_lang", "domain": "domain"}
+        rows.select(*(T.spreadsheet_safe(F.col(c)).alias(n) for c, n in names.items())).write.mode("overwrite").option("header", "true").option("emptyValue", "").csv(path)
+    else:
+        safe = [T.spreadsheet_safe(F.col(c)).alias(c) if c in ("term", "rendering") else F.col(c) for c in ENTRY]
+        rows.select(*safe).write.mode("overwrite").option("sep", "\t").option("header", "true").option("quote", "").option("emptyValue", "").csv(path)
+
+
+def write_review(segments: DataFrame, path: str) -> None:
+    """The review file of segments (block_id, source, translation) with an empty column for corrections."""
+    segments.select("block_id", "source", "translation", F.lit("").alias("correction")).write.mode("overwrite").option("sep", "\t").option("header", "true").option("emptyValue", "").csv(path)
+
+
+def append_history(records: DataFrame, path: str) -> None:
+    """Score records added to a history of JSON lines."""
+    records.write.mode("append").json(path)
+
+
+def history(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All records of a history, by date; lines that aren't JSON count for nothing."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).orderBy("date")

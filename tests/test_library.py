@@ -397,3 +397,56 @@ def test_large_files_and_hidden_document_types(spark, tmp_path, monkeypatch):
         with pytest.raises((containers.Refused, ElementTree.ParseError)):
             containers.xml(bad)
     assert containers.xml(b"<a>&lt;!DOCTYPE</a>").text == "<!DOCTYPE"
+
+
+DOCX = '<w:document xmlns:w="urn:w"><w:body><w:p><w:r><w:rPr><w:b/></w:rPr><w:t>One</w:t></w:r><w:r><w:t> two</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:r><w:t>End</w:t></w:r></w:p></w:body></w:document>'
+NOTES = '<w:footnotes xmlns:w="urn:w"><w:p><w:r><w:t>Note</w:t></w:r></w:p></w:footnotes>'
+ODT = '<o xmlns:t="urn:t" xmlns:b="urn:b"><t:h>H <t:span>x</t:span></t:h><t:list><t:list-item><t:p>i</t:p></t:list-item></t:list><b:table><b:table-row><b:table-cell><t:p>c</t:p></b:table-cell><b:table-cell><t:p>d</t:p></b:table-cell></b:table-row></b:table><t:p/><t:p>p</t:p></o>'
+PAGE_XHTML = '<?xml version="1.0"?><!DOCTYPE html><html dir="ltr"><head><title>T &amp; t</title><style>p{a:"&"}</style></head><body><!-- c --><p class="x">Hi &lt;you&gt;<br/> and <b>us</b></p></body></html>'
+
+
+def test_write_back_of_every_kind(spark):
+    docx = archive({"word/document.xml": DOCX, "word/footnotes.xml": NOTES, "other.bin": "kept"})
+    odt, book = archive({"content.xml": ODT}), archive({"mimetype": "application/epub+zip", "META-INF/container.xml": '<c><rootfile full-path="o/p.opf"/></c>', "o/p.opf": '<p><item id="x" href="x.html"/><itemref idref="x"/></p>', "o/x.html": PAGE_XHTML})
+    cases = [("docx", docx, {"p0": "Eins <zwei>", "t1": "A\tB", "p2": "Ende", "footnotes.xml#0": "Anm."}), ("odt", odt, {"o0": "Kopf", "o1": "I & J", "o2": "C\tD", "o3": "P"}), ("epub", book, {"x#0": "Hallo <du>", "x#1": "und", "x#2": "wir"})]
+    for kind, content, texts in cases:
+        before = K.READERS[kind](content)
+        assert {b[0] for b in before} == set(texts)
+        files = spark.createDataFrame([(kind, content)], "path string, content binary")
+        new = spark.createDataFrame([(kind, k, v) for k, v in texts.items()], "path string, id string, text string")
+        out = bytes(archives.written_back(files, new, kind).first()["content"])
+        assert [(b[0], b[1]) for b in K.READERS[kind](out)] == [(b[0], b[1]) for b in before]
+        assert {b[0]: b[2] for b in K.READERS[kind](out)} == texts
+        assert {b[0]: b[2] for b in K.READERS[kind](archives.WRITERS[kind](content, {}))} == {b[0]: b[2] for b in before}
+        assert [i.filename for i in zipfile.ZipFile(io.BytesIO(out)).infolist()] == [i.filename for i in zipfile.ZipFile(io.BytesIO(content)).infolist()]
+    assert zipfile.ZipFile(io.BytesIO(archives.docx(docx, {}))).read("other.bin") == b"kept" and b"<w:b" in zipfile.ZipFile(io.BytesIO(archives.docx(docx, {"p0": "x"}))).read("word/document.xml")
+    page = zipfile.ZipFile(io.BytesIO(archives.epub(book, {}, "rtl"))).read("o/x.html").decode()
+    assert '<html dir="rtl">' in page and page.replace('dir="rtl"', 'dir="ltr"') == PAGE_XHTML
+    with pytest.raises(K.Refused):
+        archives.docx(docx, {"t1": "A"})
+
+
+def test_a_document_is_built_and_read_again():
+    blocks = [{"type": "title", "text": "T <1>"}, {"type": "heading", "text": "H", "level": 2}, {"type": "list_item", "text": "i", "level": 5}, {"type": "paragraph", "runs": [("a ", {}), ("b", {"bold": True, "sup": True})], "rtl": True, "align": "right"}, {"type": "table", "rows": [[("x", 1, 2), ("y", 2, 1)], ["z", "w"]]}]
+    out = archives.docx_built(blocks)
+    assert [(b[1], b[2]) for b in K.docx_blocks(out)] == [("title", "T <1>"), ("heading", "H"), ("list_item", "i"), ("paragraph", "a b"), ("table", "x\ty\n\tz\tw")]
+    body = zipfile.ZipFile(io.BytesIO(out)).read("word/document.xml").decode()
+    assert body.count("<w:vMerge") == 2 and 'w:val="ListBullet3"' in body and "<w:bidi/>" in body
+
+
+def test_interchange(spark, tmp_path):
+    rows = spark.createDataFrame([("en", "de", "", "=term", "Wort", "user", True), ("en", "fr", "law", "mill", "moulin", "import", False)], "src_lang string, tgt_lang string, domain string, term string, rendering string, origin string, locked boolean")
+    for kind in ("tsv", "json"):
+        B.write_glossary(rows, str(tmp_path / kind), kind)
+        got = sorted(tuple(r) for r in B.glossary_entries(spark, str(tmp_path / kind), kind).collect())
+        assert got == sorted((*r[:3], ("'" if kind == "tsv" and r[3] == "=term" else "") + r[3], *r[4:]) for r in map(tuple, rows.collect()))
+    (tmp_path / "list.json").write_text('[{"term": "a", "rendering": "b", "src_lang": "en", "tgt_lang": "de", "locked": 1}, {"term": "", "rendering": "x", "src_lang": "en", "tgt_lang": "de"}]')
+    assert [tuple(r) for r in B.glossary_entries(spark, str(tmp_path / "list.json"), "json").collect()] == [("en", "de", "", "a", "b", "user", True)]
+    B.write_glossary(rows, str(tmp_path / "csv"), "csv")
+    assert {(r["term"], r["rendering"]) for r in B.glossary_csv(spark, str(tmp_path / "csv")).collect()} == {("'=term", "Wort"), ("mill", "moulin")}
+    B.write_review(spark.createDataFrame([("b1", "one", "eins")], "block_id string, source string, translation string"), str(tmp_path / "review"))
+    assert [tuple(r) for r in B.review_tsv(spark, str(tmp_path / "review")).collect()] == [("b1", "one", "eins", None)]
+    record = spark.createDataFrame([("2024-02-01", 0.5)], "date string, overall double")
+    for _ in range(2):
+        B.append_history(record, str(tmp_path / "history"))
+    assert B.history(spark, str(tmp_path / "history"), "date string, overall double").count() == 2
