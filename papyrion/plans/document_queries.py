@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrion.functions import geometry as G
+from papyrion.functions import protect as V
 from papyrion.functions import text as T
 from papyrion.operators import alignment as A
 from papyrion.operators import documents as D
@@ -13,13 +18,15 @@ from papyrion.operators import engines as E
 from papyrion.operators import layout as L
 from papyrion.operators import memory as M
 from papyrion.operators import pages as P
+from papyrion.operators import scoring as C
 from papyrion.operators import segments as S
 from papyrion.operators import translate as X
 from papyrion.plans.layout_queries import _BOXES, boxes
 from papyrion.plans.memory_queries import _EVENTS, tm_events
 from papyrion.plans.tables import table
 from papyrion.plans.text_queries import _FOUND, _KEY, _LINES, _STRIP, _TURN_PAIRS, turn_pairs
-from papyrion.sinks import render
+from papyrion.sinks import archives, render
+from papyrion.sources import containers as K
 from papyrion.sources import tables as B
 
 QUERIES, ORACLES = {}, {}
@@ -478,3 +485,103 @@ def merged_cells(spark, sf_dir):
     n, p = F.col("l_linenumber"), F.col("l_partkey")
     cells = items(spark, sf_dir).select(F.col("l_orderkey").alias("doc"), ((n - 1) / 3).cast("int").alias("row"), n.cast("int").alias("ord"), (1 + (p % 5 == 0).cast("int")).alias("rowspan"), (1 + (p % 4 == 0).cast("int")).alias("colspan"), F.col("l_returnflag").alias("text"))
     return D.placed_cells(cells, "doc")
+
+
+def _archive(parts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+#: Small files of each kind, and the ids of two texts of each that are replaced.
+TEMPLATES = {
+    "docx": (archives.docx_built([{"type": "title", "text": "a"}, {"type": "paragraph", "text": "b"}]), ("p0", "p1")),
+    "odt": (_archive({"content.xml": '<o xmlns:t="urn:t"><t:h>a</t:h><t:p>b</t:p></o>'}), ("o0", "o1")),
+    "epub": (_archive({"META-INF/container.xml": '<c><rootfile full-path="p.opf"/></c>', "p.opf": '<p><item id="x" href="x.html"/><itemref idref="x"/></p>', "x.html": "<html><body><h1>a</h1><p>b</p></body></html>"}), ("x#0", "x#1")),
+    "xlsx": (_archive({"xl/worksheets/sheet1.xml": '<s xmlns="urn:s"><c r="A1" t="inlineStr"><is><t>a</t></is></c><c r="B1" t="inlineStr"><is><t>b</t></is></c></s>'}), ("sheet1!A1", "sheet1!B1")),
+    "pptx": (_archive({"ppt/slides/slide1.xml": '<s xmlns:a="urn:a"><a:p><a:t>a</a:t></a:p></s>', "ppt/notesSlides/notesSlide1.xml": '<s xmlns:a="urn:a"><a:p><a:t>b</a:t></a:p></s>'}), ("slide1#0", "notesSlide1#0")),
+}
+
+
+@query("""WITH k(kind, a, b) AS (VALUES ('docx', 'title', 'paragraph'), ('odt', 'heading', 'paragraph'), ('epub', 'paragraph', 'paragraph'), ('xlsx', 'cell', 'cell'), ('pptx', 'paragraph', 'note'))
+SELECT kind, s_suppkey, 0 AS ord, a AS type, s_name || ' & <b>' AS text FROM supplier, k UNION ALL SELECT kind, s_suppkey, 1, b, 'at ' || s_name FROM supplier, k""")
+def office_round_trip(spark, sf_dir):
+    """A file of each kind for each supplier, written with its texts and read again."""
+    rows, found = table(spark, sf_dir, "supplier"), None
+    for kind, (content, ids) in TEMPLATES.items():
+        files = rows.select(F.concat("s_suppkey", F.lit(f".{kind}")).alias("path"), F.lit(bytearray(content)).alias("content"))
+        texts = rows.select(F.concat("s_suppkey", F.lit(f".{kind}")).alias("path"), F.inline(F.array(F.struct(F.lit(ids[0]).alias("id"), F.concat("s_name", F.lit(" & <b>")).alias("text")), F.struct(F.lit(ids[1]).alias("id"), F.concat(F.lit("at "), "s_name").alias("text")))))
+        read = K.blocks(archives.written_back(files, texts, kind), kind).select(F.lit(kind).alias("kind"), F.split("path", r"\.")[0].cast("long").alias("s_suppkey"), F.col("ord").cast("int").alias("ord"), "type", "text")
+        found = read if found is None else found.unionByName(read)
+    return found
+
+
+@query("""SELECT p_partkey, ord, type, CASE ord WHEN 0 THEN p_name WHEN 1 THEN 'ä ' || p_type WHEN 2 THEN p_brand ELSE 'x' || chr(9) || p_brand END AS text FROM part, (VALUES (0, 'title'), (1, 'paragraph'), (2, 'list_item'), (3, 'table')) t(ord, type)""")
+def html_round_trip(spark, sf_dir):
+    """Pages in three encodings read as blocks; Latin-1 of even length would pass for UTF-16."""
+    part = table(spark, sf_dir, "part")
+    page = F.concat(F.lit("<html><head><title>no</title></head><body><script>var x='<p>';</script><h1>"), "p_name", F.lit("</h1><p>ä "), "p_type", F.lit("</p><ul><li>"), "p_brand", F.lit("</ul><table><tr><th>x</th><td>"), "p_brand", F.lit("</td></tr></table></body></html>"))
+    content = F.when(F.col("p_partkey") % 3 == 0, F.encode(page, "UTF-8")).when(F.col("p_partkey") % 3 == 1, F.encode(page, "UTF-16")).otherwise(F.encode(F.concat(page, F.when(F.length(page) % 2 == 0, " ").otherwise("")), "ISO-8859-1"))
+    return K.blocks(part.select(F.col("p_partkey").cast("string").alias("path"), content.alias("content")), "html").select(F.col("path").cast("long").alias("p_partkey"), F.col("ord").cast("int").alias("ord"), "type", "text")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'zip' WHEN 3 THEN 'subtitle' WHEN 4 THEN 'html' WHEN 5 THEN 'image' ELSE 'text' END AS kind, c_custkey % 5 = 0 AS sidecar FROM customer""")
+def file_kinds(spark, sf_dir):
+    """S1, S2, S41."""
+    k = F.col("c_custkey")
+    name = F.concat(F.col("c_name"), F.when(k % 5 == 0, ".ref.de").otherwise(""), F.when(k % 7 == 1, ".docx").when(k % 7 == 2, ".bin").when(k % 7 == 3, ".srt").otherwise(F.when(k % 5 == 0, ".txt").otherwise(".dat")))
+    path = F.when((k % 5 == 0) & (k % 7).isin(1, 2, 3), F.concat(F.lit("x/"), name)).otherwise(name)
+    head = F.when(k % 7 == 0, F.unhex(F.lit("255044462D312E37"))).when((k % 7).isin(1, 2), F.unhex(F.lit("504B030400000000"))).when(k % 7 == 4, F.encode(F.lit(" <!DOCTYPE html><p>x"), "UTF-8")).when(k % 7 == 5, F.unhex(F.lit("89504E470D0A1A0A"))).otherwise(F.encode(F.lit("plain"), "UTF-8"))
+    beside = K.sidecar(F.concat(F.lit("x/a"), F.when(k % 5 == 0, ".ref.de.txt").otherwise(".txt")))
+    return table(spark, sf_dir, "customer").select(k, K.kind(path, head).alias("kind"), beside.alias("sidecar"))
+
+
+@query("""SELECT p_partkey, p_brand AS term, p_type AS rendering FROM part WHERE p_size % 4 <> 0""")
+def glossary_objects(spark, sf_dir):
+    """A JSON object for each part, with a blank entry, and blank ones alone for some."""
+    value = F.when(F.col("p_size") % 4 == 0, " ").otherwise(F.col("p_type"))
+    rows = table(spark, sf_dir, "part").withColumn("json", F.to_json(F.create_map(F.col("p_brand"), value, F.lit(" "), F.lit("x"))))
+    found = rows.select("p_partkey", F.struct("json").alias("j"))
+    return found.select("p_partkey", F.col("j.json").alias("json")).join(B.glossary_json(found.select(F.col("j.json").alias("json"))).distinct(), F.col("json").contains(F.concat(F.lit('"'), "term", F.lit('":"'), "rendering", F.lit('"')))).select("p_partkey", "term", "rendering")
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE lower(n_name) || '|' || n_name END AS texts, n_name || '|b' AS listed FROM nation""")
+def reply_parsing(spark, sf_dir):
+    """Replies with all ids or without one; the first list in a reply, each text once."""
+    k = F.col("n_nationkey")
+    reply = F.when(k % 3 == 0, F.to_json(F.create_map(F.lit("0"), F.col("n_name")))).otherwise(F.to_json(F.create_map(F.lit("0"), F.col("n_name"), F.lit("1"), F.lower("n_name"))))
+    listed = F.concat(F.lit('Sure: ["'), "n_name", F.lit('", "b", "'), "n_name", F.lit('"] done'))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(E.reply_by_id(reply, F.array(F.lit("1"), F.lit("0"))), "|").alias("texts"), F.array_join(E.reply_list(listed), "|").alias("listed"))
+
+
+@query("""SELECT n_nationkey, row_number() OVER (ORDER BY n_regionkey = 2, n_nationkey) - 1 AS place FROM nation""")
+def engine_order(spark, sf_dir):
+    """Engines in their order, tripped ones last; nations stand for engines."""
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_nationkey").alias("ord"), (F.col("n_regionkey") == 2).alias("tripped"))
+    return C.live_first(rows).withColumn("place", F.row_number().over(Window.orderBy("tripped", "ord")) - 1).select("n_nationkey", F.col("place").cast("long").alias("place"))
+
+
+def _same(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([V.same_protected(x, y) for x, y in zip(a, b, strict=True)])
+
+
+@query("""SELECT c_custkey, c_custkey % 3 <> 1 AS same, CASE WHEN c_custkey % 2 = 0 THEN 'One two three four.| Five six seven eight.' ELSE 'onetwothr|eefourfiv|esix' END AS pieces FROM customer""")
+def protected_tokens(spark, sf_dir):
+    """the same tokens in any order, or one changed; texts cut at a sentence mark, or hard."""
+    k = F.col("c_custkey")
+    source = F.concat(F.lit("See https://own.test/"), k, F.lit(" at 12:30, 40 %"))
+    target = F.when(k % 3 == 1, F.concat(F.lit("40 % um 12:31 auf https://own.test/"), k)).otherwise(F.concat(F.lit("40 % um 12:30 auf https://own.test/"), k))
+    pieces = F.pandas_udf(lambda x: x.map(lambda t: "|".join(V.cut(t, 25 if " " in t else 9))), "string")
+    text = F.when(k % 2 == 0, "One two three four. Five six seven eight.").otherwise("onetwothreefourfivesix")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.pandas_udf(_same, "boolean")(source, target).alias("same"), pieces(text).alias("pieces"))
+
+
+@query(f"""WITH {_BOXES} SELECT doc, page, ord, text, least(x1, 300) - greatest(x0, 200) >= 0.5 * least(x1 - x0, 100) AS same FROM bx""")
+def column_neighbours(spark, sf_dir):
+    """F54 against a column from 200 to 300."""
+    column = F.struct(F.lit(200.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(300.0).alias("x1"), F.lit(1.0).alias("y1"))
+    return boxes(spark, sf_dir).select("doc", "page", "ord", "text", G.same_column(G.box(), column).alias("same"))
