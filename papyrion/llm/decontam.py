@@ -7,6 +7,7 @@ may have become one.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -102,12 +103,23 @@ class Canonical:
         return [bytes(self.data[self.starts[k] : self.stops[k]]).decode(errors="replace").lower() for k in range(at, at + width) if self.slot[k]]
 
 
+_FOREIGN = re.compile(r"[^\x00-\x7f]+")
+
+
+def low_foreign(column: pa.Array) -> pa.Array:
+    """Texts with letters beyond ASCII in lower case; those of ASCII, whose capitals tell names, stay and are folded when hashed."""
+    if not (bytes_of(column)[0] >= 128).any():
+        return column
+    return pa.array([t if t is None or t.isascii() else _FOREIGN.sub(lambda m: m[0].lower(), t) for t in column.to_pylist()], pa.string())
+
+
 def _emit(wanted_of, widths_of, item: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if wanted_of is None else wanted_of.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for start, column in in_parts(batch.column(1)):
+                column = low_foreign(column)
                 texts, named = Canonical.of(column), Canonical.of(column, NO_OPENINGS)
                 n = np.diff(texts.bounds)
                 of_word = np.repeat(np.arange(len(n)), n)

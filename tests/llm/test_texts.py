@@ -342,6 +342,7 @@ def test_decontamination_with_a_conflicting_slot(spark):
 @pytest.mark.parametrize(
     ("item", "doc", "found"),
     [
+        ("El señor Núñez llegó después a la mañana siguiente con su corazón", "junk!! EL SEÑOR NÚÑEZ LLEGÓ DESPUÉS A LA MAÑANA SIGUIENTE CON SU CORAZÓN!! junk", True),
         ("When you add 3 plus 4 you get what number in the end of it all", "When you add 5 plus 5 you get what number in the end of it all", True),
         ("Tom buys two red apples on the way. Tom eats one of them at once and gives what is left away", "Anna buys two red apples on the way. Anna eats one of them at once and gives what is left away", True),
         ("Tom buys two red apples on the way. Tom eats one of them at once", "Anna buys two red apples on the way. Ben eats one of them at once", False),
