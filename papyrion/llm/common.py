@@ -187,7 +187,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray | None
 
 
 #: Bytes of text handled at once by a worker, but for a single text that is longer.
-PART_BYTES = 2**22
+PART_BYTES = 2**21
 
 
 def in_parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:

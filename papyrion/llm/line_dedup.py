@@ -26,9 +26,11 @@ WIDTH, PERCENT = 1, 80
 #: Counters by hash that rank tokens by rarity: so many for any input, counting every token. Which tokens share one is a matter of cost only.
 COUNTERS, SLICE = 2**20, 2**16
 #: Prefix tokens that one task gets about; tokens whose counter says more are dealt to several tasks.
-PART_ENTRIES = 2**21
+PART_ENTRIES = 2**20
 #: Lists of classes that share a prefix token: up to the first size all pairs of many lists are looked at at once, up to the second of one list; beyond, each class meets the earliest so many.
 SMALL_LIST, LARGE_LIST = 64, 4096
+#: Pairs of entries that are looked at in one go, for bounded memory.
+LOOKED = 2**16
 
 
 def line_tokens(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -273,12 +275,12 @@ def _meet(ranks_of, percent: int, part_entries: int, small: int, large: int):
         at = np.flatnonzero((size_of > 1) & (size_of <= small))
         for gap in range(1, small):
             at = at[at - gap >= start_of[at]]
-            if not len(at):
-                break
-            look(at - gap, at)
+            for low in range(0, len(at), LOOKED):
+                part = at[low : low + LOOKED]
+                look(part - gap, part)
         for start, size in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
             lead = start + np.arange(min(size, large))
-            step = max(1, 2**19 // len(lead))
+            step = max(1, LOOKED // len(lead))
             for low in range(start + 1, start + size, step):
                 j = np.arange(low, min(low + step, start + size))
                 i, j = (x.ravel() for x in np.meshgrid(lead[lead < j[-1]], j))
@@ -357,7 +359,7 @@ def line_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null and text is not null")
     counted, total = rarity(docs, width)
-    parts = max(2 * partitions(spark), -(-total * (100 - percent) // (100 * PART_ENTRIES)))
+    parts = max(4 * partitions(spark), -(-total * (100 - percent) // (100 * PART_ENTRIES)))
     ranks = spark.sparkContext.broadcast(counted)
     dealt = docs.mapInArrow(_deal(ranks, width, percent, parts, PART_ENTRIES), "part int, classes binary, entries binary, gone binary")
     met = written(dealt.groupBy("part").applyInArrow(_meet(ranks, percent, PART_ENTRIES, SMALL_LIST, LARGE_LIST), _FOUND), "lines")
