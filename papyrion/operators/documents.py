@@ -6,12 +6,14 @@ import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyrion.functions import text as T
-from papyrion.operators.layout import PAGE, greedy, iou_pairs
+from papyrion.operators.layout import PAGE, matches, sides, whole_pages
 
 # Types of blocks that aren't translated, and bounds of what is kept, cropped, repaired or trusted.
 NON_TRANSLATABLE = ("code", "formula", "page_number", "stamp", "signature", "figure")
@@ -338,14 +340,15 @@ def box_fidelity(source: DataFrame, output: DataFrame) -> DataFrame:
     """(doc, biou, coverage, n): how well an output keeps a source's boxes: those of a page, in shares of its size, matched one to one by IoU; a source box without a match counts 0. Rows: (doc, page, ord, x0..y1, width, height)."""
     share = lambda d: d.select(*PAGE, "ord", *((F.col(c) / F.col("width")).alias(c) for c in ("x0", "x1")), *((F.col(c) / F.col("height")).alias(c) for c in ("y0", "y1")))
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        chosen = greedy(list(zip(page["a_ord"].tolist(), page["b_ord"].tolist(), page["iou"].tolist(), strict=True)))
-        return pd.DataFrame({"doc": [page["doc"].iloc[0]], "iou": [float(sum(x[2] for x in chosen))], "matched": [len(chosen)]})
+    def run(rows: pa.Table, page: np.ndarray) -> pa.Table:
+        a, _, iou = matches(rows, page)
+        own = np.bincount(page, ~rows.column("second").to_numpy()).astype(np.int64)
+        first = np.searchsorted(page, np.arange(len(own)))
+        sums = np.bincount(page[a], iou, len(own)), np.bincount(page[a], minlength=len(own)).astype(np.int64), own
+        return pa.Table.from_arrays([rows.column("doc").take(first), *map(pa.array, sums)], ["doc", "iou", "matched", "n"])
 
-    pairs = iou_pairs(share(source), share(output), 0.0)
-    met = pairs.groupBy(*PAGE).applyInPandas(run, f"doc {source.schema['doc'].dataType.simpleString()}, iou double, matched bigint").groupBy("doc").agg(F.sum("iou").alias("iou"), F.sum("matched").alias("matched"))
-    n = source.groupBy("doc").agg(F.count("*").alias("n"))
-    out = n.join(met, "doc", "left").na.fill(0, ["iou", "matched"])
+    pages = whole_pages(sides(share(source), share(output)), run, f"doc {source.schema['doc'].dataType.simpleString()}, iou double, matched bigint, n bigint")
+    out = pages.groupBy("doc").agg(*(F.sum(c).alias(c) for c in ("iou", "matched", "n"))).where("n > 0")
     return out.select("doc", (100 * F.col("iou") / F.col("n")).alias("biou"), (F.col("matched") / F.col("n")).alias("coverage"), "n")
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from papyrion.operators import alignment as A
 from papyrion.operators import documents as D
 from papyrion.operators import engines as E
+from papyrion.operators import layout as L
 from papyrion.operators import memory as M
 from papyrion.operators import translate as X
 
@@ -110,3 +114,50 @@ def test_language_by_profile(spark):
     docs = spark.createDataFrame([(1, "the old mill and the river", "en"), (2, "der alte Fluss und die Mühle", "de"), (3, "the river", None), (4, "12 34", None), (5, None, None)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["lang_pred"] for r in D.language_of(docs, D.language_profiles(docs)).collect()}
     assert got == {1: "en", 2: "de", 3: "en", 4: None, 5: None}
+
+
+def test_boxes_are_matched_as_greedily_without_joining_pairs(spark):
+    rng = random.Random(5)
+    schema = "doc long, page int, ord long, x0 double, y0 double, x1 double, y1 double, width double, height double"
+
+    def rows(n: int) -> list[tuple]:
+        at = lambda: float(rng.randrange(40))
+        # few places and whole numbers, so that places repeat and scores tie; some rows lack a page or a side
+        return [(rng.choice([1, 2, None]), rng.choice([0, 1, 2, None]), rng.randrange(n), x, y, rng.choice([x + 9, x + 4, None]), y + rng.randrange(12), 64.0, 64.0) for x, y in ((at(), at()) for _ in range(n))]
+
+    source, output = rows(150), rows(120)
+    want = {}
+    for doc, page in {r[:2] for r in source}:
+        own = [[r for r in side if r[:2] == (doc, page)] for side in (source, output)]
+        pairs = []
+        for a in own[0]:
+            for b in own[1] if None not in (doc, page) else ():
+                if None not in (*a, *b) and (w := min(a[5], b[5]) - max(a[3], b[3])) > 0 and (h := min(a[6], b[6]) - max(a[4], b[4])) > 0:
+                    pairs.append((a[2], b[2], w * h / ((a[5] - a[3]) * (a[6] - a[4]) + (b[5] - b[3]) * (b[6] - b[4]) - w * h)))
+        chosen = L.greedy(pairs)
+        iou, matched, n = want.get(doc, (0.0, 0, 0))
+        want[doc] = iou + sum(s for _, _, s in chosen), matched + len(chosen), n + len(own[0])
+    out = D.box_fidelity(spark.createDataFrame(source, schema), spark.createDataFrame(output, schema))
+    assert {r["doc"]: (round(r["biou"], 6), round(r["coverage"], 6), r["n"]) for r in out.collect()} == {d: (round(100 * i / n, 6), round(m / n, 6), n) for d, (i, m, n) in want.items()}
+    assert "Join" not in out._jdf.queryExecution().toString()  # a page's pairs are never rows
+
+
+def test_pages_larger_than_a_call_are_whole():
+    rows = [(p, i) for p in range(5) for i in range(1 + 7 * p)]
+    seen = []
+
+    class Frame:
+        repartition = sortWithinPartitions = lambda self, *_: self
+        mapInArrow = lambda self, f, _: list(f(iter(pa.RecordBatch.from_pydict({"doc": [p for p, _ in rows[k : k + 4]], "page": [0] * len(rows[k : k + 4])}) for k in range(0, len(rows), 4))))
+
+    def run(table: pa.Table, page: np.ndarray) -> pa.Table:
+        seen.extend(zip(table.column("doc").to_pylist(), page.tolist(), [len(seen)] * table.num_rows, strict=True))
+        return table
+
+    size, L.CALL_ROWS = L.CALL_ROWS, 6
+    try:
+        out = L.whole_pages(Frame(), run, "")
+    finally:
+        L.CALL_ROWS = size
+    assert [d for b in out for d in b.column("doc").to_pylist()] == [p for p, _ in rows]
+    assert len({(doc, page, call) for doc, page, call in seen}) == 5 and len({call for *_, call in seen}) > 1
