@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.functions import geometry as G
 from papyrion.functions import text as T
-from papyrion.operators.layout import PAGE, boxes, greedy, iou_pairs, pairs_on_page
+from papyrion.operators.layout import PAGE, boxes, matches, pairs_on_page, sides, whole_pages
 
 
 def added_figures(regions: DataFrame, figures: DataFrame) -> DataFrame:
@@ -170,17 +172,18 @@ def resnapped(blocks: DataFrame) -> DataFrame:
     return moved.withColumn("reading_order", F.row_number().over(w) - 1).drop("at", "key")
 
 
-def _typing(page: pd.DataFrame) -> pd.DataFrame:
-    chosen = greedy(list(zip(page["a_ord"].tolist(), page["b_ord"].tolist(), page["iou"].tolist(), strict=True)))
-    kind_a, kind_b = dict(zip(page["a_ord"], page["a_type"], strict=True)), dict(zip(page["b_ord"], page["b_type"], strict=True))
-    return pd.DataFrame([(kind_a[x], kind_b[y]) for x, y, _ in chosen], columns=["reference", "found"])
+def _typed(least: float):
+    def run(rows: pa.Table, page: np.ndarray) -> pa.Table:
+        a, b, _ = matches(rows, page, least)
+        kinds = pa.table([rows.column("type").take(a), rows.column("type").take(b)], ["reference", "found"])
+        return kinds.group_by(["reference", "found"]).aggregate([([], "count_all")]).rename_columns(["reference", "found", "n"])
+
+    return run
 
 
 def typing_match(reference: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame:
     """(reference, found, n): types of matched blocks of at least so much IoU."""
-    pairs = iou_pairs(reference, found, 0.0).where(F.col("iou") >= least)
-    typed = pairs.join(reference.select(*PAGE, F.col("ord").alias("a_ord"), F.col("type").alias("a_type")), [*PAGE, "a_ord"]).join(found.select(*PAGE, F.col("ord").alias("b_ord"), F.col("type").alias("b_type")), [*PAGE, "b_ord"])
-    return typed.groupBy(*PAGE).applyInPandas(_typing, "reference string, found string").groupBy("reference", "found").agg(F.count("*").alias("n"))
+    return whole_pages(sides(reference, found, "type"), _typed(least), "reference string, found string, n bigint").groupBy("reference", "found").agg(F.sum("n").alias("n"))
 
 
 def precision_recall(confusion: DataFrame) -> DataFrame:

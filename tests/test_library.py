@@ -22,6 +22,7 @@ from papyrion.functions import text as T
 from papyrion.operators import engines as E
 from papyrion.operators import layout as L
 from papyrion.operators import memory as M
+from papyrion.operators import pages
 from papyrion.operators import scoring as C
 from papyrion.operators import segments as S
 from papyrion.plans import text_queries as Q
@@ -450,3 +451,22 @@ def test_interchange(spark, tmp_path):
     for _ in range(2):
         B.append_history(record, str(tmp_path / "history"))
     assert B.history(spark, str(tmp_path / "history"), "date string, overall double").count() == 2
+
+
+def test_types_of_matched_blocks(spark):
+    rng = random.Random(6)
+    schema = "doc long, page int, ord long, type string, x0 double, y0 double, x1 double, y1 double"
+    rows = lambda n: [(1, rng.randrange(2), k, rng.choice(["text", "table", None]), float(x := rng.randrange(30)), float(y := rng.randrange(30)), x + 12.0, y + 12.0) for k in range(n)]
+    reference, found = rows(200), rows(150)
+    # one place twice: the box that matches has its own type, not the other's
+    reference += [(2, 0, 7, "code", 0.0, 0.0, 10.0, 10.0), (2, 0, 7, "figure", 50.0, 50.0, 60.0, 60.0)]
+    found += [(2, 0, 0, "formula", 0.0, 0.0, 10.0, 9.0)]
+    want = {}
+    for page in {r[:2] for r in reference}:
+        a_s, b_s = ([r for r in side if r[:2] == page] for side in (reference, found))
+        iou = lambda a, b: (s := max(0.0, min(a[6], b[6]) - max(a[4], b[4])) * max(0.0, min(a[7], b[7]) - max(a[5], b[5]))) / ((a[6] - a[4]) * (a[7] - a[5]) + (b[6] - b[4]) * (b[7] - b[5]) - s)
+        for x, y, _ in L.greedy([(i, j, iou(a, b)) for i, a in enumerate(a_s) for j, b in enumerate(b_s) if iou(a, b) >= 0.5]):
+            want[a_s[x][3], b_s[y][3]] = want.get((a_s[x][3], b_s[y][3]), 0) + 1
+    out = pages.typing_match(spark.createDataFrame(reference, schema), spark.createDataFrame(found, schema))
+    assert {(r["reference"], r["found"]): r["n"] for r in out.collect()} == want and want["code", "formula"] == 1
+    assert "Join" not in out._jdf.queryExecution().toString()  # a page's pairs are never rows
