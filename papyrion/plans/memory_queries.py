@@ -104,7 +104,7 @@ def fuzzy_candidates(spark, sf_dir):
 
 @query()
 def fuzzy_ratio(spark, sf_dir):
-    out = M.fuzzy(*_fuzzy_sides(spark, sf_dir), least=0.3, cap=None)
+    out = M.fuzzy(*_fuzzy_sides(spark, sf_dir), least=0.3, cap=None, stated=True)
     return out.select("q_id", "c_id", "rank", F.round("score", 6).alias("score"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import io
 import math
 import random
@@ -470,3 +471,36 @@ def test_types_of_matched_blocks(spark):
     out = pages.typing_match(spark.createDataFrame(reference, schema), spark.createDataFrame(found, schema))
     assert {(r["reference"], r["found"]): r["n"] for r in out.collect()} == want and want["code", "formula"] == 1
     assert "Join" not in out._jdf.queryExecution().toString()  # a page's pairs are never rows
+
+
+def test_matching_blocks_are_difflibs():
+    rng = random.Random(3)
+    for k in range(400):
+        letters = ("ab", "abcde ", "thinoaesrdlwuy ,.bg", "abcdefghijklmnopqrstuvwxyz")[k % 4]
+        weights = [rng.random() ** 3 + 0.01 for _ in letters]
+        text, candidate = ("".join(rng.choices(letters, weights, k=rng.choice(n))) for n in ([0, 1, 5, 80, 230], [1, 7, 8, 60, 199, 200, 210, 500]))
+        candidate = candidate[: k % 99] + text[: k % 50] + candidate[k % 99 :]
+        want = sum(b.size for b in difflib.SequenceMatcher(None, text, candidate).get_matching_blocks())
+        own = X.Blocks(candidate)
+        assert own.matched(text) == own.matched(text, want) == want and own.matched(text, want + 1) in (None, want)
+
+
+def test_fuzzy_of_a_stated_set_scores_no_joined_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["tion", "the", "and", "of", "rest", "bly", "qua", "vex", "jo"]
+    text = lambda n: " ".join(rng.choices(words, range(len(words), 0, -1), k=n))
+    queries = [(k, text(rng.choice([3, 20, 45]))) for k in range(25)] + [(99, ""), (98, None), (97, "alone")]
+    # copies of a query, of each other (ties go to the smaller id), near copies, long texts whose common characters are popular
+    rows = [(k, text(rng.choice([2, 15, 40, 70]))) for k in range(120)]
+    rows += [(200 + k, q) for k, (_, q) in enumerate(queries[:5])] + [(300 - k, rows[3][1]) for k in range(8)] + [(400 + k, q + " vex jo") for k, (_, q) in enumerate(queries[5:12])] + [(500, None), (501, "  ")]
+    parts = lambda x: {t for t in re.split(r"[^\w]+", x) if t}
+    want = set()
+    for q_id, q in queries:
+        scores = [(-difflib.SequenceMatcher(None, q, c).ratio(), c_id, c) for c_id, c in rows if q and c and q != c and parts(q) & parts(c)]
+        want |= {(q_id, c_id, rank, -score, c) for rank, (score, c_id, c) in enumerate(sorted(x for x in scores if x[0] <= -0.3)[:5], 1)}
+    q, c = spark.createDataFrame(queries, "q_id long, norm string"), spark.createDataFrame([(i, t, t) for i, t in rows], "c_id long, norm string, tgt_text string")
+    for block in (M.QUERY_BLOCK, 10):
+        monkeypatch.setattr(M, "QUERY_BLOCK", block)
+        out = M.fuzzy(q, c, least=0.3, stated=True)
+        assert {tuple(r) for r in out.collect()} == want
+        assert "Join" not in out._jdf.queryExecution().toString()
