@@ -10,6 +10,7 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -504,3 +505,12 @@ def test_fuzzy_of_a_stated_set_scores_no_joined_pairs(spark, monkeypatch):
         out = M.fuzzy(q, c, least=0.3, stated=True)
         assert {tuple(r) for r in out.collect()} == want
         assert "Join" not in out._jdf.queryExecution().toString()
+
+
+def test_mined_terms_end_at_letters_beyond_ascii_as_their_sql_does(spark, tmp_path):
+    docs = [(1, "Foo éBar Bar\u00e9 ñNASA NASAé. Qua\u0301 Qua Xerx ïxerx", "en"), (2, "Lob\x0bDon Lob Don Vip\u2003Wag Vip Wag Éric éric Foo Ab_ Abc_ Abc Abc", "en"), (3, "Foo Foo", "de"), (4, None, "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = set(db.execute(Q.ORACLES["auto_glossary"]).fetchall())
+    assert {tuple(r) for r in Q.QUERIES["auto_glossary"](spark, str(tmp_path)).collect()} == want and ("NASA", "acronym", 2) in want
