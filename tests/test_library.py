@@ -27,6 +27,7 @@ from papyrion.operators import memory as M
 from papyrion.operators import pages
 from papyrion.operators import scoring as C
 from papyrion.operators import segments as S
+from papyrion.plans import layout_queries as LQ
 from papyrion.plans import text_queries as Q
 from papyrion.sinks import archives, render
 from papyrion.sources import containers
@@ -514,3 +515,14 @@ def test_mined_terms_end_at_letters_beyond_ascii_as_their_sql_does(spark, tmp_pa
     db.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = set(db.execute(Q.ORACLES["auto_glossary"]).fetchall())
     assert {tuple(r) for r in Q.QUERIES["auto_glossary"](spark, str(tmp_path)).collect()} == want and ("NASA", "acronym", 2) in want
+
+
+def test_spans_at_the_bound_are_those_of_the_sql(spark, tmp_path):
+    # a span and an image that covers just 0.35 of it, of sf0.1; of the last pair it covers less
+    pairs = [(2, (283, 3713, 36), (286, 224, 8)), (4, (588, 14956, 25), (583, 8918, 45)), (2, (377, 8217, 26), (380, 11711, 9)), (2, (283, 3713, 36), (286, 224, 7))]
+    rows = [(o, p, k, page, float(wide), "A", "O") for k, (page, *both) in enumerate(pairs) for o, p, wide in both]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(db.execute(LQ.ORACLES["span_over_image"]).fetchall())
+    assert sorted(map(tuple, LQ.QUERIES["span_over_image"](spark, str(tmp_path)).collect())) == want == [(0, 2, 283), (1, 4, 588), (2, 2, 377)]
